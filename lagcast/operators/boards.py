@@ -11,6 +11,7 @@ from lagcast.functions import text, times
 from lagcast.functions.calendar import effective_weekday
 from lagcast.operators.history import planned_calls
 from lagcast.operators.prepare import complete
+from lagcast.session import materialize
 
 ENTRY_KEYS = ["eva", "station_name", "category", "number", "line", "arr_tod", "dep_tod"]
 
@@ -200,7 +201,7 @@ def with_train_key(stops: DataFrame, index: DataFrame) -> DataFrame:
 def synthetic_board(entries: DataFrame, requests: DataFrame, runs: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """Boards of dates without a published plan, with routes from the histories."""
     calls = planned_calls(runs) if calls is None else calls
-    stops = with_train_key(first_stops(plan_board(entries, requests)), calls)
+    stops = materialize(with_train_key(first_stops(plan_board(entries, requests)), calls))
     origins = stops.filter("train_key is not null and dep_tod is not null").select(
         "train_key", F.col("eva").alias("origin_eva"), F.col("dep_tod").alias("origin_tod")
     )

@@ -15,6 +15,7 @@ from lagcast.operators.boards import with_train_key
 from lagcast.operators.bucket_model import anchor_live, posterior_predictive
 from lagcast.operators.empirical import cancel_rates, empirical_points, sample_sizes
 from lagcast.operators.history import station_index
+from lagcast.session import materialize
 
 
 @dataclass(frozen=True)
@@ -51,12 +52,16 @@ def match_station(queries: DataFrame, index: DataFrame) -> DataFrame:
 def forecast(
     queries: DataFrame, runs: DataFrame, stats: DataFrame | None = None, index: DataFrame | None = None
 ) -> Forecasts:
-    """Forecast of each ``(query_id, category, number, line, eva, place, planned, live, as_of)``."""
+    """Forecast of each ``(query_id, category, number, line, eva, place, planned, live, as_of)``.
+
+    The placed queries and the points (a few hundred per query at most) have
+    several readers and are stored once.
+    """
     index = station_index(runs) if index is None else index
     located = match_station(with_train_key(queries, index), index)
-    asked = located.withColumn("tod", times.minute_of_day(F.col("planned")))
+    asked = materialize(located.withColumn("tod", times.minute_of_day(F.col("planned"))))
     known = asked.filter("station_name is not null")
-    points = empirical_points(runs, known)
+    points = materialize(empirical_points(runs, known))
     enough = sample_sizes(points).filter(F.col("effective_n") >= P.MIN_EFFECTIVE_N)
     rated = enough.join(cancel_rates(runs, known), "query_id", "left")
     fallback = anchor_live(

@@ -13,6 +13,7 @@ from lagcast.operators.boards import with_train_key
 from lagcast.operators.empirical import PLACE, cancel_rates
 from lagcast.operators.forecast import match_station
 from lagcast.operators.prepare import usable
+from lagcast.session import materialize
 
 
 def match_destination(rows: DataFrame, index: DataFrame, name: str, out: str, eva: str | None, both_ways: bool) -> DataFrame:
@@ -81,13 +82,13 @@ def build_candidates(departures: DataFrame, runs: DataFrame, index: DataFrame) -
         keyed.withColumns({"row_query": F.col("query_id"), "query_id": uid, "eva": F.col("transfer_eva"), "place": F.col("transfer_name")}),
         index,
     )
-    ended = match_destination(located, index, "destination", "dest_station", None, False)
+    ended = materialize(match_destination(located, index, "destination", "dest_station", None, False))
 
     arrivals = last_arrivals(runs)
     arrival_tod = latest_arrival_tod(arrivals).select(
         "train_key", F.col("station_name").alias("dest_station"), "arr_tod"
     )
-    rates = cancel_rates(runs, located.filter("station_name is not null")).select("query_id", "cancel_rate")
+    rates = cancel_rates(runs, ended.filter("station_name is not null")).select("query_id", "cancel_rate")
 
     leg = ["train_key", "station_name", "dest_station", "as_of"]
     legs = ended.filter("station_name is not null and dest_station is not null").select(*leg).distinct()
@@ -101,7 +102,7 @@ def build_candidates(departures: DataFrame, runs: DataFrame, index: DataFrame) -
             F.sum(F.col("n") * delays.run_weight(F.col("day"), F.col("as_of"))).alias("weight"),
         )
     )
-    joint = (
+    joint = materialize(
         ended.select("query_id", "tod", *leg)
         .join(cells, leg)
         .filter(delays.same_connection(F.col("run_tod"), F.col("tod")))
@@ -140,7 +141,7 @@ def build_candidates(departures: DataFrame, runs: DataFrame, index: DataFrame) -
     )
     split = F.from_json("query_id", "array<string>")
     return Candidates(
-        kept,
+        materialize(kept),
         joint.select(split[0].alias("query_id"), split[1].alias("cand_id"), "dep", "arr", "n", "weight"),
     )
 
@@ -175,12 +176,15 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
     reference = rows.filter("not dep_cancelled").groupBy("query_id").agg(
         F.min_by("arr_planned", in_order).alias("reference_arrival")
     )
-    rows = rows.join(reference, "query_id").withColumns(
-        {
-            "base": F.timestamp_diff("SECOND", F.col("reference_arrival"), F.col("arr_planned")) / 60.0,
-            "head_start": F.timestamp_diff("MILLISECOND", F.col("dep_planned"), F.col("feeder_planned")),
-        }
+    rows = materialize(
+        rows.join(reference, "query_id").withColumns(
+            {
+                "base": F.timestamp_diff("SECOND", F.col("reference_arrival"), F.col("arr_planned")) / 60.0,
+                "head_start": F.timestamp_diff("MILLISECOND", F.col("dep_planned"), F.col("feeder_planned")),
+            }
+        )
     )
+    reference = rows.select("query_id", "reference_arrival").distinct()
     ready = ((F.col("delay") + F.col("transfer_minutes")) * 60000).cast("long")
     met = samples.join(rows, "query_id").withColumn("threshold", (ready + F.col("head_start")) / 60000.0)
 
@@ -202,7 +206,7 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
     earlier = (
         Window.partitionBy("query_id", "delay").orderBy("dep_planned", "cand_id").rowsBetween(Window.unboundedPreceding, -1)
     )
-    reached = (
+    reached = materialize(
         met.join(staying, [*CANDIDATE, "threshold"], "left")
         .withColumn("p_board", p_board)
         .withColumn("reach", F.col("mass") * F.coalesce(F.product(1 - F.col("p_board")).over(earlier), F.lit(1.0)))
@@ -242,7 +246,7 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
         (F.col("base") + F.col("live") + F.coalesce(F.col("arr") - F.col("dep"), F.lit(0))).alias("value"),
         (F.col("through") * F.coalesce(F.col("weight") / F.col("total"), F.lit(1.0))).alias("weight"),
     )
-    points = (
+    points = materialize(
         blind_points.unionByName(live_points)
         .filter("weight > 0")
         .groupBy("query_id", "value")

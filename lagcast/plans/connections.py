@@ -15,6 +15,7 @@ from lagcast.operators.forecast import Forecasts, equal_mass_samples, forecast
 from lagcast.operators.history import planned_calls, station_index
 from lagcast.operators.stations import resolve_column
 from lagcast.operators.transfer import Candidates, Transfers, build_candidates, headline_catch, propagate_transfer
+from lagcast.session import materialize
 
 BOARD = [
     "board_id",
@@ -46,8 +47,8 @@ class Network:
     index: DataFrame = field(init=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "calls", planned_calls(self.runs))
-        object.__setattr__(self, "index", station_index(self.runs))
+        object.__setattr__(self, "calls", materialize(planned_calls(self.runs)))
+        object.__setattr__(self, "index", materialize(station_index(self.runs)))
 
     def boards(self, requests: DataFrame) -> DataFrame:
         """Stops of each requested ``(eva, start, hours, as_of)``; live plan first.
@@ -62,7 +63,8 @@ class Network:
         sliced = F.col("slice").between(
             hour_of(F.col("start")), hour_of(F.col("start")) + F.make_dt_interval(hours=F.col("hours") - 1)
         )
-        live = (
+        wanted = materialize(wanted)
+        live = materialize(
             self.live.withColumn("slice", hour_of(F.coalesce("dep_planned", "arr_planned")))
             .join(wanted, "eva")
             .filter(sliced)
@@ -116,6 +118,7 @@ def plan_connections(requests: DataFrame, network: Network) -> Connections:
             "board_id": board_id(F.col("transfer_eva"), F.col("start"), F.lit(P.TRANSFER_BOARD_HOURS), F.col("as_of")),
         }
     )
+    placed = materialize(placed)
     boards = network.boards(
         placed.filter("transfer_eva is not null").select(F.col("transfer_eva").alias("eva"), "start", "hours", "as_of")
     )
@@ -132,10 +135,10 @@ def plan_connections(requests: DataFrame, network: Network) -> Connections:
         "ticket_only",
         "as_of",
     )
-    seen = boards.drop("eva").join(asked, "board_id")
+    seen = materialize(boards.drop("eva").join(asked, "board_id"))
     own = (F.col("category") == F.col("f_category")) & (F.col("number") == F.col("f_number"))
     position = F.struct(F.coalesce("dep_planned", "arr_planned"), "stop_id")
-    feeder_stop = (
+    feeder_stop = materialize(
         seen.filter(own)
         .groupBy("query_id")
         .agg(
@@ -175,7 +178,7 @@ def plan_connections(requests: DataFrame, network: Network) -> Connections:
         )
     )
     by_departure = Window.partitionBy("query_id").orderBy("dep_planned", "stop_id")
-    nearest = (
+    nearest = materialize(
         departures.withColumn("rank", F.row_number().over(by_departure))
         .filter(F.col("rank") <= P.MAX_CANDIDATES)
         .select(

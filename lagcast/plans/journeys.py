@@ -78,8 +78,10 @@ def direct_itineraries(departures: DataFrame, network: Network) -> DataFrame:
     newest = network.calls.groupBy("train_key", F.col("station_name").alias("dest_station")).agg(
         F.max_by("tod", F.struct("last_day", (-F.col("tod")).alias("t"))).alias("arr_tod")
     )
-    arriving = ended.join(newest, ["train_key", "dest_station"]).withColumn(
-        "reference_arrival", times.next_at(F.col("dep_planned"), F.col("arr_tod"))
+    arriving = materialize(
+        ended.join(newest, ["train_key", "dest_station"]).withColumn(
+            "reference_arrival", times.next_at(F.col("dep_planned"), F.col("arr_tod"))
+        )
     )
     made = forecast(
         arriving.select(
@@ -240,15 +242,17 @@ def rank_itineraries(itineraries: DataFrame) -> DataFrame:
 
 
 def plan_journeys(queries: DataFrame, network: Network) -> Journeys:
-    placed = place_queries(queries, network.stations)
+    placed = materialize(place_queries(queries, network.stations))
     boards = network.boards(
         placed.filter("from_eva is not null and to_eva is not null and not same").select(
             F.col("from_eva").alias("eva"), F.col("depart").alias("start"), F.lit(P.JOURNEY_BOARD_HOURS).alias("hours"), "as_of"
         )
     )
     departures = materialize(usable_departures(placed, boards))
-    ranked = rank_itineraries(
-        direct_itineraries(departures, network).unionByName(transfer_itineraries(departures, network))
+    ranked = materialize(
+        rank_itineraries(
+            direct_itineraries(departures, network).unionByName(transfer_itineraries(departures, network))
+        )
     )
     seen = departures.groupBy("query_id").agg(F.count("*").alias("departures"), F.max("typical").alias("typical"))
     found = ranked.groupBy("query_id").agg(F.count("*").alias("found"), F.min("dep_planned").alias("first_departure"))

@@ -15,6 +15,7 @@ from lagcast.operators import distribution as D
 from lagcast.operators import stations as stations_op
 from lagcast.operators import transfer
 from lagcast.plans import backtest, connections, journeys, quality
+from lagcast.session import materialize
 from lagcast.sources import derived as S
 from lagcast.sources import raw_log, tiers
 from lagcast.streaming import buckets, feeds, overlay
@@ -53,6 +54,11 @@ def _runs(spark, d) -> DataFrame:
     return history.history_runs(_prepared(spark, d))
 
 
+def _stored_runs(spark, d) -> DataFrame:
+    """The history as a stored table: forecasts read it many times."""
+    return materialize(_runs(spark, d))
+
+
 def _network_runs(spark, d) -> DataFrame:
     return history.history_runs(prepare.prepare_events(S.network_events(spark, d), tie="seq"))
 
@@ -483,8 +489,8 @@ def timetable_check(spark, d):
 
 def _located(spark, d) -> tuple[DataFrame, DataFrame]:
     """Runs and the forecast queries placed in them."""
-    runs = _runs(spark, d)
-    queries = S.forecast_queries(runs).withColumn("train_key", text.train_key(text.train_identity(F.col("category"), F.col("number"))))
+    runs = _stored_runs(spark, d)
+    queries = materialize(S.forecast_queries(runs)).withColumn("train_key", text.train_key(text.train_identity(F.col("category"), F.col("number"))))
     placed = forecast.match_station(queries, history.station_index(runs))
     return runs, placed.withColumn("tod", times.minute_of_day(F.col("planned")))
 
@@ -616,8 +622,8 @@ def student_t_quantiles(spark, d):
 
 
 def _forecast(spark, d) -> forecast.Forecasts:
-    runs = _runs(spark, d)
-    queries = S.forecast_queries(runs)
+    runs = _stored_runs(spark, d)
+    queries = materialize(S.forecast_queries(runs))
     # Trains nobody has seen fall back to the bucket model.
     unseen = queries.filter("number = '3'").withColumns({"query_id": F.concat(F.lit("unseen|"), "query_id"), "number": F.lit("99")})
     return forecast.forecast(queries.unionByName(unseen), runs, _stats(spark, d))
@@ -653,18 +659,21 @@ def forecast_cards(spark, d):
 
 
 def _network(spark, d, live: bool = True) -> connections.Network:
-    from lagcast.session import materialize
-
     runs = materialize(_network_runs(spark, d))
     entries = materialize(boards.board_entries(S.network_events(spark, d)))
-    day = _plan_day(spark, d)
+    day = _day_after(runs)
     stops = materialize(S.live_stops(entries, history.planned_calls(runs), day)) if live else None
-    return connections.Network(runs, entries, S.stations(spark, d), stops)
+    return connections.Network(runs, entries, materialize(S.stations(spark, d)), stops)
+
+
+def _day_after(runs: DataFrame):
+    """Day after the newest stored run."""
+    return F.date_add(runs.agg(F.max("day")).scalar(), 1)
 
 
 def _connections(spark, d) -> connections.Connections:
     network = _network(spark, d)
-    requests = S.connection_requests(network.calls, network.stations, _plan_day(spark, d))
+    requests = materialize(S.connection_requests(network.calls, network.stations, _day_after(network.runs)))
     return connections.plan_connections(requests, network)
 
 
@@ -699,7 +708,7 @@ def transfer_propagation(spark, d):
 def _all_departures(spark, d) -> tuple[DataFrame, connections.Network]:
     """Every planned call of the network as a candidate toward station 3."""
     network = _network(spark, d, live=False)
-    day = _plan_day(spark, d)
+    day = _day_after(network.runs)
     names = network.stations.select("eva", F.col("name").alias("transfer_name"))
     goal = network.stations.filter("eva = '8003'").select("name").scalar()
     parts = F.split("train_key", "_")
@@ -717,7 +726,7 @@ def _all_departures(spark, d) -> tuple[DataFrame, connections.Network]:
         goal.alias("destination"),
         day.alias("as_of"),
     )
-    return rows, network
+    return materialize(rows), network
 
 
 @query
@@ -734,7 +743,7 @@ def joint_candidate_runs(spark, d):
 
 
 def _departures(spark, d, network) -> DataFrame:
-    queries = S.journey_queries(network.stations, _plan_day(spark, d))
+    queries = materialize(S.journey_queries(network.stations, _day_after(network.runs)))
     placed = journeys.place_queries(queries, network.stations)
     boards_ = network.boards(
         placed.filter("not same").select(
@@ -773,7 +782,7 @@ def direct_itineraries(spark, d):
 def itinerary_top5(spark, d):
     """Ranked itineraries of every journey query."""
     network = _network(spark, d)
-    made = journeys.plan_journeys(S.journey_queries(network.stations, _plan_day(spark, d)), network)
+    made = journeys.plan_journeys(materialize(S.journey_queries(network.stations, _day_after(network.runs))), network)
     return _itinerary(made.itineraries, "place", "travel_minutes")
 
 
@@ -781,7 +790,7 @@ def itinerary_top5(spark, d):
 def journey_outcome(spark, d):
     """Status of every journey query."""
     network = _network(spark, d)
-    return journeys.plan_journeys(S.journey_queries(network.stations, _plan_day(spark, d)), network).outcome
+    return journeys.plan_journeys(materialize(S.journey_queries(network.stations, _day_after(network.runs))), network).outcome
 
 
 # ---------------------------------------------------------------- backtest

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate with several consumers to reliable storage once.
+    """Write an intermediate with several consumers as a table in the shared folder.
 
     Used where a table is small against its inputs but read by many branches.
-    Files survive the loss of executors, so nothing upstream runs again.
+    The files survive the loss of executors; being Parquet, they keep column
+    pruning, filter pushdown and the size on which joins are planned.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

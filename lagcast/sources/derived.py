@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast.functions import text, times
+from lagcast.session import materialize
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -315,7 +316,7 @@ def live_stops(entries: DataFrame, calls: DataFrame, day) -> DataFrame:
         F.lit(24).alias("hours"),
         day.alias("as_of"),
     )
-    stops = with_train_key(plan_board(entries.filter("category in ('S', 'RE')"), requests), calls)
+    stops = materialize(with_train_key(plan_board(entries.filter("category in ('S', 'RE')"), requests), calls))
     paths = route_after(
         calls,
         stops.filter("dep_tod is not null").select("train_key", F.col("eva").alias("origin_eva"), F.col("dep_tod").alias("origin_tod")),
@@ -377,7 +378,7 @@ def journey_queries(stations: DataFrame, day) -> DataFrame:
     served = stations.filter(F.col("eva").between("8000", "8003")).select("eva", "name")
     ends = served.select(F.col("eva").alias("to_key"), F.col("name").alias("to_text"))
     return (
-        served.withColumn("to_key", F.explode(F.sequence(F.lit(8000), F.lit(8003))).cast("string"))
+        served.withColumn("to_key", F.explode(F.array(*[F.lit(str(e)) for e in range(8000, 8004)])))
         .join(ends, "to_key")
         .withColumn("hour", F.explode(F.array(*[F.lit(h) for h in (3, 7, 9, 16, 18, 22)])))
         .select(
