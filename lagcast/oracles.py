@@ -1 +1,533 @@
-ORACLES = {}
+"""DuckDB SQL that computes the registered queries from the raw tables.
+
+Written row by row from the definitions (plain windows, joins of every query
+with every run), with none of the folding the Spark jobs use.
+"""
+
+from __future__ import annotations
+
+from lagcast.params import PRIORS
+
+ORACLES: dict[str, str] = {}
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+# ---------------------------------------------------------------- adapters
+
+KEYED = r"""keyed AS (
+  SELECT *, CAST(regexp_extract(props, '"k": *(\d+)', 1) AS INTEGER) AS k, CAST(user_id % 10 AS INTEGER) AS num,
+    CASE event_type WHEN 'view' THEN 'S' WHEN 'click' THEN 'RE' WHEN 'signup' THEN 'RB'
+      WHEN 'purchase' THEN 'ICE' WHEN 'error' THEN 'IC' END AS train_type,
+    CASE event_type WHEN 'view' THEN 420 WHEN 'click' THEN 540 WHEN 'signup' THEN 960
+      WHEN 'purchase' THEN 1080 WHEN 'error' THEN 1425 END AS base
+  FROM events)"""
+
+
+def _stop_event(place: str, minute: str, name: str) -> str:
+    return f"""placed0 AS (SELECT *, {place} AS place FROM keyed),
+placed AS (SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_minutes(CAST({minute} AS BIGINT)) AS pt,
+    CAST(floor(value) - 10 AS BIGINT) AS dly FROM placed0),
+stop_event AS (
+  SELECT {name} AS station_name, '0' || (8000 + place) AS eva, train_type, CAST(num AS VARCHAR) AS train_number,
+    CASE WHEN user_id % 7 <> 0 THEN train_type || (user_id % 3) END AS line_number,
+    train_type || '-' || num AS train_line_ride_id, CAST(place + 1 AS BIGINT) AS train_line_station_num,
+    CASE WHEN k % 25 <> 1 THEN pt END AS arrival_planned_time,
+    CASE WHEN k % 25 <> 1 THEN pt + to_minutes(dly) + to_seconds(event_id % 60) END AS arrival_change_time,
+    CASE WHEN k % 25 <> 2 THEN pt + INTERVAL 2 MINUTE END AS departure_planned_time,
+    CASE WHEN k % 25 <> 2 THEN pt + to_minutes(2 + dly + k % 3 - 1) + to_seconds(event_id % 60) END AS departure_change_time,
+    k % 20 = 0 AS is_canceled, event_id AS seq
+  FROM placed JOIN nation ON n_nationkey = place)"""
+
+
+MANY = _stop_event("k % 4", "base + minute(ts) % 30", "n_name")
+PAD = r"regexp_replace(n_name, '_(\d)$', '_0\1')"
+NETWORK = _stop_event(
+    "CASE WHEN num % 2 = 0 THEN k % 2 ELSE 1 + k % 3 END", "base % 1200 + num * 7 + place * 20", PAD
+)
+
+PREPARED = """base_event AS (
+  SELECT * EXCLUDE (eva), ltrim(eva, '0') AS eva, train_type || ' ' || train_number AS identity,
+    CAST(date_sub('minute', arrival_planned_time, arrival_change_time) AS INTEGER) AS arr_delay,
+    CAST(date_sub('minute', departure_planned_time, departure_change_time) AS INTEGER) AS dep_delay,
+    coalesce(arrival_planned_time, departure_planned_time) AS planned
+  FROM stop_event),
+prepared AS (
+  SELECT *, CAST(planned - INTERVAL 4 HOUR AS DATE) AS service_day, CAST(planned AS DATE) AS day,
+    CAST(hour(planned) * 60 + minute(planned) AS INTEGER) AS tod,
+    lag(coalesce(arr_delay, dep_delay)) OVER (
+      PARTITION BY train_line_ride_id, CAST(planned - INTERVAL 4 HOUR AS DATE)
+      ORDER BY train_line_station_num, seq) AS prev_delay
+  FROM base_event WHERE planned IS NOT NULL AND train_type IS NOT NULL AND train_number IS NOT NULL)"""
+
+
+def _clamp(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest(-30, least(360, {c})) END"
+
+
+def _key(c: str) -> str:
+    return f"upper(trim(regexp_replace({c}, '[^A-Za-z0-9]+', '_', 'g'), '_'))"
+
+
+RUN = f"""run AS (
+  SELECT {_key('identity')} AS train_key, identity AS train, train_type, line_number, station_name, eva, day, tod,
+    {_clamp('arr_delay')} AS arr_delay, {_clamp('dep_delay')} AS dep_delay, {_clamp('prev_delay')} AS prev_delay,
+    is_canceled AS cancelled
+  FROM prepared)"""
+
+RUNS = (KEYED, MANY, PREPARED, RUN)
+NET_RUNS = (KEYED, NETWORK, PREPARED, RUN)
+
+STATION = f"""station AS (
+  SELECT CAST(8000 + n_nationkey AS VARCHAR) AS eva, {PAD} AS name, CAST(coalesce(w, 0) AS INTEGER) AS weight
+  FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS w FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)"""
+
+
+def _ts(c: str, name: str | None = None) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {name or c}"
+
+
+def _day(c: str, name: str | None = None) -> str:
+    return f"CAST({c} AS VARCHAR) AS {name or c}"
+
+
+def _r(x: str, name: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0 AS {name}"
+
+
+def _easter(y: str) -> str:
+    """Date of Easter Sunday for a year expression."""
+    c = f"({y} // 100)"
+    leap = f"((3 * {c} + 3) // 4)"
+    seed = f"((19 * ({y} % 19) + 15 + {leap} - (8 * {c} + 13) // 25) % 30)"
+    moon = f"(21 + {seed} - ({seed} + ({y} % 19) // 11) // 29)"
+    sunday = f"(7 - ({y} + {y} // 4 + 2 - {leap}) % 7)"
+    return f"(make_date({y}, 3, 1) + CAST({moon} + 7 - ((({moon} - {sunday}) % 7 + 7) % 7) - 1 AS INTEGER))"
+
+
+def _holiday(d: str, bavaria: bool = False) -> str:
+    fixed = "101, 501, 1003, 1225, 1226" + (", 106, 1101" if bavaria else "")
+    moving = "-2, 1, 39, 50" + (", 60" if bavaria else "")
+    return f"(month({d}) * 100 + day({d}) IN ({fixed}) OR ({d} - {_easter(f'year({d})')}) IN ({moving}))"
+
+
+def _weight(day: str, as_of: str, half_life: float = 30, boost: float = 2) -> str:
+    return (
+        f"exp(-ln(2.0) / {half_life} * greatest(0, {as_of} - {day}))"
+        f" * CASE WHEN isodow({day}) = isodow({as_of}) THEN {boost} ELSE 1.0 END"
+    )
+
+
+def _near(a: str, b: str) -> str:
+    return f"least(abs({a} - {b}), 1440 - abs({a} - {b})) <= 20"
+
+
+# ---------------------------------------------------------------- sources
+
+ORACLES["stop_events"] = _with(KEYED, MANY) + f"""
+SELECT station_name, eva, train_type, train_number, line_number, train_line_ride_id, train_line_station_num,
+  {_ts('arrival_planned_time')}, {_ts('arrival_change_time')}, {_ts('departure_planned_time')},
+  {_ts('departure_change_time')}, is_canceled, seq
+FROM stop_event"""
+
+FEED = """feed AS (
+  SELECT *, k % 4 AS place, user_id || '-' || strftime(ts, '%y%m%d') || '-' || (k % 4 + 1) AS stop_id,
+    CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_minutes(CAST(base + minute(ts) % 30 AS BIGINT)) AS plan_time,
+    date_trunc('minute', ts) + to_minutes(CAST(floor(value) AS BIGINT)) AS moved
+  FROM keyed),
+plan AS (
+  SELECT ts, event_id, CAST(8000 + place AS VARCHAR) AS eva, n_name AS station, stop_id, k % 31 <> 0 AS labelled,
+    CASE WHEN k % 31 <> 0 THEN train_type ELSE '' END AS category,
+    CASE WHEN k % 31 <> 0 THEN CAST(num AS VARCHAR) ELSE '' END AS number,
+    k % 25 <> 1 AS arr_present, k % 25 <> 2 AS dep_present,
+    CASE WHEN k % 25 <> 1 THEN plan_time END AS arr_planned,
+    CASE WHEN k % 25 <> 2 THEN plan_time + INTERVAL 2 MINUTE END AS dep_planned,
+    CASE WHEN k % 25 <> 1 THEN CASE WHEN k % 6 = 0 THEN '' ELSE train_type || (k % 3) END END AS arr_line,
+    CASE WHEN k % 25 <> 2 THEN 'D' || (k % 3) END AS dep_line,
+    CASE WHEN k % 9 = 0 THEN '' ELSE 'NATION_' || (k % 25) || '|NATION_3' END AS route, k
+  FROM feed JOIN nation ON n_nationkey = place WHERE event_type IN ('view', 'click')),
+change AS (
+  SELECT ts, event_id, CAST(8000 + place AS VARCHAR) AS eva, stop_id,
+    CASE WHEN k % 5 <> 0 THEN moved END AS arr_changed,
+    CASE WHEN k % 4 = 0 THEN '9' END AS arr_changed_platform,
+    CASE k % 10 WHEN 3 THEN 'c' WHEN 4 THEN 'p' END AS arr_status,
+    CASE WHEN k % 5 <> 0 AND k % 3 <> 0 THEN moved END AS dep_changed,
+    CASE WHEN k % 2 = 0 THEN CASE k % 10 WHEN 3 THEN 'c' WHEN 4 THEN 'p' END END AS dep_status
+  FROM feed WHERE event_type NOT IN ('view', 'click')),
+first_plan AS (
+  SELECT * FROM plan WHERE labelled QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY ts, event_id) = 1),
+folded AS (
+  SELECT stop_id,
+    arg_max(arr_changed, (ts, event_id)) FILTER (WHERE arr_changed IS NOT NULL) AS arr_changed,
+    arg_max(arr_status, (ts, event_id)) FILTER (WHERE arr_status IS NOT NULL) AS arr_status,
+    arg_max(dep_changed, (ts, event_id)) FILTER (WHERE dep_changed IS NOT NULL) AS dep_changed,
+    arg_max(dep_status, (ts, event_id)) FILTER (WHERE dep_status IS NOT NULL) AS dep_status
+  FROM change GROUP BY stop_id)"""
+FEEDS = (KEYED, FEED)
+
+ORACLES["raw_log_documents"] = _with(*FEEDS) + """
+SELECT 'timetables/v1/plan' AS api_name, eva, count(DISTINCT event_id // 4) AS documents, true AS filled FROM plan GROUP BY eva
+UNION ALL
+SELECT 'timetables/v1/fchg', eva, count(DISTINCT event_id // 4), true FROM change GROUP BY eva"""
+
+_DOC = """min(event_id) OVER (PARTITION BY eva, event_id // 4) AS doc_id,
+  CAST(row_number() OVER (PARTITION BY eva, event_id // 4 ORDER BY ts, event_id) - 1 AS INTEGER) AS pos"""
+ORACLES["xml_plan_stops"] = _with(*FEEDS) + f"""
+SELECT {_DOC}, eva, station, stop_id, labelled, category, number, {_ts('arr_planned')}, {_ts('dep_planned')},
+  arr_line, dep_line, CASE WHEN arr_present THEN route ELSE '' END AS arr_path,
+  CASE WHEN dep_present THEN route ELSE '' END AS dep_path
+FROM plan"""
+ORACLES["xml_change_stops"] = _with(*FEEDS) + f"""
+SELECT {_DOC}, eva, stop_id, {_ts('arr_changed')}, arr_changed_platform, arr_status, {_ts('dep_changed')}, dep_status
+FROM change"""
+
+_CONDENSED = f"""
+SELECT station AS station_name, eva, category AS train_type, number AS train_number,
+  coalesce(nullif(arr_line, ''), nullif(dep_line, '')) AS line_number,
+  regexp_extract(p.stop_id, '^(.*)-([^-]*)$', 1) AS train_line_ride_id,
+  CAST(regexp_extract(p.stop_id, '^(.*)-([^-]*)$', 2) AS BIGINT) AS train_line_station_num,
+  {_ts('arr_planned', 'arrival_planned_time')},
+  {_ts('coalesce(arr_changed, arr_planned)', 'arrival_change_time')},
+  {_ts('dep_planned', 'departure_planned_time')},
+  {_ts('coalesce(dep_changed, dep_planned)', 'departure_change_time')},
+  coalesce(arr_status = 'c', false) OR coalesce(dep_status = 'c', false) AS is_canceled
+FROM first_plan p LEFT JOIN folded f ON f.stop_id = p.stop_id"""
+ORACLES["xml_condense_day"] = _with(*FEEDS) + _CONDENSED
+ORACLES["condense_station_runs"] = _with(*FEEDS) + _CONDENSED + r"""
+WHERE regexp_extract(p.stop_id, '^(.*)-([^-]*)$', 1) IN (
+  SELECT regexp_extract(stop_id, '^(.*)-([^-]*)$', 1) FROM first_plan WHERE eva IN ('8000', '8001'))"""
+ORACLES["plan_first_wins"] = _with(*FEEDS) + f"""
+SELECT stop_id, eva, station, category, number, {_ts('arr_planned')}, {_ts('dep_planned')} FROM first_plan"""
+ORACLES["change_last_wins"] = _with(*FEEDS) + f"""
+SELECT stop_id, {_ts('arr_changed')}, arr_status, {_ts('dep_changed')}, dep_status FROM folded"""
+ORACLES["stream_first_plan"] = ORACLES["plan_first_wins"]
+ORACLES["stream_change_fold"] = ORACLES["change_last_wins"]
+
+LIVE = """any_plan AS (
+  SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY ts, event_id) = 1),
+last_change AS (
+  SELECT * FROM change QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY ts DESC, event_id DESC) = 1),
+board AS (
+  SELECT p.*, coalesce(arr_line, dep_line) AS line, arr_changed_platform, arr_status, dep_status,
+    CASE WHEN arr_present THEN arr_changed END AS arr_changed,
+    CASE WHEN dep_present THEN dep_changed END AS dep_changed
+  FROM any_plan p LEFT JOIN last_change c ON c.stop_id = p.stop_id)"""
+ORACLES["live_board_merge"] = _with(*FEEDS, LIVE) + f"""
+SELECT stop_id, eva, coalesce(CASE WHEN starts_with(line, category) THEN line ELSE category || ' ' || line END,
+    category || ' ' || number) AS label,
+  {_ts('coalesce(arr_changed, arr_planned)', 'arr_best')}, {_ts('coalesce(dep_changed, dep_planned)', 'dep_best')},
+  CASE WHEN arr_present THEN coalesce(arr_changed_platform, '5') END AS arr_best_platform,
+  arr_present AND coalesce(arr_status = 'c', false) AS arr_cancelled,
+  dep_present AND coalesce(dep_status = 'c', false) AS dep_cancelled,
+  round((epoch(arr_changed) - epoch(arr_planned)) / 60.0, 6) + 0.0 AS arr_live,
+  CASE WHEN arr_present AND route <> '' THEN split_part(route, '|', 1) END AS origin,
+  CASE WHEN dep_present AND route <> '' THEN 'NATION_3' END AS destination
+FROM board"""
+ORACLES["stream_live_board"] = ORACLES["live_board_merge"]
+ORACLES["current_board_rows"] = _with(*FEEDS, LIVE) + f"""
+SELECT stop_id, {_ts('coalesce(dep_changed, dep_planned)', 'dep_best')} FROM board
+WHERE coalesce(dep_changed, dep_planned) >= TIMESTAMP '2024-01-15 07:10:00' - INTERVAL 5 MINUTE"""
+
+ORACLES["stations"] = _with(STATION) + "SELECT * FROM station"
+ORACLES["station_resolve_topk"] = _with(
+    STATION,
+    """asked AS (SELECT DISTINCT unnest([name, substr(name, 4, 5), upper(substr(name, -2, 2)), ' ']) AS text FROM station),
+hit AS (
+  SELECT text, eva, name, CAST(CASE WHEN starts_with(lower(name), lower(trim(text))) AND trim(text) <> '' THEN 1000000 ELSE 0 END + weight AS INTEGER) AS score
+  FROM asked JOIN station ON contains(lower(name), lower(trim(text)))),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, eva) AS INTEGER) AS rank FROM hit)""",
+) + "SELECT * FROM ranked WHERE rank <= 3"
+ORACLES["route_stations"] = _with(*FEEDS, STATION) + """
+SELECT stop_name, eva, weight, count(*) AS n
+FROM (SELECT unnest(string_split(route, '|')) AS stop_name FROM plan WHERE dep_present AND route <> '')
+JOIN station ON lower(stop_name) = lower(regexp_replace(name, '_0', '_')) GROUP BY ALL"""
+
+ORACLES["stale_partitions"] = """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS version FROM events GROUP BY 1
+HAVING day >= '2024-01-29' OR day LIKE '%7'"""
+ORACLES["tier_staleness"] = "SELECT false AS base_stale, max(ts) > TIMESTAMP '2024-01-03' AS recent_stale FROM events"
+ORACLES["meta_in_use"] = """
+SELECT CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS base_generated, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS recent_through,
+  CAST(count(DISTINCT user_id) AS INTEGER) AS trains, true AS updated FROM events"""
+
+# ---------------------------------------------------------------- prepare and history
+
+_LABEL = """coalesce(CASE WHEN starts_with(line_number, train_type) THEN line_number
+  ELSE train_type || ' ' || line_number END, train_type || ' ' || train_number)"""
+ORACLES["train_identity_key"] = _with(KEYED, MANY) + f"""
+SELECT ltrim(eva, '0') AS eva, train_type || ' ' || train_number AS identity,
+  upper(train_type || '_' || train_number) || coalesce('_' || line_number, '') AS tail,
+  count(*) AS n FROM stop_event GROUP BY ALL""".replace(
+    "upper(train_type || '_' || train_number) || coalesce('_' || line_number, '') AS tail,",
+    f"""'X_' || {_key("train_type || ' ' || train_number")} || coalesce('_' || line_number, '') AS train_key,
+  {_key("train_type || ' ' || train_number")} || coalesce(',' || line_number, '') AS keys,
+  {_LABEL} AS label,""",
+)
+ORACLES["semi_join_station_trains"] = _with(KEYED, NETWORK) + """
+SELECT train_type || ' ' || train_number AS identity, ltrim(eva, '0') AS eva, count(*) AS n FROM stop_event
+WHERE train_type || train_number IN (SELECT train_type || train_number FROM stop_event WHERE eva = '08002') GROUP BY ALL"""
+ORACLES["prev_stop_delay"] = _with(KEYED, MANY, PREPARED) + f"""
+SELECT seq, {_day('service_day')}, train_line_station_num, prev_delay FROM prepared"""
+ORACLES["prepared_events"] = _with(KEYED, MANY, PREPARED) + f"""
+SELECT seq, station_name, eva, identity, line_number, is_canceled, arr_delay, dep_delay, prev_delay, {_day('day')}, tod FROM prepared"""
+ORACLES["history_runs"] = _with(*RUNS) + f"""
+SELECT train_key, train, train_type, line_number, station_name, eva, {_day('day')}, tod, arr_delay, dep_delay, prev_delay, cancelled FROM run"""
+ORACLES["train_lines"] = _with(*RUNS) + """
+SELECT train_key, min(train) AS train, min(train_type) AS train_type,
+  arg_max(line_number, (day, tod, train, line_number)) FILTER (WHERE line_number <> '') AS line FROM run GROUP BY train_key"""
+ORACLES["history_index"] = _with(*RUNS) + "SELECT train_key, count(*) AS runs FROM run GROUP BY 1"
+ORACLES["build_metadata"] = _with(*RUNS) + """
+SELECT '8000,8001' AS stations,
+  string_agg(DISTINCT strftime(day, '%Y-%m'), ',' ORDER BY strftime(day, '%Y-%m')) FILTER (WHERE day < DATE '2024-01-29') AS months,
+  count(DISTINCT train_key) AS trains,
+  CAST(min(day) FILTER (WHERE day >= DATE '2024-01-29') AS VARCHAR) AS recent_from,
+  CAST(max(day) FILTER (WHERE day >= DATE '2024-01-29') AS VARCHAR) AS recent_through FROM run"""
+ORACLES["history_nested_columnar"] = _with(
+    *RUNS,
+    """r AS (
+  SELECT *, row_number() OVER w - 1 AS i, lag(day) OVER w AS before,
+    dense_rank() OVER (PARTITION BY train_key, station_name ORDER BY tod) - 1 AS t
+  FROM run WINDOW w AS (PARTITION BY train_key, station_name ORDER BY day, tod, arr_delay NULLS FIRST,
+    dep_delay NULLS FIRST, prev_delay NULLS FIRST, cancelled))""",
+) + """
+SELECT train_key, station_name, CAST(0 AS INTEGER) AS block, min(eva) AS eva,
+  string_agg(DISTINCT CAST(tod AS VARCHAR), ',' ORDER BY lpad(CAST(tod AS VARCHAR), 4, '0')) AS tod_text,
+  string_agg(CAST(CASE WHEN before IS NULL THEN day - DATE '1970-01-01' ELSE day - before END AS VARCHAR), ',' ORDER BY i) AS days,
+  CASE WHEN max(t) > 0 THEN string_agg(CAST(t AS VARCHAR), ',' ORDER BY i) END AS t,
+  string_agg(coalesce(CAST(arr_delay AS VARCHAR), '-'), ',' ORDER BY i) AS a,
+  CASE WHEN bool_or(dep_delay IS NOT NULL AND dep_delay IS DISTINCT FROM arr_delay) THEN
+    string_agg(CASE WHEN dep_delay IS DISTINCT FROM arr_delay THEN coalesce(CAST(dep_delay AS VARCHAR), '-') ELSE '-' END, ',' ORDER BY i) END AS d,
+  string_agg(coalesce(CAST(prev_delay AS VARCHAR), '-'), ',' ORDER BY i) AS p,
+  string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE cancelled) AS c
+FROM r GROUP BY 1, 2"""
+ORACLES["history_nested_columnar"] = ORACLES["history_nested_columnar"].replace(
+    "string_agg(DISTINCT CAST(tod AS VARCHAR), ',' ORDER BY lpad(CAST(tod AS VARCHAR), 4, '0')) AS tod_text",
+    "array_to_string(list_sort(list(DISTINCT tod)), ',') AS tod",
+)
+_BAG = f"""
+SELECT train_key, station_name, eva, {_day('day')}, tod, arr_delay, dep_delay, prev_delay, cancelled, count(*) AS n
+FROM {{source}} GROUP BY ALL"""
+_FILLED = "(SELECT * REPLACE (coalesce(dep_delay, arr_delay) AS dep_delay) FROM run)"
+ORACLES["history_round_trip"] = _with(*RUNS) + _BAG.format(source=_FILLED)
+ORACLES["history_json_round_trip"] = ORACLES["history_round_trip"]
+ORACLES["history_legacy_rows"] = _with(*RUNS) + _BAG.format(source="run WHERE tod % 7 <> 0 AND tod % 11 <> 0")
+_TIERS = """recent AS (SELECT * REPLACE (arr_delay + 1 AS arr_delay, dep_delay + 1 AS dep_delay) FROM run WHERE day >= DATE '2024-01-29'),
+merged AS (
+  SELECT * FROM run b WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.train_key = b.train_key
+    AND r.station_name = b.station_name AND r.day = b.day AND r.tod = b.tod)
+  UNION ALL SELECT * FROM recent)"""
+ORACLES["overlay_recent"] = _with(*RUNS, _TIERS) + _BAG.format(source="merged")
+ORACLES["stream_overlay"] = _with(*RUNS, _TIERS) + _BAG.format(
+    source="(SELECT * REPLACE (CAST(NULL AS INTEGER) AS prev_delay) FROM merged)"
+)
+
+# ---------------------------------------------------------------- calendar and boards
+
+_DAYS = "(SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)"
+ORACLES["calendar_holidays"] = f"""
+SELECT {_day('d')}, CAST({_easter('year(d)')} AS VARCHAR) AS easter, {_holiday('d')} AS holiday, {_holiday('d', True)} AS bavarian,
+  CAST(CASE WHEN {_holiday('d')} THEN 7 ELSE isodow(d) END AS INTEGER) AS weekday FROM {_DAYS}"""
+ORACLES["timetable_change"] = f"""
+WITH sunday AS (
+  SELECT CAST(x AS DATE) AS s FROM generate_series(DATE '1990-01-01', DATE '2030-12-31', INTERVAL 1 DAY) t(x)
+  WHERE isodow(x) = 7 AND month(x) IN (6, 12) AND day(x) BETWEEN 8 AND 14)
+SELECT {_day('d')}, CAST(min(s) AS VARCHAR) AS change, d + 30 >= min(s) AS crosses FROM {_DAYS} JOIN sunday ON s > d GROUP BY d"""
+
+ENTRY = """entry AS (
+  SELECT ltrim(eva, '0') AS eva, station_name, train_type AS category, train_number AS number, line_number AS line,
+    CAST(hour(arrival_planned_time) * 60 + minute(arrival_planned_time) AS INTEGER) AS arr_tod,
+    CAST(hour(departure_planned_time) * 60 + minute(departure_planned_time) AS INTEGER) AS dep_tod,
+    CAST(bit_or(1 << (isodow(coalesce(departure_planned_time, arrival_planned_time)) - 1)) AS INTEGER) AS weekday_mask,
+    max(CAST(coalesce(departure_planned_time, arrival_planned_time) AS DATE)) AS last_seen, count(*) AS runs
+  FROM stop_event
+  WHERE CAST(coalesce(departure_planned_time, arrival_planned_time) AS DATE) >
+    (SELECT max(CAST(coalesce(departure_planned_time, arrival_planned_time) AS DATE)) FROM stop_event) - 42
+  GROUP BY ALL HAVING count(*) >= 3)"""
+_ENTRY_COLUMNS = f"eva, station_name, category, number, line, arr_tod, dep_tod, weekday_mask, {_day('last_seen')}"
+ORACLES["board_entries"] = _with(KEYED, NETWORK, ENTRY) + f"SELECT {_ENTRY_COLUMNS}, runs FROM entry"
+ORACLES["board_documents"] = _with(KEYED, NETWORK, ENTRY) + f"SELECT {_ENTRY_COLUMNS} FROM entry"
+ORACLES["board_station_count"] = _with(KEYED, MANY, ENTRY) + """
+SELECT count(*) AS entries, count(DISTINCT eva) AS stations FROM entry"""
+
+DAY0 = "day0 AS (SELECT max(CAST(coalesce(arrival_planned_time, departure_planned_time) AS DATE)) + 1 AS day FROM stop_event)"
+# Needs req(board_id, eva, start_ts, end_ts).
+SYN = f"""dated AS (SELECT req.*, CAST(start_ts AS DATE) + o AS date FROM req, (VALUES (0), (1)) t(o)),
+syn0 AS (
+  SELECT board_id, date, e.*, CAST(date AS TIMESTAMP) + to_minutes(arr_tod) AS arr_planned,
+    CAST(date AS TIMESTAMP) + to_minutes(dep_tod) AS dep_planned, start_ts, end_ts
+  FROM dated JOIN entry e USING (eva)
+  WHERE (weekday_mask & (1 << (CASE WHEN {_holiday('date')} THEN 7 ELSE isodow(date) END - 1))) <> 0
+    AND last_seen >= (SELECT day FROM day0) - 60),
+syn AS (
+  SELECT *, 'syn-' || category || '-' || number || '-' || CAST(date AS VARCHAR) AS stop_id FROM syn0
+  WHERE coalesce(dep_planned, arr_planned) >= start_ts AND coalesce(dep_planned, arr_planned) < end_ts
+  QUALIFY row_number() OVER (PARTITION BY board_id, date, category, number ORDER BY coalesce(dep_tod, arr_tod, 0),
+    line NULLS FIRST, arr_tod NULLS FIRST, dep_tod NULLS FIRST, station_name) = 1)"""
+ORACLES["synthetic_board"] = _with(
+    KEYED,
+    NETWORK,
+    ENTRY,
+    DAY0,
+    STATION,
+    """req AS (SELECT eva || '|' || h AS board_id, eva, CAST(day AS TIMESTAMP) + to_hours(h) AS start_ts,
+    CAST(day AS TIMESTAMP) + to_hours(h + 5) AS end_ts FROM station, day0, (VALUES (3), (7), (17), (23)) t(h))""",
+    SYN,
+) + f"""
+SELECT * FROM (SELECT board_id, stop_id, line, {_ts('arr_planned')}, {_ts('dep_planned')},
+  CAST(row_number() OVER (PARTITION BY board_id ORDER BY coalesce(syn.dep_planned, syn.arr_planned), stop_id) AS INTEGER) AS position FROM syn)
+WHERE position <= 40"""
+
+CALL = "call AS (SELECT train_key, station_name, eva, tod, max(day) AS last_day FROM run GROUP BY ALL)"
+# Needs origin(train_key, origin_eva, origin_tod).
+ROUTE = """ahead AS (
+  SELECT o.train_key, origin_eva, origin_tod, station_name, min((tod - origin_tod + 1440) % 1440) AS ahead
+  FROM origin o JOIN call c ON c.train_key = o.train_key AND c.eva <> origin_eva
+  WHERE (tod - origin_tod + 1440) % 1440 BETWEEN 1 AND 599 GROUP BY ALL),
+route AS (
+  SELECT train_key, origin_eva, origin_tod, list(station_name ORDER BY ahead, station_name) AS path FROM ahead GROUP BY ALL)"""
+ORACLES["route_after_stop"] = _with(
+    *RUNS, CALL, "origin AS (SELECT DISTINCT train_key, eva AS origin_eva, tod AS origin_tod FROM call)", ROUTE
+) + "SELECT train_key, origin_eva, origin_tod, array_to_string(path, '|') AS path FROM route"
+ORACLES["timetable_check"] = _with(
+    *RUNS,
+    FEED.replace("feed AS", "feed AS", 1),
+    CALL,
+    f"""asked AS (SELECT DISTINCT {_key("category || ' ' || number")} AS train_key, lower(station) AS station_name,
+    CAST(hour(coalesce(arr_planned, dep_planned)) * 60 + minute(coalesce(arr_planned, dep_planned)) + 7 AS INTEGER) AS tod FROM plan WHERE labelled)""",
+) + """
+SELECT a.train_key, a.station_name, a.tod, CAST(min(abs(c.tod - a.tod)) AS INTEGER) AS gap, min(abs(c.tod - a.tod)) > 3 AS mismatch
+FROM asked a JOIN call c ON c.train_key = a.train_key AND lower(c.station_name) = a.station_name GROUP BY 1, 2, 3"""
+
+# ---------------------------------------------------------------- distributions
+
+ASKED = """asked AS (
+  SELECT eva || '|' || train AS query_id, train_type AS category, split_part(train, ' ', 2) AS number, train_key, eva, station_name,
+    min(tod) AS q_tod, (SELECT max(day) + 1 FROM run) AS as_of,
+    CASE WHEN CAST(split_part(train, ' ', 2) AS INTEGER) % 2 = 1 THEN CAST(split_part(train, ' ', 2) AS DOUBLE) * 3 END AS live
+  FROM run GROUP BY train_type, train, train_key, eva, station_name)"""
+
+
+def _points(live: str) -> str:
+    """Needs asked(query_id, train_key, station_name, q_tod, as_of, live)."""
+    return f"""seen AS (
+  SELECT query_id, {live} AS live, coalesce(arr_delay, dep_delay) AS final, prev_delay AS prev, {_weight('r.day', 'as_of')} AS w
+  FROM asked q JOIN run r ON r.train_key = q.train_key AND r.station_name = q.station_name
+  WHERE {_near('r.tod', 'q_tod')} AND NOT cancelled AND coalesce(arr_delay, dep_delay) IS NOT NULL),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY query_id) AS sample,
+    live IS NOT NULL AND count(prev) OVER (PARTITION BY query_id) >= 8 AS on_live FROM seen),
+point AS (
+  SELECT query_id, sample, on_live, CASE WHEN on_live THEN live + final - prev ELSE CAST(final AS DOUBLE) END AS value,
+    w * CASE WHEN on_live THEN 0.15 + exp(-0.5 * power((prev - live) / greatest(3.0, 0.3 * abs(live)), 2)) ELSE 1.0 END AS weight
+  FROM counted WHERE NOT on_live OR prev IS NOT NULL),
+shared AS (
+  SELECT *, round(sum(weight) OVER (PARTITION BY query_id ORDER BY value) / sum(weight) OVER (PARTITION BY query_id), 9) AS share FROM point),
+size AS (
+  SELECT query_id, max(sample) AS sample, power(sum(weight), 2) / sum(weight * weight) AS effective_n, bool_or(on_live) AS on_live
+  FROM point GROUP BY query_id)"""
+
+
+BLIND, LIVED = _points("CAST(NULL AS DOUBLE)"), _points("live")
+RATE = f"""rate AS (
+  SELECT query_id, avg(CAST(cancelled AS INTEGER)) AS cancel_rate, count(*) AS calls
+  FROM asked q JOIN run r ON r.train_key = q.train_key AND r.station_name = q.station_name WHERE {_near('r.tod', 'q_tod')} GROUP BY query_id)"""
+ORACLES["cancel_rate"] = _with(*RUNS, ASKED, RATE) + f"SELECT query_id, {_r('cancel_rate', 'cancel_rate')}, calls FROM rate"
+ORACLES["effective_n"] = _with(*RUNS, ASKED, LIVED) + f"SELECT query_id, sample, {_r('effective_n', 'effective_n')}, on_live FROM size"
+_Q = ", ".join(f"min(value) FILTER (WHERE share >= {p}) AS {n}" for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)))
+ORACLES["empirical_blind_quantiles"] = _with(*RUNS, ASKED, BLIND) + f"SELECT query_id, {_Q} FROM shared GROUP BY 1"
+ORACLES["empirical_delta_quantiles"] = _with(*RUNS, ASKED, LIVED) + f"SELECT query_id, {_Q} FROM shared GROUP BY 1"
+ORACLES["empirical_cdf_within5"] = _with(*RUNS, ASKED, BLIND) + """
+SELECT query_id, round(coalesce(sum(weight) FILTER (WHERE value <= 5), 0) / sum(weight), 6) + 0.0 AS p_within5,
+  round(coalesce(sum(weight) FILTER (WHERE value <= 0), 0) / sum(weight), 6) + 0.0 AS p_on_time FROM point GROUP BY 1"""
+ORACLES["distribution_histogram"] = _with(
+    *RUNS,
+    ASKED,
+    LIVED,
+    """edge AS (
+  SELECT query_id, greatest(CAST(floor(min(value) FILTER (WHERE share >= 0.005)) AS INTEGER), -20) AS lo,
+    CAST(ceil(min(value) FILTER (WHERE share >= 0.995)) AS INTEGER) AS top FROM shared GROUP BY 1),
+framed AS (SELECT query_id, lo, greatest(least(top, 180), lo + 6) AS hi FROM edge),
+laid AS (SELECT *, CASE WHEN hi - lo <= 30 THEN 1 WHEN hi - lo <= 75 THEN 2 ELSE 5 END AS width FROM framed),
+bin AS (SELECT query_id, width, unnest(generate_series(CAST(floor(lo / width) * width AS INTEGER), hi - 1, width)) AS bin FROM laid)""",
+) + """
+SELECT query_id, CAST(bin AS INTEGER) AS bin, width,
+  round((coalesce(sum(weight) FILTER (WHERE value > bin AND value <= bin + width), 0)) / sum(weight), 6) + 0.0 AS share,
+  CAST(CASE WHEN width * 31 <= 40 THEN 10 WHEN width * 31 <= 60 THEN 15 WHEN width * 31 <= 120 THEN 30 WHEN width * 31 <= 240 THEN 60 END AS INTEGER) AS tick
+FROM bin JOIN point USING (query_id) GROUP BY query_id, bin, width"""
+
+_LONG = "'ICE','IC','EC','ECE','RJ','RJX','NJ','EN','FLX','TGV','D','IR'"
+
+
+def _class(c: str) -> str:
+    return f"""CASE WHEN upper({c}) IN ({_LONG}, 'WB') THEN 'LONG_DISTANCE' WHEN upper({c}) = 'S' THEN 'SBAHN'
+  WHEN upper({c}) IN ('RE','RB','IRE','MEX','TER','BRB','AG') THEN 'REGIONAL' WHEN regexp_matches({c}, '^\\p{{L}}') THEN 'REGIONAL' ELSE 'OTHER' END"""
+
+
+def _bucket(c: str) -> str:
+    return f"CASE WHEN {c} IN ({_LONG}) THEN 'long_distance' WHEN {c} = 'S' THEN 'sbahn' ELSE 'regional' END"
+
+
+def _band(t: str) -> str:
+    return f"""CASE WHEN hour({t}) BETWEEN 6 AND 8 THEN 'MORNING_PEAK' WHEN hour({t}) BETWEEN 9 AND 15 THEN 'MIDDAY'
+  WHEN hour({t}) BETWEEN 16 AND 18 THEN 'EVENING_PEAK' ELSE 'NIGHT' END"""
+
+
+ORACLES["train_class_time_band"] = _with(KEYED, MANY) + f"""
+SELECT category, {_class('category')} AS train_class, {_bucket('category')} AS bucket, {_band('t')} AS band,
+  {_class('category')} <> 'LONG_DISTANCE' AS covered, count(*) AS n
+FROM (SELECT unnest([train_type, 'WB', 'ice', 's', 'Ag', 'ALX', '4x', '']) AS category,
+  coalesce(arrival_planned_time, departure_planned_time) AS t FROM stop_event) GROUP BY ALL"""
+ORACLES["departure_defaults"] = _with(KEYED) + f"""
+SELECT event_id, {_ts('depart')},
+  CAST(greatest(0, date_sub('minute', now, depart)) AS INTEGER) AS travel, strftime(depart + to_minutes(CAST(floor(value) AS BIGINT)), '%H:%M') AS clock
+FROM (
+  SELECT *, CASE WHEN k % 2 = 0 THEN CAST(date AS TIMESTAMP) + to_minutes((k % 24) * 60 + CASE WHEN k % 4 = 0 THEN k % 60 ELSE 0 END)
+    WHEN date <> CAST(ts AS DATE) THEN CAST(date AS TIMESTAMP) + INTERVAL 6 HOUR ELSE now END AS depart
+  FROM (SELECT *, date_trunc('minute', ts) AS now, CASE WHEN k % 3 = 0 THEN CAST(ts AS DATE) + k % 5 ELSE CAST(ts AS DATE) END AS date FROM keyed))"""
+
+# ---------------------------------------------------------------- bucket model and forecast
+
+STATS = f"""obs AS (
+  SELECT {_class('train_type')} AS train_class, {_band('planned')} AS time_band,
+    greatest(-15.0, least(240.0, coalesce(arr_delay, dep_delay))) AS x
+  FROM prepared WHERE NOT is_canceled AND coalesce(arr_delay, dep_delay) IS NOT NULL),
+stats AS (SELECT train_class, time_band, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS m2 FROM obs GROUP BY ALL),
+prior AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}, {b}, {c}, {e})" for k, (a, b, c, e) in PRIORS.items())})
+  t(train_class, mu0, kappa0, alpha0, beta0))"""
+# Needs wanted(..., train_class, time_band).
+PREDICTIVE = """pred AS (
+  SELECT * EXCLUDE (n, mean, m2), 2 * (alpha0 + n / 2) AS df, (kappa0 * mu0 + n * mean) / (kappa0 + n) AS loc,
+    sqrt((beta0 + m2 / 2 + kappa0 * n * power(mean - mu0, 2) / (2 * (kappa0 + n))) * (kappa0 + n + 1)
+      / ((alpha0 + n / 2) * (kappa0 + n))) AS scale
+  FROM (SELECT w.*, mu0, kappa0, alpha0, beta0, CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(mean, 0) AS mean, coalesce(m2, 0) AS m2
+    FROM wanted w JOIN prior USING (train_class) LEFT JOIN stats USING (train_class, time_band)))"""
+_WANTED = f"""wanted AS (SELECT DISTINCT {_class('train_type')} AS train_class,
+  unnest(['MORNING_PEAK', 'MIDDAY', 'EVENING_PEAK', 'NIGHT']) AS time_band FROM prepared)"""
+ORACLES["bucket_stats"] = _with(KEYED, MANY, PREPARED, STATS) + f"SELECT train_class, time_band, n, {_r('mean', 'mean')}, {_r('m2', 'm2', 3)} FROM stats"
+ORACLES["stream_bucket_stats"] = _with(KEYED, MANY, PREPARED, STATS) + f"SELECT train_class, time_band, 2 * n AS n, {_r('mean', 'mean')}, {_r('2 * m2', 'm2', 3)} FROM stats"
+_PARAMS = ", ".join(_r(c, c) for c in ("df", "loc", "scale"))
+ORACLES["nig_posterior"] = _with(KEYED, MANY, PREPARED, STATS, _WANTED, PREDICTIVE) + f"SELECT train_class, time_band, {_PARAMS} FROM pred"
+ORACLES["live_anchor"] = _with(KEYED, MANY, PREPARED, STATS, _WANTED, PREDICTIVE) + f"""
+SELECT train_class, time_band, {_PARAMS} FROM (SELECT * REPLACE (
+  CASE WHEN time_band <> 'MIDDAY' THEN length(time_band) * 1.5 ELSE loc END AS loc,
+  CASE WHEN time_band <> 'MIDDAY' THEN greatest(scale * 0.4, 1.2) ELSE scale END AS scale) FROM pred)"""
+ORACLES["forecast_source"] = _with(
+    *RUNS,
+    STATS,
+    ASKED,
+    LIVED,
+    RATE,
+    f"""every AS (SELECT * FROM asked UNION ALL
+  SELECT * REPLACE ('unseen|' || query_id AS query_id) FROM asked WHERE number = '3'),
+wanted AS (SELECT query_id, live, {_class('category')} AS train_class,
+  {_band("CAST(as_of AS TIMESTAMP) + to_minutes(q_tod)")} AS time_band FROM every)""",
+    PREDICTIVE,
+) + f"""
+SELECT p.query_id, CASE WHEN s.query_id IS NULL THEN 'PRIOR' WHEN on_live THEN 'EMPIRICAL_LIVE' ELSE 'EMPIRICAL' END AS source,
+  coalesce(sample, 0) AS run_count, {_r('coalesce(effective_n, 0)', 'effective_runs')}, {_r('cancel_rate', 'cancel_probability')},
+  {_r('CASE WHEN s.query_id IS NULL THEN df END', 'df')},
+  {_r('CASE WHEN s.query_id IS NULL THEN coalesce(live, loc) END', 'loc')},
+  {_r('CASE WHEN s.query_id IS NULL THEN CASE WHEN live IS NULL THEN scale ELSE greatest(scale * 0.4, 1.2) END END', 'scale')}
+FROM pred p LEFT JOIN (SELECT * FROM size WHERE effective_n >= 8) s USING (query_id) LEFT JOIN rate r ON r.query_id = s.query_id"""
