@@ -258,13 +258,10 @@ _LABEL = """coalesce(CASE WHEN starts_with(line_number, train_type) THEN line_nu
   ELSE train_type || ' ' || line_number END, train_type || ' ' || train_number)"""
 ORACLES["train_identity_key"] = _with(KEYED, MANY) + f"""
 SELECT ltrim(eva, '0') AS eva, train_type || ' ' || train_number AS identity,
-  upper(train_type || '_' || train_number) || coalesce('_' || line_number, '') AS tail,
-  count(*) AS n FROM stop_event GROUP BY ALL""".replace(
-    "upper(train_type || '_' || train_number) || coalesce('_' || line_number, '') AS tail,",
-    f"""'X_' || {_key("train_type || ' ' || train_number")} || coalesce('_' || line_number, '') AS train_key,
+  'X_' || {_key("train_type || ' ' || train_number")} || coalesce('_' || line_number, '') AS train_key,
   {_key("train_type || ' ' || train_number")} || coalesce(',' || line_number, '') AS keys,
-  {_LABEL} AS label,""",
-)
+  {_LABEL} AS label, count(*) AS n
+FROM stop_event GROUP BY ALL"""
 ORACLES["semi_join_station_trains"] = _with(KEYED, NETWORK) + """
 SELECT train_type || ' ' || train_number AS identity, ltrim(eva, '0') AS eva, count(*) AS n FROM stop_event
 WHERE train_type || train_number IN (SELECT train_type || train_number FROM stop_event WHERE eva = '08002') GROUP BY ALL"""
@@ -293,7 +290,7 @@ ORACLES["history_nested_columnar"] = _with(
     dep_delay NULLS FIRST, prev_delay NULLS FIRST, cancelled))""",
 ) + """
 SELECT train_key, station_name, CAST(0 AS INTEGER) AS block, min(eva) AS eva,
-  string_agg(DISTINCT CAST(tod AS VARCHAR), ',' ORDER BY lpad(CAST(tod AS VARCHAR), 4, '0')) AS tod_text,
+  array_to_string(list_sort(list(DISTINCT tod)), ',') AS tod,
   string_agg(CAST(CASE WHEN before IS NULL THEN day - DATE '1970-01-01' ELSE day - before END AS VARCHAR), ',' ORDER BY i) AS days,
   CASE WHEN max(t) > 0 THEN string_agg(CAST(t AS VARCHAR), ',' ORDER BY i) END AS t,
   string_agg(coalesce(CAST(arr_delay AS VARCHAR), '-'), ',' ORDER BY i) AS a,
@@ -302,10 +299,6 @@ SELECT train_key, station_name, CAST(0 AS INTEGER) AS block, min(eva) AS eva,
   string_agg(coalesce(CAST(prev_delay AS VARCHAR), '-'), ',' ORDER BY i) AS p,
   string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE cancelled) AS c
 FROM r GROUP BY 1, 2"""
-ORACLES["history_nested_columnar"] = ORACLES["history_nested_columnar"].replace(
-    "string_agg(DISTINCT CAST(tod AS VARCHAR), ',' ORDER BY lpad(CAST(tod AS VARCHAR), 4, '0')) AS tod_text",
-    "array_to_string(list_sort(list(DISTINCT tod)), ',') AS tod",
-)
 _BAG = f"""
 SELECT train_key, station_name, eva, {_day('day')}, tod, arr_delay, dep_delay, prev_delay, cancelled, count(*) AS n
 FROM {{source}} GROUP BY ALL"""
@@ -353,7 +346,7 @@ SELECT count(*) AS entries, count(DISTINCT eva) AS stations FROM entry"""
 
 DAY0 = "day0 AS (SELECT max(CAST(coalesce(arrival_planned_time, departure_planned_time) AS DATE)) + 1 AS day FROM stop_event)"
 # Needs req(board_id, eva, start_ts, end_ts).
-SYN = f"""dated AS (SELECT req.*, CAST(start_ts AS DATE) + o AS date FROM req, (VALUES (0), (1)) t(o)),
+SYN = f"""dated AS (SELECT q.*, CAST(start_ts AS DATE) + o AS date FROM req q, (VALUES (0), (1)) t(o)),
 syn0 AS (
   SELECT board_id, date, e.*, CAST(date AS TIMESTAMP) + to_minutes(arr_tod) AS arr_planned,
     CAST(date AS TIMESTAMP) + to_minutes(dep_tod) AS dep_planned, start_ts, end_ts
@@ -392,7 +385,7 @@ ORACLES["route_after_stop"] = _with(
 ) + "SELECT train_key, origin_eva, origin_tod, array_to_string(path, '|') AS path FROM route"
 ORACLES["timetable_check"] = _with(
     *RUNS,
-    FEED.replace("feed AS", "feed AS", 1),
+    FEED,
     CALL,
     f"""asked AS (SELECT DISTINCT {_key("category || ' ' || number")} AS train_key, lower(station) AS station_name,
     CAST(hour(coalesce(arr_planned, dep_planned)) * 60 + minute(coalesce(arr_planned, dep_planned)) + 7 AS INTEGER) AS tod FROM plan WHERE labelled)""",
@@ -531,3 +524,301 @@ SELECT p.query_id, CASE WHEN s.query_id IS NULL THEN 'PRIOR' WHEN on_live THEN '
   {_r('CASE WHEN s.query_id IS NULL THEN coalesce(live, loc) END', 'loc')},
   {_r('CASE WHEN s.query_id IS NULL THEN CASE WHEN live IS NULL THEN scale ELSE greatest(scale * 0.4, 1.2) END END', 'scale')}
 FROM pred p LEFT JOIN (SELECT * FROM size WHERE effective_n >= 8) s USING (query_id) LEFT JOIN rate r ON r.query_id = s.query_id"""
+
+# ---------------------------------------------------------------- backtest
+
+
+def _folded(d: str) -> str:
+    return f"CASE WHEN {_holiday(d, True)} THEN 6 ELSE isodow({d}) - 1 END"
+
+
+EVAL = f"""ev AS (
+  SELECT eva, train_type, train_number, day, tod, {_clamp('coalesce(arr_delay, dep_delay)')} AS delay, {_clamp('prev_delay')} AS prev
+  FROM prepared WHERE eva IN ('8000', '8001', '8002', '8003') AND NOT is_canceled AND coalesce(arr_delay, dep_delay) IS NOT NULL),
+gate AS (SELECT * FROM ev QUALIFY count(*) OVER (PARTITION BY eva, train_type, train_number) >= 15),
+num AS (SELECT row_number() OVER (ORDER BY eva, train_type, train_number, day, tod, delay, prev) AS id, *,
+  {_folded('day')} AS folded FROM gate),
+pair0 AS (
+  SELECT q.id, q.eva, q.train_type, q.train_number, q.day, q.tod, q.delay AS y, q.prev AS live,
+    h.delay AS final, h.prev, q.day - h.day AS age, isodow(q.day) = isodow(h.day) AS same, q.folded = h.folded AS same_hol
+  FROM num q JOIN num h ON h.eva = q.eva AND h.train_type = q.train_type AND h.train_number = q.train_number
+    AND h.day < q.day AND abs(h.tod - q.tod) <= 20
+  WHERE q.day >= (SELECT max(day) FROM ev) - 7),
+pair AS (SELECT *, count(*) OVER w AS seen, count(prev) OVER w AS known FROM pair0 WINDOW w AS (PARTITION BY id)
+  QUALIFY count(*) OVER w >= 10)"""
+
+_EVAL_PARTS = (KEYED, MANY, PREPARED, EVAL)
+
+
+def _decay(half_life: float) -> str:
+    return f"exp(-ln(2.0) / {half_life} * age)"
+
+
+# name -> (weight without live information, mode, kernel factor)
+_VARIANTS = {
+    "uniform": ("1.0", None, None),
+    "hl60": (_decay(60), None, None),
+    "hl30": (_decay(30), None, None),
+    "hl14": (_decay(14), None, None),
+    "hl7": (_decay(7), None, None),
+    "window35": ("CASE WHEN age <= 35 THEN 1e0 ELSE 0e0 END", None, None),
+    "hl14_wd2": (_decay(14) + " * CASE WHEN same THEN 2 ELSE 1 END", None, None),
+    "hl14_wd2_hol": (_decay(14) + " * CASE WHEN same_hol THEN 2 ELSE 1 END", None, None),
+    "hl60_wd2": (_decay(60) + " * CASE WHEN same THEN 2 ELSE 1 END", None, None),
+    "hl30_wd2": (_decay(30) + " * CASE WHEN same THEN 2 ELSE 1 END", None, None),
+    "hl30_wd4": (_decay(30) + " * CASE WHEN same THEN 4 ELSE 1 END", None, None),
+    "hl30_wd2_hol": (_decay(30) + " * CASE WHEN same_hol THEN 2 ELSE 1 END", None, None),
+    "hl30_wd2_kernel": (_decay(30) + " * CASE WHEN same THEN 2 ELSE 1 END", "kernel", 0.3),
+    "hl30_wd2_delta": (_decay(30) + " * CASE WHEN same THEN 2 ELSE 1 END", "delta", 0.3),
+    "hl30_wd2_delta_nok": (_decay(30) + " * CASE WHEN same THEN 2 ELSE 1 END", "delta", 0.0),
+    "hl14_delta": (_decay(14), "delta", 0.3),
+}
+
+
+def _scored(names: list[str]) -> str:
+    """Points of every evaluation row, variant and scenario, and their scores."""
+    parts = []
+    ident = "id, eva, train_type, train_number, day, tod, live, y"
+    for name in names:
+        w, mode, factor = _VARIANTS[name]
+        parts.append(f"SELECT '{name}' AS variant, 'blind' AS scenario, {ident}, CAST(final AS DOUBLE) AS value, {w} AS weight FROM pair")
+        lived = "FROM pair WHERE live IS NOT NULL"
+        if mode is None:
+            parts.append(f"SELECT '{name}', 'live', {ident}, CAST(final AS DOUBLE), {w} {lived}")
+            continue
+        bump = f"exp(-0.5 * power((prev - live) / greatest(3.0, {factor} * abs(live)), 2))"
+        if mode == "delta":
+            k = f"(0.15 + {bump})" if factor > 0 else "1.0"
+            parts.append(
+                f"SELECT '{name}', 'live', {ident}, CASE WHEN known >= 8 THEN CAST(live + final - prev AS DOUBLE) ELSE final END,"
+                f" {w} * CASE WHEN known >= 8 THEN {k} ELSE 1.0 END {lived} AND (known < 8 OR prev IS NOT NULL)"
+            )
+        else:
+            k = f"CASE WHEN prev IS NULL THEN 0.05 ELSE {bump} END"
+            parts.append(
+                f"SELECT '{name}', 'live', {ident}, CAST(final AS DOUBLE), w * CASE WHEN sum(k) OVER o >= 8"
+                f" AND power(sum(w * k) OVER o, 2) / sum(w * w * k * k) OVER o >= 8 THEN k ELSE 1.0 END"
+                f" FROM (SELECT *, {w} AS w, {k} AS k {lived}) WINDOW o AS (PARTITION BY id)"
+            )
+    return (
+        "pt AS (" + "\nUNION ALL ".join(parts) + """),
+per AS (
+  SELECT variant, scenario, id, eva, train_type, train_number, day, tod, live, y, value, sum(weight) AS w
+  FROM pt GROUP BY ALL),
+cum AS (
+  SELECT *, sum(w) OVER (g ORDER BY value) AS c, sum(w) OVER g AS t FROM per WINDOW g AS (PARTITION BY variant, scenario, id)),
+score0 AS (
+  SELECT variant, scenario, id, eva, train_type, train_number, day, tod, live, y,
+    sum(w / t * abs(value - y)) - sum(w / t * value * ((c - w) / t - (1 - c / t))) AS crps,
+    min(value) FILTER (WHERE round(c / t, 9) >= 0.1) AS q10, min(value) FILTER (WHERE round(c / t, 9) >= 0.5) AS q50,
+    min(value) FILTER (WHERE round(c / t, 9) >= 0.9) AS q90
+  FROM cum WHERE t > 0 GROUP BY ALL),
+score AS (
+  SELECT *, CASE WHEN y < q10 THEN 0.9 * (q10 - y) ELSE 0.1 * (y - q10) END AS pinball10,
+    CASE WHEN y < q50 THEN 0.5 * (q50 - y) ELSE 0.5 * (y - q50) END AS pinball50,
+    CASE WHEN y < q90 THEN 0.1 * (q90 - y) ELSE 0.9 * (y - q90) END AS pinball90,
+    y BETWEEN q10 AND q90 AS covered80 FROM score0)"""
+    )
+
+
+_STATE = "eva, train_type, train_number, day, tod"
+ORACLES["backtest_pairs"] = _with(*_EVAL_PARTS) + f"""
+SELECT eva, train_type, train_number, {_day('day')}, tod, count(*) AS runs, max(known) AS known,
+  {_r(f"sum({_VARIANTS['hl30_wd2'][0]})", 'w_hl30_wd2')}, {_r(f"sum({_VARIANTS['window35'][0]})", 'w_window35')},
+  {_r(f"sum({_VARIANTS['hl14_wd2_hol'][0]})", 'w_hl14_wd2_hol')}
+FROM pair WHERE id IN (SELECT min(id) FROM num GROUP BY {_STATE}) GROUP BY eva, train_type, train_number, day, tod"""
+ORACLES["backtest_crps"] = _with(*_EVAL_PARTS, _scored(["hl30_wd2", "hl30_wd2_kernel", "hl30_wd2_delta", "hl14_delta"])) + f"""
+SELECT variant, scenario, eva, train_type, train_number, {_day('day')}, tod, live, y, count(*) AS c,
+  {_r('min(crps)', 'crps')}, {_r('min(pinball10)', 'pinball10')}, {_r('min(pinball50)', 'pinball50')}, {_r('min(pinball90)', 'pinball90')},
+  bool_and(covered80) AS covered80
+FROM score GROUP BY variant, scenario, eva, train_type, train_number, score.day, tod, live, y"""
+ORACLES["backtest_scores_grouping_sets"] = _with(*_EVAL_PARTS, _scored(list(_VARIANTS))) + f"""
+SELECT variant, scenario, coalesce(bucket, 'all') AS bucket, count(*) AS n, round(avg(crps), 3) AS crps, round(avg(pinball10), 3) AS pinball10,
+  round(avg(2 * pinball50), 3) AS pinball50_mae, round(avg(pinball90), 3) AS pinball90, round(avg(CAST(covered80 AS INTEGER)), 3) AS coverage80
+FROM (SELECT *, {_bucket('train_type')} AS bucket FROM score)
+GROUP BY GROUPING SETS ((variant, scenario, bucket), (variant, scenario))"""
+
+# ---------------------------------------------------------------- transfers and journeys
+
+INDEX = "idx AS (SELECT train_key, station_name, min(eva) AS eva FROM run GROUP BY ALL)"
+_CALLS = (KEYED, NETWORK, PREPARED, RUN, ENTRY, DAY0, STATION, CALL, INDEX)
+
+# Needs req(board_id, eva, start_ts, end_ts, hours).
+BOARDS = f"""lreq AS (SELECT eva AS board_id, eva, CAST(day AS TIMESTAMP) AS start_ts, CAST(day + 1 AS TIMESTAMP) AS end_ts FROM day0, (SELECT DISTINCT eva FROM entry)),
+{SYN.replace('dated AS', 'ldated AS').replace('FROM req q', 'FROM lreq q').replace('syn0', 'lsyn0').replace('FROM dated', 'FROM ldated').replace('syn AS', 'lsyn AS')},
+{SYN},
+origin AS (
+  SELECT DISTINCT category || '_' || number AS train_key, eva AS origin_eva, dep_tod AS origin_tod
+  FROM (SELECT category, number, eva, dep_tod FROM syn UNION ALL SELECT category, number, eva, dep_tod FROM lsyn) WHERE dep_tod IS NOT NULL),
+{ROUTE},
+lstop AS (
+  SELECT 'live-' || category || '-' || number || '-' || s.eva AS stop_id, s.eva, category, number, arr_planned,
+    CASE WHEN CAST(number AS INTEGER) % 2 = 1 THEN arr_planned + to_minutes(CAST(number AS BIGINT)) END AS arr_changed,
+    dep_planned, CASE WHEN CAST(number AS INTEGER) % 3 = 1 THEN dep_planned + to_minutes(CAST(number AS BIGINT) % 4 * 3) END AS dep_changed,
+    number = '5' AS dep_cancelled, path
+  FROM lsyn s LEFT JOIN route r ON r.train_key = category || '_' || number AND origin_eva = s.eva AND origin_tod = dep_tod
+  WHERE category IN ('S', 'RE')),
+live_row AS (
+  SELECT board_id, l.stop_id, category, number, arr_planned, arr_changed, dep_planned, dep_changed, dep_cancelled, path, false AS typical
+  FROM req JOIN lstop l ON l.eva = req.eva
+  WHERE date_trunc('hour', coalesce(dep_planned, arr_planned)) BETWEEN date_trunc('hour', start_ts) AND date_trunc('hour', start_ts) + to_hours(hours - 1)),
+board AS (
+  SELECT * FROM live_row UNION ALL
+  SELECT board_id, stop_id, category, number, arr_planned, CAST(NULL AS TIMESTAMP), dep_planned, CAST(NULL AS TIMESTAMP), false, path, true
+  FROM syn s LEFT JOIN route r ON r.train_key = category || '_' || number AND origin_eva = s.eva AND origin_tod = dep_tod
+  WHERE board_id NOT IN (SELECT board_id FROM live_row))"""
+
+_CONN = f"""request AS (
+  SELECT train_key || '|' || c.eva AS query_id, split_part(train_key, '_', 1) AS f_category, split_part(train_key, '_', 2) AS f_number,
+    CAST(day AS TIMESTAMP) + to_minutes(min(tod)) AS start_ts, n.eva AS t_eva, n.name AS t_name, day AS as_of,
+    CASE WHEN CAST(split_part(train_key, '_', 2) AS INTEGER) % 2 = 0 THEN false
+      ELSE {_class("split_part(train_key, '_', 1)")} <> 'LONG_DISTANCE' END AS ticket_only
+  FROM call c JOIN station n ON CAST(n.eva AS INTEGER) = CAST(c.eva AS INTEGER) + 1, day0 WHERE CAST(c.eva AS INTEGER) < 8003
+  GROUP BY train_key, c.eva, n.eva, n.name, day),
+req AS (SELECT query_id AS board_id, t_eva AS eva, start_ts, start_ts + INTERVAL 4 HOUR AS end_ts, 4 AS hours FROM request),
+{BOARDS},
+seen_stop AS (SELECT * FROM request JOIN board ON board_id = query_id),
+feeder AS (
+  SELECT query_id, arr_planned AS feeder_planned, date_sub('second', arr_planned, arr_changed) / 60.0 AS live
+  FROM (SELECT * FROM seen_stop WHERE category = f_category AND number = f_number
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(dep_planned, arr_planned), stop_id) = 1)
+  WHERE arr_planned IS NOT NULL),
+asked AS (
+  SELECT query_id, f_category || '_' || f_number AS train_key, station_name, hour(feeder_planned) * 60 + minute(feeder_planned) AS q_tod, as_of, live
+  FROM request JOIN feeder USING (query_id) JOIN idx ON idx.train_key = f_category || '_' || f_number AND idx.eva = t_eva),
+{LIVED},
+sample AS (
+  SELECT s.query_id, i, min(value) AS delay FROM shared s JOIN size z USING (query_id), generate_series(0, 79) t(i)
+  WHERE effective_n >= 8 AND share >= (i + 0.5) / 80 GROUP BY ALL),
+near0 AS (
+  SELECT s.*, feeder_planned FROM seen_stop s JOIN feeder USING (query_id)
+  WHERE dep_planned IS NOT NULL AND NOT (category = f_category AND number = f_number)
+    AND EXISTS (SELECT 1 FROM (SELECT unnest(path) AS x) WHERE contains(lower(x), 'nation_03'))
+    AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE') AND dep_planned >= feeder_planned - INTERVAL 30 MINUTE
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 6),
+near AS (SELECT *, category || '_' || number AS c_key, date_sub('second', dep_planned, dep_changed) / 60.0 AS dep_live,
+  hour(dep_planned) * 60 + minute(dep_planned) AS dep_at FROM near0),
+arrival AS (
+  SELECT train_key, station_name, day, tod AS arr_tod, coalesce(arr_delay, dep_delay) AS arr FROM run
+  WHERE NOT cancelled AND coalesce(arr_delay, dep_delay) IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY train_key, station_name, day ORDER BY tod DESC, coalesce(arr_delay, dep_delay) DESC) = 1),
+newest AS (SELECT train_key, station_name, arg_max(arr_tod, day) AS arr_tod FROM arrival GROUP BY ALL),
+jr AS (
+  SELECT query_id, stop_id AS cand_id, coalesce(r.dep_delay, r.arr_delay) AS dep, a.arr, {_weight('r.day', 'as_of')} AS w
+  FROM near n JOIN idx ti ON ti.train_key = c_key AND ti.eva = t_eva
+  JOIN run r ON r.train_key = c_key AND r.station_name = ti.station_name AND {_near('r.tod', 'dep_at')}
+  JOIN arrival a ON a.train_key = c_key AND a.station_name = 'NATION_03' AND a.day = r.day
+  WHERE NOT r.cancelled AND coalesce(r.dep_delay, r.arr_delay) IS NOT NULL),
+rates AS (
+  SELECT query_id, stop_id AS cand_id, avg(CAST(r.cancelled AS INTEGER)) AS cancel_rate
+  FROM near n JOIN idx ti ON ti.train_key = c_key AND ti.eva = t_eva
+  JOIN run r ON r.train_key = c_key AND r.station_name = ti.station_name AND {_near('r.tod', 'dep_at')} GROUP BY ALL),
+cand0 AS (
+  SELECT n.query_id, n.stop_id AS cand_id, dep_planned, dep_live, dep_cancelled, feeder_planned, coalesce(cancel_rate, 0) AS cancel_rate,
+    CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) AS same_day, coalesce(total, 0) AS total, coalesce(runs, 0) AS runs
+  FROM near n JOIN newest w ON w.train_key = c_key AND w.station_name = 'NATION_03'
+  LEFT JOIN rates r ON r.query_id = n.query_id AND r.cand_id = n.stop_id
+  LEFT JOIN (SELECT query_id, cand_id, sum(w) AS total, count(*) AS runs FROM jr GROUP BY ALL) j ON j.query_id = n.query_id AND j.cand_id = n.stop_id),
+cand1 AS (
+  SELECT *, CASE WHEN same_day < dep_planned THEN same_day + INTERVAL 1 DAY ELSE same_day END AS arr_planned FROM cand0
+  WHERE (runs >= 5 OR dep_live IS NOT NULL OR dep_cancelled) AND (dep_cancelled OR dep_live IS NOT NULL OR runs > 0)),
+ref AS (SELECT query_id, arg_min(arr_planned, (dep_planned, cand_id)) AS reference_arrival FROM cand1 WHERE NOT dep_cancelled GROUP BY 1),
+cand AS (SELECT *, date_sub('second', reference_arrival, arr_planned) / 60.0 AS b FROM cand1 JOIN ref USING (query_id)),
+met AS (
+  SELECT c.*, i, delay + 5 + date_sub('second', dep_planned, feeder_planned) / 60.0 AS threshold FROM cand c JOIN sample USING (query_id)),
+stay AS (
+  SELECT m.query_id, m.cand_id, m.i, sum(CASE WHEN dep >= threshold THEN w ELSE 0 END) / sum(w) AS stay
+  FROM met m JOIN jr ON jr.query_id = m.query_id AND jr.cand_id = m.cand_id GROUP BY ALL),
+chance AS (
+  SELECT m.*, CASE WHEN dep_cancelled THEN 0.0 WHEN dep_live IS NOT NULL THEN CASE WHEN dep_live >= threshold THEN 1.0 ELSE 0.0 END
+    ELSE (1 - cancel_rate) * stay END AS p FROM met m LEFT JOIN stay s USING (query_id, cand_id, i)),
+reach AS (
+  SELECT *, coalesce(product(1 - p) OVER (PARTITION BY query_id, i ORDER BY dep_planned, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) / 80.0 AS reach FROM chance),
+pnt0 AS (
+  SELECT r.query_id, b + arr AS value, reach * (1 - cancel_rate) * w / total AS weight FROM reach r JOIN jr USING (query_id, cand_id)
+  WHERE NOT dep_cancelled AND dep_live IS NULL AND dep >= threshold
+  UNION ALL
+  SELECT r.query_id, b + dep_live + coalesce(arr - dep, 0), reach * coalesce(w / total, 1) FROM reach r LEFT JOIN jr USING (query_id, cand_id)
+  WHERE NOT dep_cancelled AND dep_live IS NOT NULL AND p = 1),
+pnt AS (SELECT query_id, value, sum(weight) AS weight FROM pnt0 GROUP BY ALL HAVING sum(weight) > 0),
+caught AS (
+  SELECT query_id, cand_id, any_value(dep_planned) AS dep_planned, any_value(arr_planned) AS arr_planned, bool_and(dep_cancelled) AS dep_cancelled,
+    any_value(feeder_planned) AS feeder_planned, any_value(reference_arrival) AS reference_arrival, sum(reach * p) AS board_probability
+  FROM reach WHERE query_id IN (SELECT query_id FROM pnt) GROUP BY ALL),
+missed AS (SELECT query_id, sum(m) / 80.0 AS miss FROM (SELECT query_id, i, product(1 - p) AS m FROM reach GROUP BY ALL) GROUP BY 1),
+result AS (
+  SELECT query_id, any_value(reference_arrival) AS reference_arrival,
+    coalesce(arg_min(board_probability, (dep_planned, cand_id)) FILTER (WHERE NOT dep_cancelled AND dep_planned >= feeder_planned),
+      arg_min(board_probability, (dep_planned, cand_id)) FILTER (WHERE NOT dep_cancelled)) AS catch
+  FROM caught GROUP BY 1)"""
+ORACLES["connection_outcome"] = _with(*_CALLS, _CONN) + f"""
+SELECT q.query_id, CASE WHEN feeder_planned IS NULL THEN 'FEEDER_NOT_REACHING' WHEN q.query_id NOT IN (SELECT query_id FROM near) THEN 'NO_CANDIDATES'
+    WHEN catch IS NULL THEN 'NOT_ENOUGH_HISTORY' ELSE 'OK' END AS status,
+  {_ts('feeder_planned')}, {_ts('reference_arrival')}, {_r('catch', 'catch_probability')},
+  {_r('CASE WHEN catch IS NOT NULL THEN miss END', 'miss_probability')}
+FROM request q LEFT JOIN feeder f USING (query_id) LEFT JOIN result r USING (query_id) LEFT JOIN missed m USING (query_id)"""
+ORACLES["catch_and_miss"] = _with(*_CALLS, _CONN) + f"""
+SELECT query_id, cand_id, {_ts('dep_planned')}, {_ts('arr_planned')}, {_r('board_probability', 'board_probability')} FROM caught"""
+ORACLES["transfer_propagation"] = _with(*_CALLS, _CONN) + f"""
+SELECT query_id, {_r('value', 'value')}, {_r('weight', 'weight')} FROM pnt"""
+
+ORACLES["joint_candidate_runs"] = _with(
+    *_CALLS,
+    f"""spot AS (SELECT c.*, split_part(c.train_key, '_', 2) AS number, day AS as_of, CAST(day AS TIMESTAMP) + to_minutes(tod) AS dep_planned FROM call c, day0),
+last_run AS (
+  SELECT train_key, day, tod AS arr_tod, coalesce(arr_delay, dep_delay) AS arr FROM run
+  WHERE station_name = 'NATION_03' AND NOT cancelled AND coalesce(arr_delay, dep_delay) IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY train_key, day ORDER BY tod DESC, coalesce(arr_delay, dep_delay) DESC) = 1),
+newest AS (SELECT train_key, arg_max(arr_tod, day) AS arr_tod FROM last_run GROUP BY 1),
+joined AS (
+  SELECT a.*, r.cancelled, coalesce(r.dep_delay, r.arr_delay) AS dep, l.arr, {_weight('r.day', 'as_of')} AS w
+  FROM spot a JOIN run r ON r.train_key = a.train_key AND r.station_name = a.station_name AND {_near('r.tod', 'a.tod')}
+  LEFT JOIN last_run l ON l.train_key = r.train_key AND l.day = r.day),
+summed AS (
+  SELECT train_key, eva, tod, number, dep_planned, avg(CAST(cancelled AS INTEGER)) AS cancel_rate,
+    count(*) FILTER (WHERE NOT cancelled AND dep IS NOT NULL AND arr IS NOT NULL) AS n,
+    sum(w) FILTER (WHERE NOT cancelled AND dep IS NOT NULL AND arr IS NOT NULL) AS w,
+    sum(w * (arr - dep)) FILTER (WHERE NOT cancelled AND dep IS NOT NULL AND arr IS NOT NULL) AS gain
+  FROM joined GROUP BY ALL)""",
+) + f"""
+SELECT train_key || '|' || eva || '|' || tod AS cand_id,
+  {_ts("CASE WHEN CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) < dep_planned THEN CAST(CAST(dep_planned AS DATE) + 1 AS TIMESTAMP) + to_minutes(arr_tod) ELSE CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) END", 'arr_planned')},
+  {_r('cancel_rate', 'cancel_rate')}, n AS joint_runs, nullif(n, 0) AS n, {_r('w', 'w')}, {_r('gain / w', 'gain')}
+FROM summed JOIN newest USING (train_key) WHERE n >= 5 OR number IN ('7', '9')"""
+
+_JOURNEY = f"""jq AS (
+  SELECT f.eva || '|' || t.eva || '|' || h AS query_id, f.eva AS from_eva, f.name AS from_name, t.eva AS to_eva, t.name AS to_name,
+    CAST(day AS TIMESTAMP) + to_hours(h) AS depart, day AS as_of, h % 2 <> 0 AS ticket_only
+  FROM station f, station t, day0, (VALUES (3), (7), (9), (16), (18), (22)) v(h)
+  WHERE f.eva BETWEEN '8000' AND '8003' AND t.eva BETWEEN '8000' AND '8003'),
+req AS (SELECT query_id AS board_id, from_eva AS eva, depart AS start_ts, depart + INTERVAL 3 HOUR AS end_ts, 3 AS hours FROM jq WHERE from_eva <> to_eva),
+{BOARDS},
+dep AS (
+  SELECT j.*, stop_id, category, number, dep_planned, dep_changed, typical, coalesce(path, []) AS path,
+    EXISTS (SELECT 1 FROM (SELECT unnest(path) AS x) WHERE contains(lower(x), lower(to_name)) OR contains(lower(to_name), lower(x))) AS direct
+  FROM jq j JOIN board ON board_id = query_id
+  WHERE dep_planned IS NOT NULL AND NOT dep_cancelled AND dep_planned >= depart AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE'))"""
+ORACLES["fare_filter_departures"] = _with(*_CALLS, _JOURNEY) + f"""
+SELECT query_id, stop_id, {_ts('dep_planned')}, direct, typical FROM dep"""
+ORACLES["direct_itineraries"] = _with(
+    *_CALLS,
+    _JOURNEY,
+    f"""best AS (SELECT * FROM dep WHERE direct QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 3),
+newest AS (SELECT train_key, station_name, eva, arg_max(tod, (last_day, -tod)) AS arr_tod FROM call GROUP BY ALL),
+ride AS (
+  SELECT b.query_id, b.stop_id, b.dep_planned, as_of, n.train_key, n.station_name,
+    CASE WHEN CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) < dep_planned
+      THEN CAST(CAST(dep_planned AS DATE) + 1 AS TIMESTAMP) + to_minutes(arr_tod)
+      ELSE CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) END AS reference_arrival,
+    date_sub('second', dep_planned, dep_changed) / 60.0 AS live
+  FROM best b JOIN newest n ON n.train_key = category || '_' || number AND n.eva = to_eva),
+asked AS (
+  SELECT query_id || '|' || stop_id AS query_id, train_key, station_name, hour(reference_arrival) * 60 + minute(reference_arrival) AS q_tod, as_of, live FROM ride),
+{LIVED}""",
+) + f"""
+SELECT r.query_id, r.stop_id, CAST(NULL AS VARCHAR) AS transfer_station, {_ts('r.dep_planned', 'dep_planned')}, {_ts('reference_arrival')},
+  {_r('min(value) FILTER (WHERE share >= 0.5)', 'median', 4)}, {_r('min(value) FILTER (WHERE share >= 0.1)', 'q10', 4)},
+  {_r('min(value) FILTER (WHERE share >= 0.9)', 'q90', 4)},
+  CAST(NULL AS DOUBLE) AS catch_probability, CAST(NULL AS DOUBLE) AS miss_probability
+FROM ride r JOIN shared s ON s.query_id = r.query_id || '|' || r.stop_id JOIN size z ON z.query_id = s.query_id
+WHERE effective_n >= 8 GROUP BY r.query_id, r.stop_id, r.dep_planned, reference_arrival"""
