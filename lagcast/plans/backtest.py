@@ -61,7 +61,7 @@ VARIANTS = (
 
 CONNECTION = ["eva", "train_type", "train_number"]
 STATE = [*CONNECTION, "day", "tod"]
-LIVE_STATE = [*STATE, "live"]
+LIVE_STATE = ["state", "live"]
 
 
 def evaluation_rows(prepared: DataFrame, stations: DataFrame | list[str]) -> DataFrame:
@@ -120,41 +120,59 @@ def evaluated(rows: DataFrame, weeks: int) -> DataFrame:
     )
 
 
-def history_cells(rows: DataFrame, asked: DataFrame, variants=VARIANTS) -> DataFrame:
-    """Weighted cells ``(state, prev, final)`` that each evaluation state sees."""
+def with_states(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored evaluation states with a number each, and the rows carrying it."""
+    states = materialize(asked.select(*STATE).distinct().withColumn("state", F.monotonically_increasing_id()))
+    return states, materialize(asked.join(states, STATE))
+
+
+def fold_history(rows: DataFrame, states: DataFrame, variants=VARIANTS) -> DataFrame:
+    """Runs before each evaluation date as weighted cells ``(date, run_tod, prev, final)``.
+
+    One weight column per distinct base; squared weights only where a kernel
+    variant checks its sample size.
+    """
     cells = (
         gated(rows)
         .groupBy(*CONNECTION, F.col("day").alias("run_day"), F.col("tod").alias("run_tod"), "prev", F.col("delay").alias("final"))
         .agg(F.count("*").alias("n"))
     )
-    dates = asked.select(*CONNECTION, "day").distinct()
     bases = _bases(variants)
     by_base = {v.base(): v for v in reversed(variants)}
-    # Squared weights are needed only where a kernel variant checks its sample size.
     squares = {v.base() for v in variants if v.factor is not None and v.mode == "kernel"}
-    weighted = cells.join(dates, CONNECTION).filter(F.col("run_day") < F.col("day"))
+    weighted = cells.join(states.select(*CONNECTION, "day").distinct(), CONNECTION).filter(F.col("run_day") < F.col("day"))
     sums = [F.sum("n").alias("n")]
     for base, name in bases.items():
         w = _weight(by_base[base], F.col("run_day"), F.col("day"))
         sums.append(F.sum(F.col("n") * w).alias(name))
         if base in squares:
             sums.append(F.sum(F.col("n") * w * w).alias(f"{name}_sq"))
-    folded = weighted.groupBy(*CONNECTION, "day", "run_tod", "prev", "final").agg(*sums)
-    measures = [c for c in folded.columns if c == "n" or c.startswith("w_")]
-    near = (
-        asked.select(*STATE)
-        .distinct()
-        .join(folded, [*CONNECTION, "day"])
-        .filter(delays.same_connection(F.col("run_tod"), F.col("tod"), circular=False))
-        .groupBy(*STATE, "prev", "final")
-        .agg(*[F.sum(m).alias(m) for m in measures])
+    return weighted.groupBy(*CONNECTION, "day", "run_tod", "prev", "final").agg(*sums)
+
+
+def _in_window(left: DataFrame, folded: DataFrame) -> DataFrame:
+    """Cells of the connection and date within the time window of each state."""
+    return left.join(folded, [*CONNECTION, "day"]).filter(
+        delays.same_connection(F.col("run_tod"), F.col("tod"), circular=False)
     )
-    per_state = Window.partitionBy(*STATE)
-    return (
-        near.withColumn("seen", F.sum("n").over(per_state))
-        .withColumn("known", F.sum(F.when(F.col("prev").isNotNull(), F.col("n")).otherwise(0)).over(per_state))
-        .filter(F.col("seen") >= P.MIN_HISTORY)
+
+
+def blind_cells(states: DataFrame, folded: DataFrame, weights: list[str]) -> DataFrame:
+    """What each state sees without live information: ``(state, value)`` with the
+    number of runs seen and of those with a previous delay."""
+    known = F.when(F.col("prev").isNotNull(), F.col("n")).otherwise(0)
+    collapsed = folded.groupBy(*CONNECTION, "day", "run_tod", "final").agg(
+        F.sum("n").alias("n"), F.sum(known).alias("n_known"), *[F.sum(w).alias(w) for w in weights]
+    )
+    near = (
+        _in_window(states, collapsed)
+        .groupBy("state", F.col("final").alias("value"))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "n_known", *weights)])
     )
+    per_state = Window.partitionBy("state")
+    return near.withColumns(
+        {"seen": F.sum("n").over(per_state), "known": F.sum("n_known").over(per_state)}
+    ).filter(F.col("seen") >= P.MIN_HISTORY)
 
 
 def score_points(points: DataFrame, keys: list[str], weights: list[str], observed: DataFrame) -> DataFrame:
@@ -226,82 +244,79 @@ SCORES = ["crps", "pinball10", "pinball50", "pinball90", "covered80"]
 def _named(scores: DataFrame, mapping: list[tuple[str, str]], scenario: str, extra: list[str]) -> DataFrame:
     """Score rows of each variant from its weighting."""
     names = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(w).alias("needs")) for n, w in mapping])
-    rows = scores.withColumn("v", F.explode(names)).filter(F.col("v.needs") == F.col("weighting"))
+    rows = scores.withColumn("v", F.explode(F.filter(names, lambda v: v["needs"] == F.col("weighting"))))
     return rows.select(F.col("v.variant").alias("variant"), F.lit(scenario).alias("scenario"), *extra, *SCORES)
 
 
 def score_rows(rows: DataFrame, weeks: int, variants=VARIANTS) -> DataFrame:
     """Scores per ``(variant, scenario, state, live, y)`` with their row count ``c``."""
-    asked = materialize(evaluated(rows, weeks))
-    cells = materialize(history_cells(rows, asked, variants))
+    states, asked = with_states(evaluated(rows, weeks))
+    folded = materialize(fold_history(rows, states, variants))
     bases = _bases(variants)
     weights = list(bases.values())
     extra = [*STATE, "live", "y", "c"]
 
-    ready = asked.join(cells.select(*STATE).distinct(), STATE, "left_semi")
-    blind_points = cells.select(*STATE, F.col("final").alias("value"), *weights)
-    blind = materialize(score_points(blind_points, STATE, weights, ready))
-    all_blind = _named(blind, [(v.name, bases[v.base()]) for v in variants], "blind", extra)
-    with_live = blind.filter("live is not null")
+    blind = materialize(blind_cells(states, folded, weights))
+    gates = blind.select("state", "known").distinct()
+    ready = materialize(asked.join(gates, "state"))
+    scored = materialize(score_points(blind, ["state"], weights, ready))
+    with_live = scored.filter("live is not null")
     plain = [(v.name, bases[v.base()]) for v in variants if v.factor is None]
-    parts = [all_blind, _named(with_live, plain, "live", extra)]
-
-    moving = [v for v in variants if v.factor is not None]
-    if moving:
-        lived = ready.filter("live is not null")
-        pairs = lived.select(*LIVE_STATE).distinct().join(cells, STATE)
-        # Where a variant does not trust its live weights it falls back to its base.
-        fallback = []
-        deltas = [v for v in moving if v.mode == "delta"]
-        if deltas:
-            known = pairs.filter(F.col("prev").isNotNull() & (F.col("known") >= P.MIN_EFFECTIVE_N))
-            columns = {
-                v.name: F.col(bases[v.base()])
-                * (delays.likeness(F.col("prev"), F.col("live"), v.factor) if v.factor > 0 else F.lit(1.0))
-                for v in deltas
-            }
-            moved = known.select(
-                *LIVE_STATE,
-                (F.col("live") + F.col("final") - F.col("prev")).alias("value"),
-                *[c.alias(n) for n, c in columns.items()],
-            )
-            names = [v.name for v in deltas]
-            scored = score_points(moved, LIVE_STATE, names, lived)
-            parts.append(_named(scored, [(n, n) for n in names], "live", extra))
-            few = cells.filter(F.col("known") < P.MIN_EFFECTIVE_N).select(*STATE).distinct()
-            fallback.append(
-                _named(
-                    with_live.join(few, STATE, "left_semi"),
-                    [(v.name, bases[v.base()]) for v in deltas],
-                    "live",
-                    extra,
-                )
-            )
-        for v in (v for v in moving if v.mode == "kernel"):
-            base = bases[v.base()]
-            kernel = F.when(F.col("prev").isNull(), P.KERNEL_UNKNOWN).otherwise(
-                delays.likeness(F.col("prev"), F.col("live"), v.factor, 0.0)
-            )
-            sharpened = pairs.withColumn("kernel", kernel)
-            trusted = (
-                sharpened.groupBy(*LIVE_STATE)
-                .agg(
-                    D.effective_n(
-                        F.sum(F.col(base) * F.col("kernel")), F.sum(F.col(f"{base}_sq") * F.col("kernel") * F.col("kernel"))
-                    ).alias("eff"),
-                    F.sum(F.col("n") * F.col("kernel")).alias("mass"),
-                )
-                .filter((F.col("eff") >= P.MIN_EFFECTIVE_N) & (F.col("mass") >= P.MIN_EFFECTIVE_N))
-                .select(*LIVE_STATE)
+    parts = [
+        _named(scored, [(v.name, bases[v.base()]) for v in variants], "blind", extra),
+        _named(with_live, plain, "live", extra),
+    ]
+
+    lived = ready.filter("live is not null")
+    asking = lived.select("state", *STATE, "live", "known").distinct()
+    deltas = [v for v in variants if v.factor is not None and v.mode == "delta"]
+    kernels = [v for v in variants if v.factor is not None and v.mode == "kernel"]
+    # Where a variant does not trust its live weights it falls back to its base.
+    if deltas:
+        enough = F.col("known") >= P.MIN_EFFECTIVE_N
+        names = [v.name for v in deltas]
+        columns = {
+            v.name: F.col(bases[v.base()])
+            * (delays.likeness(F.col("prev"), F.col("live"), v.factor) if v.factor > 0 else F.lit(1.0))
+            for v in deltas
+        }
+        moved = _in_window(asking.filter(enough), folded.filter("prev is not null")).select(
+            "state",
+            "live",
+            (F.col("live") + F.col("final") - F.col("prev")).alias("value"),
+            *[c.alias(n) for n, c in columns.items()],
+        )
+        parts.append(_named(score_points(moved, LIVE_STATE, names, lived.filter(enough)), [(n, n) for n in names], "live", extra))
+        parts.append(_named(with_live.filter(~enough), [(v.name, bases[v.base()]) for v in deltas], "live", extra))
+    for v in kernels:
+        base = bases[v.base()]
+        kernel = F.when(F.col("prev").isNull(), P.KERNEL_UNKNOWN).otherwise(
+            delays.likeness(F.col("prev"), F.col("live"), v.factor, 0.0)
+        )
+        sharpened = (
+            _in_window(asking, folded)
+            .select("state", "live", "final", "n", base, f"{base}_sq", kernel.alias("kernel"))
+            .groupBy("state", "live", F.col("final").alias("value"))
+            .agg(
+                F.sum(F.col(base) * F.col("kernel")).alias(v.name),
+                F.sum(F.col(f"{base}_sq") * F.col("kernel") * F.col("kernel")).alias("square"),
+                F.sum(F.col("n") * F.col("kernel")).alias("mass"),
             )
-            points = sharpened.select(
-                *LIVE_STATE, F.col("final").alias("value"), (F.col(base) * F.col("kernel")).alias(v.name)
-            ).join(trusted, LIVE_STATE, "left_semi")
-            parts.append(_named(score_points(points, LIVE_STATE, [v.name], lived), [(v.name, v.name)], "live", extra))
-            fallback.append(
-                _named(with_live.join(trusted, LIVE_STATE, "left_anti"), [(v.name, base)], "live", extra)
+        )
+        whole = Window.partitionBy(*LIVE_STATE)
+        judged = materialize(
+            sharpened.withColumns(
+                {
+                    "eff": D.effective_n(F.sum(v.name).over(whole), F.sum("square").over(whole)),
+                    "kernel_mass": F.sum("mass").over(whole),
+                }
             )
-        parts += fallback
+            .filter((F.col("eff") >= P.MIN_EFFECTIVE_N) & (F.col("kernel_mass") >= P.MIN_EFFECTIVE_N))
+            .select(*LIVE_STATE, "value", v.name)
+        )
+        trusted = judged.select(*LIVE_STATE).distinct()
+        parts.append(_named(score_points(judged, LIVE_STATE, [v.name], lived), [(v.name, v.name)], "live", extra))
+        parts.append(_named(with_live.join(trusted, LIVE_STATE, "left_anti"), [(v.name, base)], "live", extra))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -798,21 +798,21 @@ def journey_outcome(spark, d):
 
 def _evaluation(spark, d) -> DataFrame:
     events = S.stop_events(spark, d)
-    return backtest.evaluation_rows(prepare.prepare_events(events, tie="seq", need_train=False), ["8000", "8001", "8002", "8003"])
+    prepared = prepare.prepare_events(events, tie="seq", need_train=False)
+    return materialize(backtest.evaluation_rows(prepared, ["8000", "8001", "8002", "8003"]))
 
 
 @query
 def backtest_pairs(spark, d):
     """Earlier runs and weights each evaluation state sees."""
     rows = _evaluation(spark, d)
-    cells = backtest.history_cells(rows, backtest.evaluated(rows, BACKTEST_WEEKS))
-    return cells.groupBy(*backtest.STATE).agg(
-        F.sum("n").alias("runs"),
-        F.max("known").alias("known"),
-        _r(F.sum("w_hl30_wd2"), "w_hl30_wd2"),
-        _r(F.sum("w_window35"), "w_window35"),
-        _r(F.sum("w_hl14_wd2_hol"), "w_hl14_wd2_hol"),
-    ).withColumn("day", F.col("day").cast("string"))
+    names = ["w_hl30_wd2", "w_window35", "w_hl14_wd2_hol"]
+    states, _ = backtest.with_states(backtest.evaluated(rows, BACKTEST_WEEKS))
+    cells = backtest.blind_cells(states, backtest.fold_history(rows, states), names)
+    sums = cells.groupBy("state").agg(
+        F.sum("n").alias("runs"), F.max("known").alias("known"), *[_r(F.sum(w), w) for w in names]
+    )
+    return sums.join(states, "state").drop("state").withColumn("day", F.col("day").cast("string"))
 
 
 @query
