@@ -34,6 +34,19 @@ def same_connection(a: Column, b: Column, circular: bool = True) -> Column:
     return gap <= P.TOD_WINDOW
 
 
+def tod_slot(tod: Column) -> Column:
+    """Slot of a minute of day, one window wide; joins on it spread a busy
+    connection over the day and leave only near times to be compared."""
+    return F.floor(tod / P.TOD_WINDOW).cast("int")
+
+
+def near_slots(tod: Column, circular: bool = True) -> Column:
+    """Slots that can hold a time within the window: its own and both neighbours."""
+    slot, slots = tod_slot(tod), 1440 // P.TOD_WINDOW
+    around = [slot - 1, slot, slot + 1]
+    return F.array(*[F.pmod(s, F.lit(slots)) if circular else s for s in around])
+
+
 def age_days(run_day: Column, as_of: Column) -> Column:
     return F.greatest(F.lit(0), F.date_diff(as_of, run_day))
 

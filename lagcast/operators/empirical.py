@@ -42,11 +42,20 @@ def call_counts(runs: DataFrame) -> DataFrame:
     )
 
 
+def slots(tod: str):
+    """Generated column of the time slots a query has to look at."""
+    return F.explode(delays.near_slots(F.col(tod))).alias("slot")
+
+
+def with_slot(cells: DataFrame, tod: str = "tod") -> DataFrame:
+    return cells.withColumn("slot", delays.tod_slot(F.col(tod)))
+
+
 def cancel_rates(runs: DataFrame, queries: DataFrame) -> DataFrame:
     """Share of cancelled runs in the window of each query (no row without runs)."""
-    asked = queries.select("query_id", *PLACE, F.col("tod").alias("q_tod"))
+    asked = queries.select("query_id", *PLACE, F.col("tod").alias("q_tod"), slots("tod"))
     return (
-        asked.join(call_counts(runs), PLACE)
+        asked.join(with_slot(call_counts(runs)), [*PLACE, "slot"])
         .filter(delays.same_connection(F.col("tod"), F.col("q_tod")))
         .groupBy("query_id")
         .agg((F.sum("dropped") / F.sum("calls")).alias("cancel_rate"), F.sum("calls").alias("calls"))
@@ -79,7 +88,8 @@ def empirical_points(runs: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = asked.groupBy(*PLACE, "as_of").agg(F.max(F.col("live").isNotNull()).alias("live_known"))
     folded = fold_days(run_cells(runs), wanted, ["final", "prev"])
     near = (
-        asked.join(folded, [*PLACE, "as_of"])
+        asked.withColumn("slot", F.explode(delays.near_slots(F.col("q_tod"))))
+        .join(with_slot(folded), [*PLACE, "as_of", "slot"])
         .filter(delays.same_connection(F.col("tod"), F.col("q_tod")))
         .groupBy("query_id", "live", "final", F.when(F.col("live").isNotNull(), F.col("prev")).alias("prev"))
         .agg(*[F.sum(c).alias(c) for c in ("n", "w", "w2")])

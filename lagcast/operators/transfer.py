@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lagcast import params as P
 from lagcast.functions import delays, text, times
 from lagcast.operators.boards import with_train_key
-from lagcast.operators.empirical import PLACE, cancel_rates
+from lagcast.operators.empirical import PLACE, cancel_rates, slots, with_slot
 from lagcast.operators.forecast import match_station
 from lagcast.operators.prepare import usable
 from lagcast.session import materialize
@@ -103,8 +103,8 @@ def build_candidates(departures: DataFrame, runs: DataFrame, index: DataFrame) -
         )
     )
     joint = materialize(
-        ended.select("query_id", "tod", *leg)
-        .join(cells, leg)
+        ended.select("query_id", "tod", *leg, slots("tod"))
+        .join(with_slot(cells, "run_tod"), [*leg, "slot"])
         .filter(delays.same_connection(F.col("run_tod"), F.col("tod")))
         .groupBy("query_id", "dep", "arr")
         .agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))

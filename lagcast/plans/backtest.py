@@ -152,7 +152,9 @@ def fold_history(rows: DataFrame, states: DataFrame, variants=VARIANTS) -> DataF
 
 def _in_window(left: DataFrame, folded: DataFrame) -> DataFrame:
     """Cells of the connection and date within the time window of each state."""
-    return left.join(folded, [*CONNECTION, "day"]).filter(
+    asking = left.withColumn("slot", F.explode(delays.near_slots(F.col("tod"), circular=False)))
+    slotted = folded.withColumn("slot", delays.tod_slot(F.col("run_tod")))
+    return asking.join(slotted, [*CONNECTION, "day", "slot"]).filter(
         delays.same_connection(F.col("run_tod"), F.col("tod"), circular=False)
     )
 
