@@ -72,5 +72,8 @@ CHECK_TOLERANCE = 3
 # History documents hold at most this many runs of one train at one station;
 # longer histories continue in further blocks.
 BLOCK_RUNS = 8192
-# Ranks inside one ordering chunk of the previous-stop computation.
+# Previous-stop computation: groups above this many rows are cut into chunks of
+# tie-breaker numbers; at most this many groups are looked out for.
+HOT_GROUP = 1_000_000
+HOT_KEYS = 1000
 CHUNK_SPAN = 65536

@@ -4,6 +4,7 @@ import json
 from datetime import date, datetime, timedelta
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lagcast import schemas
@@ -18,7 +19,8 @@ def run_row(day, tod, arr, dep=None, prev=None, cancelled=False, key="ICE_1", pl
     return (key, "ICE 1", "ICE", None, place, eva, date.fromisoformat(day), tod, arr, dep if dep is not None else arr, prev, cancelled)
 
 
-def test_previous_value_equals_plain_lag(spark):
+@pytest.mark.parametrize("limit", [100, 1_000_000])
+def test_previous_value_equals_plain_lag(spark, limit):
     from pyspark.sql import Window
 
     rows = spark.range(3000).select(
@@ -27,7 +29,7 @@ def test_previous_value_equals_plain_lag(spark):
         F.col("id").alias("seq"),
         F.when(F.col("id") % 5 != 0, F.col("id") * 3).alias("v"),
     ).withColumn("part", F.floor(F.col("seq") / 50))
-    out = previous_value(rows, ["key"], ["stop", "part"], ["seq"], F.col("v"), "got")
+    out = previous_value(rows, ["key"], ["stop", "part"], ["seq"], F.col("v"), "got", limit=limit)
     plain = F.lag("v").over(Window.partitionBy("key").orderBy("stop", "seq"))
     both = out.select("seq", "got").join(rows.select("seq", plain.alias("want")), "seq")
     assert both.count() == 3000
