@@ -6,6 +6,8 @@ with every run), with none of the folding the Spark jobs use.
 
 from __future__ import annotations
 
+import re
+
 from lagcast.params import PRIORS
 
 ORACLES: dict[str, str] = {}
@@ -668,14 +670,16 @@ board AS (
   FROM syn s LEFT JOIN route r ON r.train_key = category || '_' || number AND origin_eva = s.eva AND origin_tod = dep_tod
   WHERE board_id NOT IN (SELECT board_id FROM live_row))"""
 
-_CONN = f"""request AS (
+_REQUEST = f"""request AS (
   SELECT train_key || '|' || c.eva AS query_id, split_part(train_key, '_', 1) AS f_category, split_part(train_key, '_', 2) AS f_number,
-    CAST(day AS TIMESTAMP) + to_minutes(min(tod)) AS start_ts, n.eva AS t_eva, n.name AS t_name, day AS as_of,
+    CAST(day AS TIMESTAMP) + to_minutes(min(tod)) AS start_ts, n.eva AS t_eva, n.name AS t_name, day AS as_of, 'NATION_03' AS dest_name,
     CASE WHEN CAST(split_part(train_key, '_', 2) AS INTEGER) % 2 = 0 THEN false
       ELSE {_class("split_part(train_key, '_', 1)")} <> 'LONG_DISTANCE' END AS ticket_only
   FROM call c JOIN station n ON CAST(n.eva AS INTEGER) = CAST(c.eva AS INTEGER) + 1, day0 WHERE CAST(c.eva AS INTEGER) < 8003
-  GROUP BY train_key, c.eva, n.eva, n.name, day),
-req AS (SELECT query_id AS board_id, t_eva AS eva, start_ts, start_ts + INTERVAL 4 HOUR AS end_ts, 4 AS hours FROM request),
+  GROUP BY train_key, c.eva, n.eva, n.name, day)"""
+
+# Needs request(query_id, f_category, f_number, start_ts, t_eva, t_name, as_of, dest_name, ticket_only).
+_CHAIN = f"""req AS (SELECT query_id AS board_id, t_eva AS eva, start_ts, start_ts + INTERVAL 4 HOUR AS end_ts, 4 AS hours FROM request),
 {BOARDS},
 seen_stop AS (SELECT * FROM request JOIN board ON board_id = query_id),
 feeder AS (
@@ -693,7 +697,7 @@ sample AS (
 near0 AS (
   SELECT s.*, feeder_planned FROM seen_stop s JOIN feeder USING (query_id)
   WHERE dep_planned IS NOT NULL AND NOT (category = f_category AND number = f_number)
-    AND EXISTS (SELECT 1 FROM (SELECT unnest(path) AS x) WHERE contains(lower(x), 'nation_03'))
+    AND EXISTS (SELECT 1 FROM (SELECT unnest(path) AS x) WHERE contains(lower(x), lower(dest_name)))
     AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE') AND dep_planned >= feeder_planned - INTERVAL 30 MINUTE
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 6),
 near AS (SELECT *, category || '_' || number AS c_key, date_sub('second', dep_planned, dep_changed) / 60.0 AS dep_live,
@@ -707,7 +711,7 @@ jr AS (
   SELECT query_id, stop_id AS cand_id, coalesce(r.dep_delay, r.arr_delay) AS dep, a.arr, {_weight('r.day', 'as_of')} AS w
   FROM near n JOIN idx ti ON ti.train_key = c_key AND ti.eva = t_eva
   JOIN run r ON r.train_key = c_key AND r.station_name = ti.station_name AND {_near('r.tod', 'dep_at')}
-  JOIN arrival a ON a.train_key = c_key AND a.station_name = 'NATION_03' AND a.day = r.day
+  JOIN arrival a ON a.train_key = c_key AND a.station_name = n.dest_name AND a.day = r.day
   WHERE NOT r.cancelled AND coalesce(r.dep_delay, r.arr_delay) IS NOT NULL),
 rates AS (
   SELECT query_id, stop_id AS cand_id, avg(CAST(r.cancelled AS INTEGER)) AS cancel_rate
@@ -716,7 +720,7 @@ rates AS (
 cand0 AS (
   SELECT n.query_id, n.stop_id AS cand_id, dep_planned, dep_live, dep_cancelled, feeder_planned, coalesce(cancel_rate, 0) AS cancel_rate,
     CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) AS same_day, coalesce(total, 0) AS total, coalesce(runs, 0) AS runs
-  FROM near n JOIN newest w ON w.train_key = c_key AND w.station_name = 'NATION_03'
+  FROM near n JOIN newest w ON w.train_key = c_key AND w.station_name = n.dest_name
   LEFT JOIN rates r ON r.query_id = n.query_id AND r.cand_id = n.stop_id
   LEFT JOIN (SELECT query_id, cand_id, sum(w) AS total, count(*) AS runs FROM jr GROUP BY ALL) j ON j.query_id = n.query_id AND j.cand_id = n.stop_id),
 cand1 AS (
@@ -751,6 +755,7 @@ result AS (
     coalesce(arg_min(board_probability, (dep_planned, cand_id)) FILTER (WHERE NOT dep_cancelled AND dep_planned >= feeder_planned),
       arg_min(board_probability, (dep_planned, cand_id)) FILTER (WHERE NOT dep_cancelled)) AS catch
   FROM caught GROUP BY 1)"""
+_CONN = _REQUEST + ",\n" + _CHAIN
 ORACLES["connection_outcome"] = _with(*_CALLS, _CONN) + f"""
 SELECT q.query_id, CASE WHEN feeder_planned IS NULL THEN 'FEEDER_NOT_REACHING' WHEN q.query_id NOT IN (SELECT query_id FROM near) THEN 'NO_CANDIDATES'
     WHEN catch IS NULL THEN 'NOT_ENOUGH_HISTORY' ELSE 'OK' END AS status,
@@ -800,10 +805,7 @@ dep AS (
   WHERE dep_planned IS NOT NULL AND NOT dep_cancelled AND dep_planned >= depart AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE'))"""
 ORACLES["fare_filter_departures"] = _with(*_CALLS, _JOURNEY) + f"""
 SELECT query_id, stop_id, {_ts('dep_planned')}, direct, typical FROM dep"""
-ORACLES["direct_itineraries"] = _with(
-    *_CALLS,
-    _JOURNEY,
-    f"""best AS (SELECT * FROM dep WHERE direct QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 3),
+_DIRECT = f"""best AS (SELECT * FROM dep WHERE direct QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 3),
 newest AS (SELECT train_key, station_name, eva, arg_max(tod, (last_day, -tod)) AS arr_tod FROM call GROUP BY ALL),
 ride AS (
   SELECT b.query_id, b.stop_id, b.dep_planned, as_of, n.train_key, n.station_name,
@@ -814,11 +816,67 @@ ride AS (
   FROM best b JOIN newest n ON n.train_key = category || '_' || number AND n.eva = to_eva),
 asked AS (
   SELECT query_id || '|' || stop_id AS query_id, train_key, station_name, hour(reference_arrival) * 60 + minute(reference_arrival) AS q_tod, as_of, live FROM ride),
-{LIVED}""",
-) + f"""
-SELECT r.query_id, r.stop_id, CAST(NULL AS VARCHAR) AS transfer_station, {_ts('r.dep_planned', 'dep_planned')}, {_ts('reference_arrival')},
-  {_r('min(value) FILTER (WHERE share >= 0.5)', 'median', 4)}, {_r('min(value) FILTER (WHERE share >= 0.1)', 'q10', 4)},
-  {_r('min(value) FILTER (WHERE share >= 0.9)', 'q90', 4)},
-  CAST(NULL AS DOUBLE) AS catch_probability, CAST(NULL AS DOUBLE) AS miss_probability
-FROM ride r JOIN shared s ON s.query_id = r.query_id || '|' || r.stop_id JOIN size z ON z.query_id = s.query_id
-WHERE effective_n >= 8 GROUP BY r.query_id, r.stop_id, r.dep_planned, reference_arrival"""
+{LIVED},
+direct AS (
+  SELECT r.query_id, r.stop_id, CAST(NULL AS VARCHAR) AS transfer_station, r.dep_planned, reference_arrival,
+    min(value) FILTER (WHERE share >= 0.5) AS median, min(value) FILTER (WHERE share >= 0.1) AS q10, min(value) FILTER (WHERE share >= 0.9) AS q90,
+    CAST(NULL AS DOUBLE) AS catch_probability, CAST(NULL AS DOUBLE) AS miss_probability
+  FROM ride r JOIN shared s ON s.query_id = r.query_id || '|' || r.stop_id JOIN size z ON z.query_id = s.query_id
+  WHERE effective_n >= 8 GROUP BY r.query_id, r.stop_id, r.dep_planned, reference_arrival)"""
+_ITINERARY = f"""query_id, stop_id, transfer_station, {_ts('dep_planned')}, {_ts('reference_arrival')}, {_r('median', 'median', 4)},
+  {_r('q10', 'q10', 4)}, {_r('q90', 'q90', 4)}, {_r('catch_probability', 'catch_probability', 4)}, {_r('miss_probability', 'miss_probability', 4)}"""
+ORACLES["direct_itineraries"] = _with(*_CALLS, _JOURNEY, _DIRECT) + f"SELECT {_ITINERARY} FROM direct"
+
+# The connections of the options, with every common table renamed.
+_NAMES = re.findall(r"(?:^|[\s,])([a-z_0-9]+) AS \(", _CHAIN) + ["request"]
+_OPTION_CHAIN = re.sub(r"\b(" + "|".join(sorted(set(_NAMES), key=len, reverse=True)) + r")\b", r"\1_t", _CHAIN)
+_TRANSFERS = f"""feeders AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) AS rank FROM dep WHERE NOT direct
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 15),
+option AS (
+  SELECT f.*, s.eva AS t_eva, s.name AS t_name, row_number() OVER (PARTITION BY query_id, stop_id ORDER BY s.weight DESC, spot) AS pick
+  FROM (SELECT *, unnest(path) AS stop_name, generate_subscripts(path, 1) AS spot FROM feeders) f JOIN station s ON lower(s.name) = lower(stop_name)
+  WHERE s.eva <> to_eva AND s.weight >= 40
+  QUALIFY row_number() OVER (PARTITION BY query_id, stop_id ORDER BY s.weight DESC, spot) <= 8),
+request_t AS (
+  SELECT query_id || '|' || stop_id || '|' || pick AS query_id, category AS f_category, number AS f_number, dep_planned AS start_ts,
+    t_eva, t_name, as_of, to_name AS dest_name, ticket_only FROM option),
+{_OPTION_CHAIN},
+shape AS (
+  SELECT query_id, min(value) FILTER (WHERE share >= 0.5) AS median, min(value) FILTER (WHERE share >= 0.1) AS q10, min(value) FILTER (WHERE share >= 0.9) AS q90
+  FROM (SELECT *, round(sum(weight) OVER (PARTITION BY query_id ORDER BY value) / sum(weight) OVER (PARTITION BY query_id), 9) AS share FROM pnt_t) GROUP BY 1),
+step AS (
+  SELECT o.*, r.query_id IS NOT NULL AS works, row_number() OVER (PARTITION BY o.query_id ORDER BY rank, pick) AS turn
+  FROM option o LEFT JOIN result_t r ON r.query_id = o.query_id || '|' || o.stop_id || '|' || pick),
+walk AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS tried, 6 AS attempts, 0 AS found, CAST(0 AS BIGINT) AS feeder,
+    0 AS picks, false AS done, false AS hit FROM step
+  UNION ALL
+  SELECT query_id, turn, CASE WHEN go THEN list_append(tried, t_name) ELSE tried END, attempts - CAST(go AS INTEGER),
+    found + CAST(go AND works AS INTEGER), rank, picks + CAST(go AS INTEGER), done OR (go AND works), go AND works
+  FROM (
+    SELECT *, attempts > 0 AND found < 3 AND NOT done AND picks < 2 AND NOT list_contains(tried, t_name) AS go
+    FROM (
+      SELECT s.query_id, s.turn, s.t_name, s.works, s.rank, tried, attempts, found,
+        CASE WHEN s.rank = feeder THEN picks ELSE 0 END AS picks, s.rank = feeder AND done AS done
+      FROM walk w JOIN step s ON s.query_id = w.query_id AND s.turn = w.turn + 1))),
+changing AS (
+  SELECT s.query_id, s.stop_id, s.t_name AS transfer_station, s.dep_planned, r.reference_arrival, median, q10, q90,
+    r."catch" AS catch_probability, m.miss AS miss_probability
+  FROM step s JOIN walk w ON w.query_id = s.query_id AND w.turn = s.turn AND hit
+  JOIN result_t r ON r.query_id = s.query_id || '|' || s.stop_id || '|' || pick
+  JOIN shape h ON h.query_id = r.query_id JOIN missed_t m ON m.query_id = r.query_id),
+ranked AS (
+  SELECT *, reference_arrival + to_seconds(CAST(round(median * 60) AS BIGINT)) AS median_arrival FROM (SELECT * FROM direct UNION ALL SELECT * FROM changing)),
+top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY median_arrival, dep_planned, stop_id) AS INTEGER) AS place FROM ranked
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_arrival, dep_planned, stop_id) <= 5)"""
+_ALL_JOURNEYS = _with(*_CALLS, _JOURNEY, _DIRECT, _TRANSFERS).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["itinerary_top5"] = _ALL_JOURNEYS + f"""
+SELECT {_ITINERARY}, place, CAST(greatest(0, date_sub('minute', top.dep_planned, median_arrival)) AS INTEGER) AS travel_minutes FROM top"""
+ORACLES["journey_outcome"] = _ALL_JOURNEYS + """
+SELECT q.query_id, from_name, to_name, coalesce(typical, false) AS typical, coalesce(found, 0) AS found,
+  false AS crosses_change,
+  CASE WHEN from_eva = to_eva THEN 'SAME_STATION' WHEN n IS NULL THEN 'NO_TIMETABLE' WHEN found IS NULL THEN 'NO_PLANNABLE_TRAIN' ELSE 'OK' END AS status
+FROM jq q LEFT JOIN (SELECT query_id, count(*) AS n, bool_or(typical) AS typical FROM dep WHERE from_eva <> to_eva GROUP BY 1) d USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS found FROM top GROUP BY 1) t USING (query_id)"""
