@@ -526,6 +526,13 @@ SELECT p.query_id, CASE WHEN s.query_id IS NULL THEN 'PRIOR' WHEN on_live THEN '
   {_r('CASE WHEN s.query_id IS NULL THEN coalesce(live, loc) END', 'loc')},
   {_r('CASE WHEN s.query_id IS NULL THEN CASE WHEN live IS NULL THEN scale ELSE greatest(scale * 0.4, 1.2) END END', 'scale')}
 FROM pred p LEFT JOIN (SELECT * FROM size WHERE effective_n >= 8) s USING (query_id) LEFT JOIN rate r ON r.query_id = s.query_id"""
+ORACLES["forecast_cards_seen"] = _with(*RUNS, ASKED, LIVED) + f"""
+SELECT query_id, CASE WHEN bool_or(s.on_live) THEN 'EMPIRICAL_LIVE' ELSE 'EMPIRICAL' END AS source,
+  {_r('min(value) FILTER (WHERE share >= 0.5)', 'median')}, {_r('min(value) FILTER (WHERE share >= 0.1)', 'q10')},
+  {_r('min(value) FILTER (WHERE share >= 0.9)', 'q90')},
+  {_r('coalesce(sum(weight) FILTER (WHERE value <= 5), 0) / sum(weight)', 'p_within5')},
+  strftime(CAST(any_value(as_of) AS TIMESTAMP) + to_minutes(any_value(q_tod)) + to_seconds(CAST(60 * min(value) FILTER (WHERE share >= 0.5) AS BIGINT)), '%H:%M') AS median_clock
+FROM shared s JOIN size z USING (query_id) JOIN asked a USING (query_id) WHERE effective_n >= 8 GROUP BY query_id"""
 
 # ---------------------------------------------------------------- backtest
 

@@ -646,7 +646,16 @@ def forecast_source(spark, d):
 @query
 def forecast_cards(spark, d):
     """A36/D16 with both kinds of distribution; the flagship."""
-    cards = forecast.forecast_cards(_forecast(spark, d))
+    return _cards(forecast.forecast_cards(_forecast(spark, d)))
+
+
+@query
+def forecast_cards_seen(spark, d):
+    """A36/D16 of the trains with enough history."""
+    return _cards(forecast.forecast_cards(_forecast(spark, d)).filter("source <> 'PRIOR'"))
+
+
+def _cards(cards: DataFrame) -> DataFrame:
     return cards.select(
         "query_id",
         "source",

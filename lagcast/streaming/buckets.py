@@ -46,5 +46,8 @@ def bucket_stats_stream(observed: DataFrame, snapshot: DataFrame | None = None)
         .start()
     )
     query.awaitTermination()
+    if not state:  # nothing arrived
+        empty = spark.createDataFrame([], "train_class string, time_band string, n bigint, mean double, m2 double")
+        return merge_stats(empty if snapshot is None else snapshot)
     fresh = spark.read.parquet(state["last"])
     return merge_stats(fresh if snapshot is None else fresh.unionByName(snapshot.select(fresh.columns)))
