@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lagcast.operators import distribution as D
 from lagcast.operators import stations as stations_op
 from lagcast.operators import transfer
 from lagcast.plans import backtest, connections, journeys, quality
-from lagcast.session import materialize
+from lagcast.session import configure, materialize
 from lagcast.sources import derived as S
 from lagcast.sources import raw_log, tiers
 from lagcast.streaming import buckets, feeds, overlay
@@ -28,8 +29,12 @@ BACKTEST_WEEKS = 1
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return fn(configure(spark), folder)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _ts(name: str):
