@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lagcast.llm.orc_output import op10_orc_tokens
 from lagcast.llm.sharding import op2_minimax_shards
+from lagcast.llm.warc import OP4_SQL, op4_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op2_minimax_shards, op10_orc_tokens)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_minimax_shards, op4_warc_round_trip, op10_orc_tokens)}
+ORACLES = {"op4_warc_round_trip": OP4_SQL}
