@@ -6,10 +6,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagcast.llm.common import table
+from lagcast.llm.common import prepared, table
+from lagcast.llm.jaccard_join import without_near_duplicates
+from lagcast.llm.mixing import mixed
+from lagcast.llm.packing import pack
+from lagcast.llm.quality import classify
 from lagcast.session import shared_dir
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    prepared(spark)
+    return classify(docs, table(spark, sf_dir, "labels"))[0]
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    prepared(spark)
+    return without_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources meet their target weights."""
+    prepared(spark)
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences; a row per piece."""
+    import public_tokenizers
+
+    prepared(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
 #: The stages tokenize and solve numeric systems, which SQL can't express; tests compare with plain versions.
 ORACLE_SQL = None

@@ -106,16 +106,16 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, v (number of the set), n (its size; 0 without words), a row per document."""
+    """doc_id, row_key (hash of doc_id and text), v (number of the set), n (its size; 0 without words), a row per document."""
 
     def make(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "v", "n"]
-            )
+            made = [pa.array([vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "v", "n"])
 
-    return materialize(docs.mapInArrow(make, "doc_id long, v long, n long"))
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return materialize(keyed.mapInArrow(make, "doc_id long, row_key long, v long, n long"))
 
 
 LISTS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("hub", pa.int64())])
@@ -395,7 +395,7 @@ def cross_pairs(lists: DataFrame, hub_of: DataFrame, roots: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_class: int = HOT_CLASS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+    """doc_id, row_key, n_shingles, component_id, component (number of the component; null without words) of every document.
 
     Two documents link when 100 * intersection >= percent * union of their sets of 5-word shingles (A-Z lower-cased;
     with fewer words the whole sequence). component_id is the smallest doc_id that links lead to. Texts
@@ -417,9 +417,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_class: int = HO
     everything = components(inner.unionByName(outer.where(hit).select(F.col("head").alias("a"), F.col("v").alias("b"))))
     named = members.join(everything.select(F.col("vertex").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(lowest, "root").select("v", "component_id")
+    by_set = named.join(lowest, "root").select("v", "component_id", "root")
     return sets.join(by_set, "v", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "row_key", F.when(F.col("n") > 0, F.col("root")).alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -429,4 +429,15 @@ def probe_length_column(percent: int):
 
 def op8_skipping_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows of `docs`, one per component: the one with the smallest doc_id (null last); all rows without words stay."""
+    found = near_duplicates(docs).where("n_shingles > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("_key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    # Repeated rows have one key; the second hash keeps apart what the first may not.
+    stay = keyed.where(worded).join(first, "_key", "left_semi").withColumn("_check", F.crc32("text")).dropDuplicates(["_key", "_check", "doc_id"])
+    return stay.select(*docs.columns).unionByName(docs.where(~worded))

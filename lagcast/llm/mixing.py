@@ -92,7 +92,7 @@ def multipliers(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """Copies of every document: doc_id, size, source_size, target, source, rate, copies, taken.
+    """Copies of every document: doc_id, row_key (hash of doc_id and text), size, source_size, target, source, rate, copies, taken.
 
     Size is the number of words of the whole text (null: 0); a document of size 0 gets one copy.
     Rows of a repeated or null doc_id are documents of their own, a null source is a source.
@@ -100,7 +100,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     size are taken in the order of a hash of doc_id, and rows alike in all columns are alike.
     Extra columns are left out; no rows give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row_key"), "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
     rows = materialize(rows.withColumn("mark", F.xxhash64("doc_id")))
     counts = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -112,11 +113,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     rated = (
         rows.alias("r")
         .join(facts.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")))
-        .select("r.doc_id", "r.source", "r.size", "r.mark", "f.source_size", "f.target", rate.alias("rate"))
+        .select("r.doc_id", "r.row_key", "r.source", "r.size", "r.mark", "f.source_size", "f.target", rate.alias("rate"))
         .withColumn("units", F.when(F.col("size") > 0, F.round(F.col("rate") * UNIT)).otherwise(UNIT).cast("long"))
     )
     # Rows alike in all these columns are interchangeable.
-    by_size = [F.col("source").asc_nulls_last(), F.col("size"), F.col("mark"), F.col("doc_id")]
+    by_size = [F.col("source").asc_nulls_last(), F.col("size"), F.col("mark"), F.col("doc_id"), F.col("row_key")]
     summed = materialize(running(rated, by_size, "units").drop("index"))
     bases = summed.groupBy("source").agg(F.min("start").alias("base"))
     placed = summed.alias("s").join(bases.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", (F.col("s.start") - F.col("b.base")).alias("from"))
@@ -142,7 +143,7 @@ def _changed(rows: DataFrame, which: Column) -> DataFrame:
 
 def _repaired(copied: DataFrame, order: list, cap: int, single: int = 2) -> DataFrame:
     """One copy more or less of the smallest documents, as far as a source's words differ from its target; then of the best single ones."""
-    names = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "cap"]
+    names = ["doc_id", "row_key", "source", "size", "source_size", "target", "rate", "copies", "cap"]
     summed = materialize(running(_gaps(copied.withColumn("cap", F.lit(cap))), order, "words"))
     bases = summed.groupBy("source").agg(F.min("start").alias("base"))
     placed = summed.alias("s").join(bases.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", "b.base")
@@ -155,7 +156,15 @@ def _repaired(copied: DataFrame, order: list, cap: int, single: int = 2) -> Data
         joined = held.alias("h").join(best.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source")), "left").select("h.*", "b.best")
         better = (F.col("index") == F.col("best.index")) & (F.col("best.off") < F.abs("gap"))
         rows = materialize(_changed(joined, better).select(*names, "index"))
-    return rows.select(*names[:7], (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select(*names[:8], (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Rows of `docs`, each as often as the mix takes it. Rows alike share their copies."""
+    copies = mix(docs).groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    taken = keyed.join(copies, "_key").withColumn("_check", F.crc32(F.coalesce("text", F.lit("")))).dropDuplicates(["_key", "_check", "doc_id"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
