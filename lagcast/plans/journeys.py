@@ -18,10 +18,6 @@ from lagcast.operators.transfer import match_destination
 from lagcast.plans.connections import Connections, Network, board_id, plan_connections
 from lagcast.session import materialize
 
-# A feeder picks its two heaviest stations that were not tried before; six
-# attempts in all mean that only its eight heaviest can ever be picked.
-REACHABLE_PICKS = P.TRANSFERS_PER_FEEDER + P.MAX_ATTEMPTS
-
 
 @dataclass(frozen=True)
 class Journeys:
@@ -115,7 +111,7 @@ def direct_itineraries(departures: DataFrame, network: Network) -> DataFrame:
 
 
 def transfer_options(departures: DataFrame, stations: DataFrame) -> DataFrame:
-    """Stations where a feeder can be left, heaviest first."""
+    """Stations where a feeder can be left, heaviest first; a station that its route names several times is one."""
     feeders = first_departures(departures.filter("not direct"), P.MAX_FEEDERS)
     stops = feeders.select(
         *feeders.columns, F.posexplode("dep_path").alias("at", "stop_name")
@@ -126,15 +122,17 @@ def transfer_options(departures: DataFrame, stations: DataFrame) -> DataFrame:
     fitting = stops.join(named, "norm").filter(
         (F.col("t_eva") != F.col("to_eva")) & (F.col("t_weight") >= P.MIN_TRANSFER_WEIGHT)
     )
+    same = Window.partitionBy("feeder_id", "t_eva").orderBy("at")
+    once = fitting.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth")
     heaviest = Window.partitionBy("feeder_id").orderBy(F.desc("t_weight"), "at")
-    return fitting.withColumn("pick", F.row_number().over(heaviest)).filter(F.col("pick") <= REACHABLE_PICKS)
+    return once.withColumn("pick", F.row_number().over(heaviest))
 
 
 def choose_transfers(tried: DataFrame) -> DataFrame:
     """Walk through each query's feeders and picks as a traveller would.
 
-    ``tried``: ``query_id, rank, pick, name, works``.  At most 15 x 8 entries per
-    query are folded by one array aggregate, because every step depends on the
+    ``tried``: ``query_id, rank, pick, name, works``.  The stations of a query's feeders
+    are folded by one array aggregate, because every step depends on the
     stations tried, the attempts left and the results found before it.
     """
     steps = tried.groupBy("query_id").agg(
