@@ -1,9 +1,8 @@
 """Columnar history blocks and history documents.
 
-A block lists the runs of one train at one station: sorted planned times once,
-delta-coded days, sparse departures, indices of cancelled runs.  A train whose
-history outgrows ``BLOCK_RUNS`` continues in further blocks, so no row and no
-group grows without bound; usual trains have exactly one block.
+A block lists the runs of one train at one station in one calendar month: sorted
+planned times once, delta-coded days, sparse departures, indices of cancelled runs.
+The block of a run depends on the run alone, so blocks do not change when history grows.
 """
 
 from __future__ import annotations
@@ -19,28 +18,26 @@ RUN_FIELDS = ["day", "tod", "arr_delay", "dep_delay", "prev_delay", "cancelled"]
 STATION_KEYS = ["train_key", "station_name"]
 
 
-def with_block(runs: DataFrame, block_runs: int = P.BLOCK_RUNS) -> DataFrame:
-    """Block number of every run.
+def with_block(runs: DataFrame, slice_runs: int = P.SLICE_RUNS) -> DataFrame:
+    """Block number of every run: its month, counted from 1970.
 
-    Equal runs are counted first, so copies of one run cannot pile up in one
-    block: the copies are dealt out in slices of at most ``block_runs``.
+    Equal runs are counted first; copies beyond ``slice_runs`` continue in further
+    blocks of the month, so that copies of one run cannot pile up in one block.
     """
-    counted = runs.groupBy(*STATION_KEYS, *RUN_FIELDS).agg(F.min("eva").alias("eva"), F.count("*").alias("copies"))
-    slices = F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / block_runs).cast("int"))
+    counted = runs.groupBy(*STATION_KEYS, *RUN_FIELDS).agg(F.count("*").alias("copies"))
+    slices = F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / slice_runs).cast("int"))
     dealt = counted.withColumn("slice", F.explode(slices)).withColumn(
-        "copies", F.least(F.lit(block_runs), F.col("copies") - F.col("slice") * block_runs).cast("int")
+        "copies", F.least(F.lit(slice_runs), F.col("copies") - F.col("slice") * slice_runs).cast("int")
     )
-    totals = counted.groupBy(*STATION_KEYS).agg(
-        F.ceil(F.sum("copies") / block_runs).cast("int").alias("blocks"), F.min("eva").alias("eva")
-    )
-    spread = F.pmod(F.xxhash64(*RUN_FIELDS, "slice"), F.col("blocks")).cast("int")
-    return dealt.drop("eva").join(totals, STATION_KEYS).withColumn("block", spread)
+    evas = runs.groupBy(*STATION_KEYS).agg(F.min("eva").alias("eva"))
+    month = (F.year("day") - 1970) * 12 + F.month("day") - 1
+    return dealt.join(evas, STATION_KEYS).withColumn("block", (month + F.col("slice") * P.SLICE_STEP).cast("int"))
 
 
-def encode_history(runs: DataFrame, block_runs: int = P.BLOCK_RUNS) -> DataFrame:
+def encode_history(runs: DataFrame, slice_runs: int = P.SLICE_RUNS) -> DataFrame:
     """Run table to columnar blocks."""
     blocks = (
-        with_block(runs, block_runs)
+        with_block(runs, slice_runs)
         .groupBy(*STATION_KEYS, "block")
         .agg(F.min("eva").alias("eva"), F.sort_array(F.collect_list(F.struct(*RUN_FIELDS, "copies"))).alias("kept"))
         .withColumn(

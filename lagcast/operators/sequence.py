@@ -1,10 +1,9 @@
-"""Lag over an ordered group without one task per hot group.
+"""Lag over an ordered group without one task per group.
 
-A plain window sorts each group in one task.  Groups with more than a million
-rows are found first by a map-side combined count; only they are cut into chunks
-(leading parts of the sort order).  A lag then runs inside each chunk, and the
-last value of every chunk of a hot group is carried to the next one.  All other
-groups are one chunk, so usual data pays one shuffle and the count.
+A plain window sorts each group in one task.  Here a group is cut into chunks
+(leading parts of the sort order), a lag runs inside each chunk, and the last
+value of every chunk is carried to the next one.  The plan is the same for all
+groups and sizes.
 """
 
 from __future__ import annotations
@@ -12,46 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagcast import params as P
 
-
-def hot_groups(df: DataFrame, keys: list[str], limit: int) -> Column:
-    """Hashes of the largest groups above ``limit`` rows, at most ``HOT_KEYS``.
-
-    A scalar subquery: the list that reaches the driver has a fixed bound.  A
-    group beyond it, or a colliding hash, changes the work only, not the result.
-    """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    listed = F.sort_array(F.collect_list(F.struct("n", F.xxhash64(*keys).alias("h"))), asc=False)
-    return sizes.agg(F.slice(listed, 1, P.HOT_KEYS)["h"].alias("hot")).scalar()
-
-
-def previous_value(
-    df: DataFrame,
-    keys: list[str],
-    chunk: list[str],
-    order: list[str],
-    value: Column,
-    out: str,
-    limit: int = P.HOT_GROUP,
-) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], chunk: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """Adds ``out``: ``value`` of the preceding row of the group.
 
     ``keys`` and ``chunk`` must not hold nulls; rows are ordered by ``chunk``
     and then ``order``.
     """
-    hot = F.array_contains(hot_groups(df, keys, limit), F.xxhash64(*keys))
-    parts = {f"_part{i}": F.when(F.col("_hot"), F.col(c)) for i, c in enumerate(chunk)}
-    cut = df.withColumn("_hot", hot).withColumns(parts)
-    cells = [*keys, *parts]
-    inside = Window.partitionBy(*cells).orderBy(*chunk, *order)
-    across = Window.partitionBy(*keys).orderBy(*parts)
-    marked = cut.withColumns({"_first": F.row_number().over(inside) == 1, "_inner": F.lag(value).over(inside)})
-    ends = cut.filter("_hot").groupBy(*cells).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    cells = [*keys, *chunk]
+    inside = Window.partitionBy(*cells).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(*chunk)
+    marked = df.withColumns({"_first": F.row_number().over(inside) == 1, "_inner": F.lag(value).over(inside)})
+    # One row per chunk; a group's chunks are few against its rows.
+    ends = df.groupBy(*cells).agg(F.max_by(value, F.struct(*order)).alias("_end"))
     carried = ends.select(*cells, F.lag("_end").over(across).alias("_carried"))
-    # Rows of other groups have null parts and match nothing.
     return (
-        marked.join(carried, cells, "left")
+        marked.join(carried, cells)
         .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inner")))
-        .drop("_hot", "_first", "_inner", "_carried", *parts)
+        .drop("_first", "_inner", "_carried")
     )

@@ -69,11 +69,8 @@ MIN_HISTORY = 10
 # Timetable check tolerance, minutes.
 CHECK_TOLERANCE = 3
 
-# History documents hold at most this many runs of one train at one station;
-# longer histories continue in further blocks.
-BLOCK_RUNS = 8192
-# Previous-stop computation: groups above this many rows are cut into chunks of
-# tie-breaker numbers; at most this many groups are looked out for.
-HOT_GROUP = 1_000_000
-HOT_KEYS = 1000
+# Copies of one run in a block; further copies stand in blocks that are numbered so far on.
+SLICE_RUNS = 8192
+SLICE_STEP = 100_000
+# Previous-stop computation: numbers of the tie-breaker in a chunk.
 CHUNK_SPAN = 65536
