@@ -51,6 +51,8 @@ def run_fold(
     """Drain the available input of a stream and return its current fold."""
     spark = stream.sparkSession
     path = new_folder(spark, name)
+    # A stream without a batch has the fold of no rows.
+    fold(spark.createDataFrame([], stream.schema)).write.parquet(f"{path}/data/batch=-1")
     query = write_partials(stream, fold, f"{path}/data", f"{path}/checkpoint")
     query.awaitTermination()
     return refold(read_partials(spark, f"{path}/data"))
