@@ -285,13 +285,14 @@ SELECT '8000,8001' AS stations,
   CAST(max(day) FILTER (WHERE day >= DATE '2024-01-29') AS VARCHAR) AS recent_through FROM run"""
 ORACLES["history_nested_columnar"] = _with(
     *RUNS,
-    """r AS (
+    """m AS (SELECT *, CAST(date_diff('month', DATE '1970-01-01', day) AS INTEGER) AS block FROM run),
+r AS (
   SELECT *, row_number() OVER w - 1 AS i, lag(day) OVER w AS before,
-    dense_rank() OVER (PARTITION BY train_key, station_name ORDER BY tod) - 1 AS t
-  FROM run WINDOW w AS (PARTITION BY train_key, station_name ORDER BY day, tod, arr_delay NULLS FIRST,
+    dense_rank() OVER (PARTITION BY train_key, station_name, block ORDER BY tod) - 1 AS t
+  FROM m WINDOW w AS (PARTITION BY train_key, station_name, block ORDER BY day, tod, arr_delay NULLS FIRST,
     dep_delay NULLS FIRST, prev_delay NULLS FIRST, cancelled))""",
 ) + """
-SELECT train_key, station_name, CAST(0 AS INTEGER) AS block, min(eva) AS eva,
+SELECT train_key, station_name, block, min(eva) AS eva,
   array_to_string(list_sort(list(DISTINCT tod)), ',') AS tod,
   string_agg(CAST(CASE WHEN before IS NULL THEN day - DATE '1970-01-01' ELSE day - before END AS VARCHAR), ',' ORDER BY i) AS days,
   CASE WHEN max(t) > 0 THEN string_agg(CAST(t AS VARCHAR), ',' ORDER BY i) END AS t,
@@ -300,7 +301,7 @@ SELECT train_key, station_name, CAST(0 AS INTEGER) AS block, min(eva) AS eva,
     string_agg(CASE WHEN dep_delay IS DISTINCT FROM arr_delay THEN coalesce(CAST(dep_delay AS VARCHAR), '-') ELSE '-' END, ',' ORDER BY i) END AS d,
   string_agg(coalesce(CAST(prev_delay AS VARCHAR), '-'), ',' ORDER BY i) AS p,
   string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE cancelled) AS c
-FROM r GROUP BY 1, 2"""
+FROM r GROUP BY 1, 2, 3"""
 _BAG = f"""
 SELECT train_key, station_name, eva, {_day('day')}, tod, arr_delay, dep_delay, prev_delay, cancelled, count(*) AS n
 FROM {{source}} GROUP BY ALL"""
@@ -314,9 +315,7 @@ merged AS (
     AND r.station_name = b.station_name AND r.day = b.day AND r.tod = b.tod)
   UNION ALL SELECT * FROM recent)"""
 ORACLES["overlay_recent"] = _with(*RUNS, _TIERS) + _BAG.format(source="merged")
-ORACLES["stream_overlay"] = _with(*RUNS, _TIERS) + _BAG.format(
-    source="(SELECT * REPLACE (CAST(NULL AS INTEGER) AS prev_delay) FROM merged)"
-)
+ORACLES["stream_overlay"] = ORACLES["overlay_recent"]
 
 # ---------------------------------------------------------------- calendar and boards
 

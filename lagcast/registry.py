@@ -356,8 +356,8 @@ def _run_bag(runs: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def history_round_trip(spark, d):
-    """M3 decode of encode with small blocks: the same runs, departures filled."""
-    blocks = history_codec.encode_history(_runs(spark, d), block_runs=16)
+    """M3 decode of encode with copies of a run over several blocks: the same runs, departures filled."""
+    blocks = history_codec.encode_history(_runs(spark, d), slice_runs=1)
     return _run_bag(history_codec.decode_history(blocks), "train_key", "station_name")
 
 
@@ -895,12 +895,8 @@ def stream_overlay(spark, d):
     nation = S.table(spark, d, "nation")
 
     def runs(events: DataFrame) -> DataFrame:
-        rows = prepare.complete(prepare.with_delays(prepare.identified(S.stop_events_of(events, nation))))
-        lagless = rows.withColumns(
-            {"prev_delay": F.lit(None).cast("int"), "day": F.to_date("planned"), "tod": times.minute_of_day(F.col("planned"))}
-        )
-        return history.history_runs(lagless)
+        return history.history_runs(prepare.prepare_events(S.stop_events_of(events, nation), tie="seq"))
 
     base = runs(S.table(spark, d, "events"))
-    _, recent = _tiers(runs(S.event_stream(spark, d)))
-    return _run_bag(overlay.overlay_stream(recent, base), "train_key", "station_name")
+    laid = overlay.overlay_stream(S.event_stream(spark, d), base, lambda batch: _tiers(runs(batch))[1])
+    return _run_bag(laid, "train_key", "station_name")
