@@ -47,9 +47,18 @@ def clock(minutes: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), F.pmod(minutes, F.lit(60)).cast("int"))
 
 
-def plus_minutes(ts: Column, minutes: Column) -> Column:
-    """Timestamp moved by whole or fractional minutes."""
-    return ts + F.make_dt_interval(secs=(minutes * 60).cast("decimal(18,6)"))
+ZONE = "Europe/Berlin"
+
+
+def instant(ts: Column, zone: str = ZONE) -> Column:
+    """A local time as UTC, so that differences are right on nights of a clock change."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+
+
+def plus_minutes(ts: Column, minutes: Column, zone: str = ZONE) -> Column:
+    """Local time moved by whole or fractional minutes that pass."""
+    moved = instant(ts, zone) + F.make_dt_interval(secs=(minutes * 60).cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), moved)
 
 
 def at_minute(day: Column, minute: Column) -> Column:
@@ -62,13 +71,9 @@ def next_at(after: Column, minute: Column) -> Column:
     return F.when(same_day < after, same_day + F.make_dt_interval(days=F.lit(1))).otherwise(same_day)
 
 
-def live_minutes(changed: Column, planned: Column, zone: str = "Europe/Berlin") -> Column:
+def live_minutes(changed: Column, planned: Column, zone: str = ZONE) -> Column:
     """Reported delay in fractional minutes between two local times as instants."""
-
-    def instant(ts: Column) -> Column:
-        return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
-
-    return F.timestamp_diff("MICROSECOND", instant(planned), instant(changed)) / F.lit(6.0e7)
+    return F.timestamp_diff("MICROSECOND", instant(planned, zone), instant(changed, zone)) / F.lit(6.0e7)
 
 
 def delay_clock(planned: Column, delay: Column) -> Column:
@@ -86,7 +91,7 @@ def departure_or_default(hour: Column, minute: Column, day: Column, now: Column)
 
 def trip_minutes(start: Column, end: Column) -> Column:
     """Whole minutes of a trip, never negative."""
-    return F.greatest(F.lit(0), F.timestamp_diff("MINUTE", start, end).cast("int"))
+    return F.greatest(F.lit(0), F.timestamp_diff("MINUTE", instant(start), instant(end)).cast("int"))
 
 
 def tick_step(span: Column) -> Column:

@@ -179,8 +179,8 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
     rows = materialize(
         rows.join(reference, "query_id").withColumns(
             {
-                "base": F.timestamp_diff("SECOND", F.col("reference_arrival"), F.col("arr_planned")) / 60.0,
-                "head_start": F.timestamp_diff("MILLISECOND", F.col("dep_planned"), F.col("feeder_planned")),
+                "base": F.timestamp_diff("SECOND", times.instant(F.col("reference_arrival")), times.instant(F.col("arr_planned"))) / 60.0,
+                "head_start": F.timestamp_diff("MILLISECOND", times.instant(F.col("dep_planned")), times.instant(F.col("feeder_planned"))),
             }
         )
     )
