@@ -106,18 +106,23 @@ def read_board_documents(documents: DataFrame) -> DataFrame:
 def plan_board(entries: DataFrame, requests: DataFrame) -> DataFrame:
     """Board stops of every request ``(board_id, eva, start, hours, as_of)``.
 
-    The window may cross midnight, so the start date and the next are tried.
-    One train appears once per date even if it calls twice.
+    A window is cut into hours, and entries meet it by station and hour: a request
+    reads the entries of its hours, not all of its station. One train appears once per
+    date even if it calls twice.
     """
     end = F.col("start") + F.make_dt_interval(hours=F.col("hours"))
-    dated = requests.withColumn("end", end).withColumn(
-        "date", F.explode(F.sequence(F.to_date("start"), F.date_add(F.to_date("start"), 1)))
+    first_hour = times.at_minute(F.to_date("start"), F.hour("start") * 60)
+    hour = F.explode(F.sequence(first_hour, F.col("end"), F.expr("interval 1 hour")))
+    dated = requests.withColumn("end", end).withColumn("slot_start", hour).withColumns(
+        {"date": F.to_date("slot_start"), "slot": F.hour("slot_start")}
     )
+    slotted = entries.withColumn("slot", F.floor(F.coalesce("dep_tod", "arr_tod") / 60).cast("int"))
     dated = dated.withColumn(
         "weekday_bit", F.call_function("shiftleft", F.lit(1), effective_weekday(F.col("date")) - 1)
     )
     timed = (
-        entries.join(dated, "eva")
+        slotted.join(dated.drop("slot_start"), ["eva", "slot"])
+        .drop("slot")
         .filter(F.col("weekday_mask").bitwiseAND(F.col("weekday_bit")) != 0)
         .filter(F.col("last_seen") >= F.date_sub("as_of", P.BOARD_MAX_AGE_DAYS))
         .withColumns(
