@@ -46,8 +46,8 @@ def resolve_stations(queries: DataFrame, stations: DataFrame, limit: int = 1) ->
     top = stations.select("eva", "name", "weight", F.col("weight").alias("score")).orderBy(
         F.desc("weight"), "eva"
     ).limit(limit)
-    blanks = texts.filter("q = ''").select("text", F.lit(1).alias("one"))
-    listed = blanks.join(top.withColumn("one", F.lit(1)), "one").select("text", "eva", "name", "weight", "score")
+    tops = top.agg(F.collect_list(F.struct("eva", "name", "weight", "score"))).scalar()
+    listed = texts.filter("q = ''").withColumn("tops", tops).select("text", F.inline("tops"))
     best = Window.partitionBy("text").orderBy(F.desc("score"), "eva")
     return (
         hits.unionByName(listed)
