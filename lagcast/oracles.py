@@ -507,6 +507,19 @@ ORACLES["live_anchor"] = _with(KEYED, MANY, PREPARED, STATS, _WANTED, PREDICTIVE
 SELECT train_class, time_band, {_PARAMS} FROM (SELECT * REPLACE (
   CASE WHEN time_band <> 'MIDDAY' THEN length(time_band) * 1.5 ELSE loc END AS loc,
   CASE WHEN time_band <> 'MIDDAY' THEN greatest(scale * 0.4, 1.2) ELSE scale END AS scale) FROM pred)"""
+# Student-t by sums over a grid of the angle, t = sqrt(df) * tan(angle): the density is cos(angle)**(df - 1) over its
+# integral, and running sums (trapezoids and the slope's correction) are inverted by series around a grid point.
+_STEP = "(pi() / 40000)"
+T_GRID = f"""grid AS (SELECT df, i, i * {_STEP} AS u FROM (SELECT DISTINCT df FROM pred), range(20001) steps(i)),
+density AS (SELECT *, power(greatest(cos(u), 0), df - 1) AS f, -(df - 1) * power(greatest(cos(u), 0), df - 2) * sin(u) AS g FROM grid),
+areas AS (SELECT *, (sum(f) OVER (PARTITION BY df ORDER BY i) - f / 2 - 0.5) * {_STEP} - g * power({_STEP}, 2) / 12 AS area FROM density),
+halves AS (SELECT df, max(area) AS half FROM areas GROUP BY df),
+goals AS (SELECT df, p, half * 2 * abs(p - 0.5) AS goal FROM halves, (VALUES (0.1), (0.5), (0.9)) ps(p)),
+below AS (SELECT q.df, q.p, any_value(goal) AS goal, arg_max(u, i) AS u, arg_max(f, i) AS f, arg_max(g, i) AS g, arg_max(area, i) AS area
+  FROM goals q JOIN areas a ON a.df = q.df AND a.area <= goal + 1e-18 GROUP BY q.df, q.p),
+quantile AS (SELECT df, CAST(p AS DOUBLE) AS p, sign(p - 0.5) * sqrt(df) * tan(u + (goal - area) / f - g * power(goal - area, 2) / (2 * power(f, 3))) AS t FROM below)"""
+ORACLES["student_t_quantiles"] = _with(KEYED, MANY, PREPARED, STATS, _WANTED, PREDICTIVE, T_GRID) + f"""
+SELECT train_class, time_band, p, {_r('loc + scale * t', 'x')}, {_r('p', 'back')} FROM pred JOIN quantile USING (df)"""
 ORACLES["forecast_source"] = _with(
     *RUNS,
     STATS,
@@ -533,6 +546,34 @@ SELECT query_id, CASE WHEN bool_or(s.on_live) THEN 'EMPIRICAL_LIVE' ELSE 'EMPIRI
   strftime(CAST(any_value(as_of) AS TIMESTAMP) + to_minutes(any_value(q_tod)) + to_seconds(CAST(60 * min(value) FILTER (WHERE share >= 0.5) AS BIGINT)), '%H:%M') AS median_clock
 FROM shared s JOIN size z USING (query_id) JOIN asked a USING (query_id) WHERE effective_n >= 8 GROUP BY query_id"""
 
+_SEEN = ORACLES["forecast_cards_seen"].split("\nSELECT ", 1)[1]
+ORACLES["forecast_cards"] = _with(
+    *RUNS,
+    STATS,
+    ASKED,
+    LIVED,
+    f"""every AS (SELECT * FROM asked UNION ALL
+  SELECT * REPLACE ('unseen|' || query_id AS query_id) FROM asked WHERE number = '3'),
+wanted AS (SELECT query_id, live, as_of, q_tod, {_class('category')} AS train_class,
+  {_band("CAST(as_of AS TIMESTAMP) + to_minutes(q_tod)")} AS time_band FROM every
+  WHERE query_id NOT IN (SELECT query_id FROM size WHERE effective_n >= 8))""",
+    PREDICTIVE,
+    T_GRID,
+    f"""unseen AS (SELECT * REPLACE (coalesce(live, loc) AS loc, CASE WHEN live IS NULL THEN scale ELSE greatest(scale * 0.4, 1.2) END AS scale) FROM pred),
+five AS (SELECT *, (5 - loc) / scale AS t, atan(abs((5 - loc) / scale) / sqrt(df)) AS angle FROM unseen),
+met AS (SELECT query_id, five.df, five.t, area + f * (angle - u) + g * power(angle - u, 2) / 2 AS area
+  FROM five JOIN areas ON areas.df = five.df AND i = CAST(floor(angle / {_STEP}) AS BIGINT)),
+within AS (SELECT query_id, 0.5 + sign(t) * area / (2 * half) AS p5 FROM met JOIN halves USING (df)),
+card AS (SELECT query_id, any_value(as_of) AS as_of, any_value(q_tod) AS q_tod,
+  {', '.join(f"any_value(loc + scale * t) FILTER (WHERE p = {p}) AS {n}" for p, n in ((0.5, 'median'), (0.1, 'q10'), (0.9, 'q90')))}
+  FROM unseen JOIN quantile USING (df) GROUP BY query_id)""",
+) + f"""
+SELECT {_SEEN}
+UNION ALL
+SELECT query_id, 'PRIOR', {_r('median', 'median')}, {_r('q10', 'q10')}, {_r('q90', 'q90')}, {_r('p5', 'p_within5')},
+  strftime(CAST(as_of AS TIMESTAMP) + to_minutes(q_tod) + to_microseconds(CAST(round(60000000 * median) AS BIGINT)), '%H:%M')
+FROM card JOIN within USING (query_id)"""
+
 # ---------------------------------------------------------------- backtest
 
 
