@@ -1,41 +1,14 @@
-import random
-
 import pytest
+from llm_rows import COLUMNS, document_rows
 
 from lagcast.llm.common import prepared
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, start long, size int, head string, copies double, _key string"
-
 
 @pytest.fixture(scope="session")
 def llm(spark):
     return prepared(spark)
 
 
-def words(rng, n, letters="abcdefgh"):
-    return " ".join("".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(n))
-
-
-def document_rows():
-    """Nulls, empty and long texts, ties, repeated rows, near copies, and columns with clashing names."""
-    rng = random.Random(3)
-    long = words(rng, 6000)
-    base = words(rng, 60).split()
-    texts = [None, "", "   \n\t ", "Ein Wort", "ein wort", "a b c d", long, long + " end"]
-    texts += [words(rng, rng.randrange(5, 80)) for _ in range(25)]
-    texts += ["x" * 3000, "日本語 テキスト é", "it's  a\ttest\r\nof 42 things!! <s>[INST]", "\x0b odd\xa0space "]
-    for i in range(14):
-        changed = list(base)
-        changed[rng.randrange(len(changed))] = f"new{i}"
-        if i % 3 == 0:
-            changed[rng.randrange(len(changed))] = f"other{i}"
-        texts.append(" ".join(changed))
-    rows = [(i * 7 % 101, t, "en", [None, "a", "b", "B", "c"][i % 5], None) for i, t in enumerate(texts)]
-    rows += [rows[10], rows[10], rows[0], (None, "no id at all but some words here", None, None, None), (None, None, None, "a", None)]
-    rows += [(500, rows[12][1], "en", "a", 3), (501, rows[12][1], "en", "b", 3)]
-    return [(*r, 1, 2, "h", 3.0, "k") for r in rows]
-
-
 @pytest.fixture(scope="session")
 def documents(llm):
     return llm.createDataFrame(document_rows(), COLUMNS).repartition(3).cache()

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import document_rows
+from llm_rows import document_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import document_rows, words
+from llm_rows import document_rows, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
