@@ -33,6 +33,13 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def running(df: DataFrame, order: list[Column], size: str) -> DataFrame:
     """Adds `index` (gapless from 0) and `start` (sum of `size` before the row) over one global order.
 

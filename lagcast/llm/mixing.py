@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagcast.llm.common import running, table
+from lagcast.llm.common import running, table, unused
 from lagcast.session import materialize
 
 #: Words: longest runs of anything but space and tab to carriage return.
@@ -161,10 +161,11 @@ def _repaired(copied: DataFrame, order: list, cap: int, single: int = 2) -> Data
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Rows of `docs`, each as often as the mix takes it. Rows alike share their copies."""
-    copies = mix(docs).groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    taken = keyed.join(copies, "_key").withColumn("_check", F.crc32(F.coalesce("text", F.lit("")))).dropDuplicates(["_key", "_check", "doc_id"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    key, check, many, copy = (unused(docs, c) for c in ("row_key", "row_check", "row_copies", "row_copy"))
+    copies = mix(docs).groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(many)).where(F.col(many) > 0)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    taken = keyed.join(copies, key).withColumn(check, F.crc32(F.coalesce("text", F.lit("")))).dropDuplicates([key, check, "doc_id"])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(many)))).select(*docs.columns)
 
 
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
