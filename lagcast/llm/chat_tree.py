@@ -106,31 +106,40 @@ def write_tree(conversations: DataFrame, folder: str) -> None:
     merged = paths.groupBy("path").agg(*(F.first(c).alias(c) for c in ("depth", "content", "loss_start", "loss_stop")))
     merged = merged.withColumn("chars", F.char_length("content"))
     stream = materialize(running(merged, [F.col("path")], "chars").drop("index").withColumn("node", node("path")))
-    # Ancestors by their place in the path; the join deals out a first turn that many share.
-    above = stream.select("node", F.col("depth").alias("own"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda i: F.hex(F.substring("path", i * DIGEST + 1, F.lit(DIGEST))))).alias("place", "ancestor"))
-    spans = stream.select(F.col("node").alias("ancestor"), "start", "chars")
-    linked = above.join(spans, "ancestor").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("place", "start", (F.col("start") + F.col("chars")).alias("stop")))).alias("line")
-    )
-    joined = F.aggregate(
-        "line",
-        F.array().cast("array<struct<from:bigint,to:bigint>>"),
-        lambda found, x: F.when(
-            (F.size(found) > 0) & (F.element_at(found, -1)["to"] == x["start"]),
-            F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.struct(F.element_at(found, -1)["from"].alias("from"), x["stop"].alias("to")))),
-        ).otherwise(F.concat(found, F.array(F.struct(x["start"].alias("from"), x["stop"].alias("to"))))),
-    )
-    length = F.aggregate("line", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
-    attends = linked.select("node", joined.alias("attends"), length.alias("line_chars"))
+    # Each conversation walks down its line once; lines that share a turn say the same of it.
+    steps = paths.select("conv_id", "depth", node("path").alias("node")).join(stream.select("node", "start", "chars"), "node")
+    dealt = steps.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    attends = dealt.mapInArrow(_walk, "node string, position long, attends array<struct<from: long, to: long>>")
+    attends = attends.groupBy("node").agg(F.first("position").alias("position"), F.first("attends").alias("attends"))
     parent = F.when(F.col("depth") > 0, F.hex(F.substring("path", -2 * DIGEST, DIGEST)))
     (
         stream.join(attends, "node")
-        .select("node", parent.alias("parent"), "depth", "content", "chars", "start", (F.col("line_chars") - F.col("chars")).alias("position"), "attends", "loss_start", "loss_stop")
+        .select("node", parent.alias("parent"), "depth", "content", "chars", "start", "position", "attends", "loss_start", "loss_stop")
         .orderBy("start")
         .write.parquet(f"{folder}/turns")
     )
 
 
+WALKED = pa.schema([("node", pa.string()), ("position", pa.int64()), ("attends", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
+
+
+def _walk(batches):
+    """The position of each turn and the stretches of the stream down to it, for rows in the order of conversation and depth."""
+    position, spans = 0, []
+    for batch in batches:
+        out = []
+        for depth, name, start, chars in zip(*(batch.column(c).to_pylist() for c in ("depth", "node", "start", "chars")), strict=True):
+            if depth == 0:
+                position, spans = 0, []
+            if spans and spans[-1]["to"] == start:
+                spans = [*spans[:-1], {"from": spans[-1]["from"], "to": start + chars}]
+            else:
+                spans = [*spans, {"from": start, "to": start + chars}]
+            out.append({"node": name, "position": position, "attends": spans})
+            position += chars
+        yield pa.RecordBatch.from_pylist(out, WALKED)
+
+
 def read_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """conv_id, depth, content, position, loss_start, loss_stop of every conversation's turns, from the written tree."""
     ends = spark.read.parquet(f"{folder}/ends")
