@@ -15,7 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NODES, _NODE_WEIGHTS = np.polynomial.legendre.leggauss(96)
-_LOG_GAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x), float, len(x))
 
 
 def standard_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -27,7 +30,7 @@ def standard_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         inside = np.exp((df[:, None] - 1.0) * np.log(np.cos(u)))
     area = 0.5 * top * (inside @ _NODE_WEIGHTS)
-    log_scale = _LOG_GAMMA((df + 1.0) / 2.0) - _LOG_GAMMA(df / 2.0) - 0.5 * math.log(math.pi)
+    log_scale = _log_gamma((df + 1.0) / 2.0) - _log_gamma(df / 2.0) - 0.5 * math.log(math.pi)
     half = np.minimum(0.5, np.exp(log_scale) * area)
     return np.where(t >= 0, 0.5 + half, 0.5 - half)
 
