@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagcast.llm.common import MULTIPLIER, mix, table, word_hashes
+from lagcast.llm.common import MULTIPLIER, mix, table, unused, word_hashes
 from lagcast.llm.components import components
 from lagcast.session import materialize
 
 WORDS, PERCENT = 5, 75
-#: Counters of the frequency sketch, entries of a bucket of lists, class from which lists are dealt over several tasks.
-SKETCH_BITS, BUCKET_ENTRIES, HOT_CLASS = 20, 1_500_000, 6
+#: Counters of the frequency sketch, entries of a bucket of lists, sets from which on a list is dealt over several tasks.
+SKETCH_BITS, BUCKET_ENTRIES, HOT_ENTRIES = 20, 1_500_000, 200_000
 #: Sets of a hub read beside one copy of the hub; sets in a block; width of a band of distances to the hub.
 HEAD_ROWS, BLOCK_ROWS, BAND = 1000, 512, 0.05
 #: Bits of the filter for documents that are needed again.
@@ -73,8 +73,8 @@ def linked(inter, n, m, percent: int = PERCENT):
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Frequency class of each counter: log2 of its count over the mean, at least 0. Counts cover all documents."""
-    size, part = 1 << SKETCH_BITS, 1 << 12
+    """How often shingles fall on each counter, over all documents."""
+    size, part = 1 << SKETCH_BITS, min(1 << 12, 1 << SKETCH_BITS)
 
     def count(batches):
         total = np.zeros(size, np.uint32)
@@ -92,17 +92,22 @@ def sketch(docs: DataFrame) -> np.ndarray:
                     if at is not None:
                         yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
                     at, total = i, np.zeros(part, np.int64)
-                total += np.frombuffer(counts, np.uint32 if len(counts) == 4 * part else np.int64)
+                total += np.frombuffer(counts, np.uint32)
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "at long, counts binary").repartition("at").sortWithinPartitions("at")
-    classes = np.zeros(size, np.int64)
+    counts = np.zeros(size, np.int64)
     # As many numbers as the sketch has counters, whatever the size of the corpus.
     for r in parts.mapInArrow(add, "at long, counts binary").collect():
-        classes[r["at"] : r["at"] + part] = np.frombuffer(r["counts"], np.int64)
-    mean = max(1.0, classes.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(classes, 1) / mean))).astype(np.uint8)
+        counts[r["at"] : r["at"] + part] = np.frombuffer(r["counts"], np.int64)
+    return counts
+
+
+def frequency_classes(counts: np.ndarray) -> np.ndarray:
+    """0 where a count is what rare shingles make by chance, else the logarithm of its excess."""
+    mean = max(1.0, counts.mean())
+    return np.floor(1 + np.log2(np.maximum((counts - mean) / (4 * np.sqrt(mean)), 0.5))).astype(np.uint8)
 
 
 def set_table(docs: DataFrame) -> DataFrame:
@@ -121,14 +126,16 @@ def set_table(docs: DataFrame) -> DataFrame:
 LISTS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("hub", pa.int64())])
 
 
-def inverted_lists(docs: DataFrame, classes: np.ndarray, entries: int, hot_class: int = HOT_CLASS) -> DataFrame:
+def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """token, v, n, pos (a lower bound of the place in the set), hub: prefix entries that share a token with another set.
 
     Entries travel in packed arrays, one row per bucket of tokens and task. Lists of very frequent tokens
     are dealt over buckets by set. `hub` is the most central set of the entry's list (or its part).
     """
     buckets = max(1, -(-entries // BUCKET_ENTRIES))
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    # Parts of a list, as a power of two.
+    parts_of = np.floor(np.log2(np.maximum(seen_counts / hot_entries, 0.5)) + 1).astype(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast((frequency_classes(seen_counts), parts_of))
 
     def pack(batches):
         def flush():
@@ -152,16 +159,17 @@ def inverted_lists(docs: DataFrame, classes: np.ndarray, entries: int, hot_class
                 if not n or v in seen:
                     continue
                 seen.add(v)
-                level = shared.value[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                at = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                level = shared.value[0][at]
                 if level.any():
                     order = np.argsort(level, kind="stable")
-                    tokens, level = tokens[order], level[order]
+                    tokens, at = tokens[order], at[order]
                 k = int(probe_length(n))
                 held["tokens"].append(tokens[:k])
                 # Eighth bits of the place suffice; rounding down keeps all bounds safe.
                 held["pos"].append((np.arange(k) * 256 // k).astype(np.uint8))
                 held["rows"].append(np.full(k, len(held["v"])))
-                held["hot"].append(np.maximum(level[:k].astype(np.int64) - hot_class + 1, 0))
+                held["hot"].append(shared.value[1][at[:k]].astype(np.int64))
                 held["v"].append(v)
                 held["n"].append(n)
                 held["size"] += k
@@ -212,18 +220,26 @@ def inverted_lists(docs: DataFrame, classes: np.ndarray, entries: int, hot_class
 
 
 def hubs(lists: DataFrame) -> DataFrame:
-    """v, hub: for each set the set that its lists name most often; hubs of parts of one list are joined under one of them."""
-    named = lambda rows: rows.where("v <> hub").groupBy("v", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("v").agg(
-        F.max_by("hub", F.struct("times", "hub")).alias("hub")
-    )
-    first = materialize(named(lists))
-    # The same once more among the hubs alone, over whole lists.
+    """v, hub: for each set the set that its lists name most often; hubs of parts of one list are joined under one of them.
+
+    A set whose hub is in less than a quarter of its prefix is better off without one.
+    """
+
+    def named(times: DataFrame) -> DataFrame:
+        near = times.where(4 * F.col("times") >= probe_length_column(PERCENT))
+        return near.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+
+    count = F.count(F.lit(1))
+    first = materialize(lists.where("v <> hub").groupBy("v", "n", "hub").agg(count.alias("times")))
+    # The same once more among the hubs alone, over whole lists; central is whose prefix is found in other sets most.
     among = materialize(lists.join(first.select(F.col("hub").alias("v")).distinct(), "v", "left_semi").select("token", "v", "n"))
-    central = among.groupBy("token").agg(F.max(F.struct("n", "v")).alias("best"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    above = named(among.join(central, "token").select("v", F.col("best.v").alias("hub")))
-    second = above.select(F.col("v").alias("hub"), F.col("hub").alias("upper"))
-    moved = first.join(second, "hub", "left").select("v", F.coalesce("upper", "hub").alias("hub"))
-    return materialize(moved.where("v <> hub"))
+    shares = among.groupBy("v").agg((count / F.max(probe_length_column(PERCENT))).alias("share"))
+    among = among.join(shares, "v")
+    central = among.groupBy("token").agg(F.max(F.struct("share", "n", "v")).alias("best"), count.alias("many")).where("many > 1")
+    above = among.join(central, "token").select("v", "n", F.col("best.v").alias("hub")).where("v <> hub")
+    second = named(above.groupBy("v", "n", "hub").agg(count.alias("times"))).select(F.col("v").alias("hub"), F.col("hub").alias("upper"))
+    moved = first.join(second, "hub", "left").withColumn("hub", F.coalesce("upper", "hub")).where("v <> hub")
+    return materialize(named(moved.groupBy("v", "n", "hub").agg(F.sum("times").alias("times"))))
 
 
 def only_needed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -373,13 +389,19 @@ def cross_pairs(lists: DataFrame, hub_of: DataFrame, roots: DataFrame, percent:
     known = known.withColumn("root", root).withColumn("hub", F.coalesce("hub", "v"))
     spread = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     entries = materialize(known.join(spread, "token"))
-    groups = entries.select("token", "hub", "root").distinct()
-    pairs = groups.alias("x").join(groups.alias("y"), F.expr("x.token = y.token AND x.root < y.root AND x.hub <> y.hub"))
+    total, needed = 100 + percent, percent
+    # A pair's first shared shingle leaves room for enough further ones in both sets.
+    groups = entries.groupBy("token", "hub", "root").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.max("n").alias("most"))
+    apart = "x.token = y.token AND x.root < y.root AND x.hub <> y.hub"
+    sizes = f"100 * x.most >= {percent} * y.least AND 100 * y.most >= {percent} * x.least"
+    rooms = f"{total} * least(x.room, y.room) >= {needed} * (x.least + y.least)"
+    pairs = groups.alias("x").join(groups.alias("y"), F.expr(f"{apart} AND {sizes} AND {rooms}"))
     pairs = pairs.select("x.token", F.col("x.hub").alias("hub1"), F.col("x.root").alias("root1"), F.col("y.hub").alias("hub2"), F.col("y.root").alias("root2"))
     side = lambda k: entries.select(F.col("token"), F.col("hub").alias(f"hub{k}"), F.col("root").alias(f"root{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("v", "n", "pos")))
     smaller = F.expr("n1 < n2 OR n1 = n2 AND v1 < v2")
     small_n, small_pos = F.when(smaller, F.col("n1")).otherwise(F.col("n2")), F.when(smaller, F.col("pos1")).otherwise(F.col("pos2"))
     floor_ = F.floor((2 * percent * small_n + 99 + percent) / (100 + percent))
+    both = needed * (F.col("n1") + F.col("n2"))
     met = (
         pairs.join(side(1), ["token", "hub1", "root1"])
         .join(side(2), ["token", "hub2", "root2"])
@@ -387,14 +409,22 @@ def cross_pairs(lists: DataFrame, hub_of: DataFrame, roots: DataFrame, percent:
         .where("hub1 <> v2 AND hub2 <> v1")
         .where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
         .where(small_pos <= small_n - floor_)
+        .where(total * F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= both)
     )
-    # Sharing so many up to a place, two sets have at most this much in common.
+    # Rows are left out only behind these places, so sharing so many up to them, two sets have at most this much in common.
     counted = met.groupBy("v1", "v2", "n1", "n2").agg(F.count(F.lit(1)).alias("times"), F.max("pos1").alias("last1"), F.max("pos2").alias("last2"))
     most = F.col("times") + F.least(F.col("n1") - F.col("last1") - 1, F.col("n2") - F.col("last2") - 1)
-    return materialize(counted.where((100 + percent) * most >= percent * (F.col("n1") + F.col("n2"))).select(F.col("v1").alias("head"), F.col("v2").alias("v")))
+    able = materialize(counted.where(total * most >= both).select("v1", "v2", "n1", "n2"))
+    # Past the end of the prefix that ends first, no more than the rest of that set can be shared.
+    prefixes = lists.join(able.select(F.explode(F.array("v1", "v2")).alias("v")).distinct(), "v", "left_semi").groupBy("v").agg(F.collect_list("token").alias("tokens"))
+    one, two = (prefixes.select(F.col("v").alias(f"v{k}"), F.col("tokens").alias(f"tokens{k}")) for k in (1, 2))
+    rest = F.greatest(*(F.col(c) - probe_length_column(percent, c) for c in ("n1", "n2")))
+    shared = F.size(F.array_intersect("tokens1", "tokens2"))
+    kept = able.join(one, "v1").join(two, "v2").where(total * (shared + rest) >= both)
+    return materialize(kept.select(F.col("v1").alias("head"), F.col("v2").alias("v")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_class: int = HOT_CLASS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, component (number of the component; null without words) of every document.
 
     Two documents link when 100 * intersection >= percent * union of their sets of 5-word shingles (A-Z lower-cased;
@@ -407,7 +437,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_class: int = HO
     sets = set_table(rows)
     entries = sets.agg(F.coalesce(F.sum(probe_length_column(percent)), F.lit(0))).first()[0]
     members = materialize(sets.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id")))
-    lists = inverted_lists(rows, sketch(rows), int(entries), hot_class)
+    lists = inverted_lists(rows, sketch(rows), int(entries), hot_entries)
     hub_of = hubs(lists)
     measured = measure(rows, members, hub_of.select(F.col("hub").alias("head"), "v"), relations=True)
     hit = 100 * F.col("shared") >= percent * (F.col("head_n") + F.col("n") - F.col("shared"))
@@ -423,8 +453,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_class: int = HO
     )
 
 
-def probe_length_column(percent: int):
-    return F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+def probe_length_column(percent: int, n: str = "n"):
+    return F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
 
 
 def op8_skipping_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,9 +465,10 @@ def op8_skipping_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows of `docs`, one per component: the one with the smallest doc_id (null last); all rows without words stay."""
     found = near_duplicates(docs).where("n_shingles > 0")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("_key"))
+    key, check = unused(docs, "row_key"), unused(docs, "row_check")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias(key))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
     # Repeated rows have one key; the second hash keeps apart what the first may not.
-    stay = keyed.where(worded).join(first, "_key", "left_semi").withColumn("_check", F.crc32("text")).dropDuplicates(["_key", "_check", "doc_id"])
+    stay = keyed.where(worded).join(first, key, "left_semi").withColumn(check, F.crc32("text")).dropDuplicates([key, check, "doc_id"])
     return stay.select(*docs.columns).unionByName(docs.where(~worded))
