@@ -59,6 +59,9 @@ VARIANTS = (
     Variant("hl14_delta", 14, factor=0.3, mode="delta"),
 )
 
+# Weeks that are scored unless the caller asks for others.
+WEEKS = 8
+
 CONNECTION = ["eva", "train_type", "train_number"]
 STATE = [*CONNECTION, "day", "tod"]
 LIVE_STATE = ["state", "live"]
@@ -109,7 +112,7 @@ def gated(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.filter(F.col("runs") >= P.MIN_RUNS_PER_CONNECTION), CONNECTION, "left_semi")
 
 
-def evaluated(rows: DataFrame, weeks: int) -> DataFrame:
+def evaluated(rows: DataFrame, weeks: int = WEEKS) -> DataFrame:
     """Counted rows of the evaluation period."""
     newest = rows.agg(F.max("day").alias("day")).scalar()
     return (
@@ -250,7 +253,7 @@ def _named(scores: DataFrame, mapping: list[tuple[str, str]], scenario: str, ext
     return rows.select(F.col("v.variant").alias("variant"), F.lit(scenario).alias("scenario"), *extra, *SCORES)
 
 
-def score_rows(rows: DataFrame, weeks: int, variants=VARIANTS) -> DataFrame:
+def score_rows(rows: DataFrame, weeks: int = WEEKS, variants=VARIANTS) -> DataFrame:
     """Scores per ``(variant, scenario, state, live, y)`` with their row count ``c``."""
     states, asked = with_states(evaluated(rows, weeks))
     folded = materialize(fold_history(rows, states, variants))
@@ -343,5 +346,5 @@ def summarize(scores: DataFrame) -> DataFrame:
     ).withColumn("bucket", F.coalesce("bucket", F.lit("all")))
 
 
-def backtest(rows: DataFrame, weeks: int = 8, variants=VARIANTS) -> DataFrame:
+def backtest(rows: DataFrame, weeks: int = WEEKS, variants=VARIANTS) -> DataFrame:
     return summarize(score_rows(rows, weeks, variants))

@@ -25,7 +25,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 STATIONS = ["8000", "8001"]
-BACKTEST_WEEKS = 1
 
 
 def query(fn: Query) -> Query:
@@ -821,7 +820,7 @@ def backtest_pairs(spark, d):
     """Earlier runs and weights each evaluation state sees."""
     rows = _evaluation(spark, d)
     names = ["w_hl30_wd2", "w_window35", "w_hl14_wd2_hol"]
-    states, _ = backtest.with_states(backtest.evaluated(rows, BACKTEST_WEEKS))
+    states, _ = backtest.with_states(backtest.evaluated(rows))
     cells = backtest.blind_cells(states, backtest.fold_history(rows, states), names)
     sums = cells.groupBy("state").agg(
         F.sum("n").alias("runs"), F.max("known").alias("known"), *[_r(F.sum(w), w) for w in names]
@@ -831,9 +830,8 @@ def backtest_pairs(spark, d):
 
 @query
 def backtest_crps(spark, d):
-    """Scores of four variants per evaluation row."""
-    chosen = tuple(v for v in backtest.VARIANTS if v.name in ("hl30_wd2", "hl30_wd2_kernel", "hl30_wd2_delta", "hl14_delta"))
-    scores = backtest.score_rows(_evaluation(spark, d), BACKTEST_WEEKS, chosen)
+    """Scores of every variant per evaluation row."""
+    scores = backtest.score_rows(_evaluation(spark, d))
     return scores.select(
         "variant",
         "scenario",
@@ -849,7 +847,7 @@ def backtest_crps(spark, d):
 @query
 def backtest_scores_grouping_sets(spark, d):
     """M23/A22/A23."""
-    return backtest.backtest(_evaluation(spark, d), BACKTEST_WEEKS)
+    return backtest.backtest(_evaluation(spark, d))
 
 
 # ---------------------------------------------------------------- streams
