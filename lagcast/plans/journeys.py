@@ -19,6 +19,21 @@ from lagcast.plans.connections import Connections, Network, board_id, plan_conne
 from lagcast.session import materialize
 
 
+@dataclass(frozen=True)
+class Budgets:
+    """What a planner may spend on a query; without a limit unless the caller sets one.
+
+    With any of the last three set, transfers are chosen by ``choose_transfers``;
+    else every option counts.
+    """
+
+    direct: int | None = None
+    feeders: int | None = None
+    attempts: int | None = None
+    results: int | None = None
+    per_feeder: int | None = None
+
+
 @dataclass(frozen=True)
 class Journeys:
     """``itineraries`` is ranked per query; ``outcome`` has one status row per query."""
@@ -60,14 +75,15 @@ def usable_departures(placed: DataFrame, boards: DataFrame) -> DataFrame:
     )
 
 
-def first_departures(departures: DataFrame, limit: int) -> DataFrame:
+def first_departures(departures: DataFrame, limit: int | None) -> DataFrame:
     by_time = Window.partitionBy("query_id").orderBy("dep_planned", "stop_id")
-    return departures.withColumn("rank", F.row_number().over(by_time)).filter(F.col("rank") <= limit)
+    ranked = departures.withColumn("rank", F.row_number().over(by_time))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def direct_itineraries(departures: DataFrame, network: Network) -> DataFrame:
-    """The first direct trains of each query with their predicted arrival."""
-    direct = first_departures(departures.filter("direct"), P.MAX_DIRECT)
+def direct_itineraries(departures: DataFrame, network: Network, limit: int | None = P.MAX_DIRECT) -> DataFrame:
+    """The first direct trains of each query (all without a limit) with their predicted arrival."""
+    direct = first_departures(departures.filter("direct"), limit)
     keyed = with_train_key(direct, network.index)
     ended = match_destination(keyed, network.index, "to_name", "dest_station", "to_eva", True)
     # The newest day's first planned time gives the planned arrival.
@@ -110,9 +126,9 @@ def direct_itineraries(departures: DataFrame, network: Network) -> DataFrame:
     )
 
 
-def transfer_options(departures: DataFrame, stations: DataFrame) -> DataFrame:
+def transfer_options(departures: DataFrame, stations: DataFrame, max_feeders: int | None = None) -> DataFrame:
     """Stations where a feeder can be left, heaviest first; a station that its route names several times is one."""
-    feeders = first_departures(departures.filter("not direct"), P.MAX_FEEDERS)
+    feeders = first_departures(departures.filter("not direct"), max_feeders)
     stops = feeders.select(
         *feeders.columns, F.posexplode("dep_path").alias("at", "stop_name")
     ).withColumn("norm", text.normal_name(F.col("stop_name")))
@@ -128,8 +144,13 @@ def transfer_options(departures: DataFrame, stations: DataFrame) -> DataFrame:
     return once.withColumn("pick", F.row_number().over(heaviest))
 
 
-def choose_transfers(tried: DataFrame) -> DataFrame:
-    """Walk through each query's feeders and picks as a traveller would.
+def choose_transfers(
+    tried: DataFrame,
+    attempts: int | None = P.MAX_ATTEMPTS,
+    results: int | None = P.MAX_TRANSFER_RESULTS,
+    per_feeder: int | None = P.TRANSFERS_PER_FEEDER,
+) -> DataFrame:
+    """Walk through each query's feeders and picks as a traveller with budgets would.
 
     ``tried``: ``query_id, rank, pick, name, works``.  The stations of a query's feeders
     are folded by one array aggregate, because every step depends on the
@@ -140,7 +161,7 @@ def choose_transfers(tried: DataFrame) -> DataFrame:
     )
     start = F.struct(
         F.array().cast("array<string>").alias("seen"),
-        F.lit(P.MAX_ATTEMPTS).alias("left"),
+        F.lit(attempts or 0).alias("left"),
         F.lit(0).alias("found"),
         F.lit(0).alias("feeder"),
         F.lit(0).alias("picks"),
@@ -153,10 +174,10 @@ def choose_transfers(tried: DataFrame) -> DataFrame:
         picks = F.when(fresh, 0).otherwise(state["picks"])
         done = ~fresh & state["done"]
         attempt = (
-            (state["left"] > 0)
-            & (state["found"] < P.MAX_TRANSFER_RESULTS)
+            (F.lit(attempts is None) | (state["left"] > 0))
+            & (F.lit(True) if results is None else state["found"] < results)
             & ~done
-            & (picks < P.TRANSFERS_PER_FEEDER)
+            & (F.lit(True) if per_feeder is None else picks < per_feeder)
             & ~F.array_contains(state["seen"], step["name"])
         )
         success = attempt & step["works"]
@@ -177,10 +198,10 @@ def choose_transfers(tried: DataFrame) -> DataFrame:
     return steps.select("query_id", F.inline(chosen))
 
 
-def transfer_itineraries(departures: DataFrame, network: Network) -> DataFrame:
-    """Up to three transfer itineraries of each query."""
+def transfer_itineraries(departures: DataFrame, network: Network, budgets: Budgets = Budgets()) -> DataFrame:
+    """One itinerary for every feeder and transfer station of each query that work."""
     options = materialize(
-        transfer_options(departures, network.stations).withColumn(
+        transfer_options(departures, network.stations, budgets.feeders).withColumn(
             "option_id", F.concat_ws("|", "feeder_id", F.col("pick").cast("string"))
         )
     )
@@ -196,10 +217,10 @@ def transfer_itineraries(departures: DataFrame, network: Network) -> DataFrame:
         F.col("dep_planned").alias("start"),
         "as_of",
     )
-    made: Connections = plan_connections(requests, network)
-    shape = D.card(made.transfers.points, ["query_id"])
+    planned: Connections = plan_connections(requests, network)
+    shape = D.card(planned.transfers.points, ["query_id"])
     worked = materialize(
-        made.outcome.join(shape, "query_id", "left").select(
+        planned.outcome.join(shape, "query_id", "left").select(
             F.col("query_id").alias("option_id"),
             F.col("transfer_name").alias("transfer_station"),
             (F.col("status") == "OK").alias("works"),
@@ -212,8 +233,13 @@ def transfer_itineraries(departures: DataFrame, network: Network) -> DataFrame:
         )
     )
     joined = options.join(worked, "option_id")
-    chosen = choose_transfers(joined.select("query_id", "rank", "pick", F.col("t_name").alias("name"), "works"))
-    return joined.join(chosen, ["query_id", "rank", "pick"]).select(
+    walk = (budgets.attempts, budgets.results, budgets.per_feeder)
+    if walk == (None, None, None):
+        made = joined.filter("works")
+    else:
+        tried = joined.select("query_id", "rank", "pick", F.col("t_name").alias("name"), "works")
+        made = joined.join(choose_transfers(tried, *walk), ["query_id", "rank", "pick"])
+    return made.select(
         "query_id",
         "stop_id",
         "dep_planned",
@@ -230,7 +256,7 @@ def transfer_itineraries(departures: DataFrame, network: Network) -> DataFrame:
 def rank_itineraries(itineraries: DataFrame) -> DataFrame:
     """The five itineraries with the earliest median arrival."""
     arrival = times.plus_minutes(F.col("reference_arrival"), F.col("median"))
-    best = Window.partitionBy("query_id").orderBy("median_arrival", "dep_planned", "stop_id")
+    best = Window.partitionBy("query_id").orderBy("median_arrival", "dep_planned", "stop_id", "transfer_station")
     return (
         itineraries.withColumn("median_arrival", arrival)
         .withColumn("place", F.row_number().over(best))
@@ -239,7 +265,7 @@ def rank_itineraries(itineraries: DataFrame) -> DataFrame:
     )
 
 
-def plan_journeys(queries: DataFrame, network: Network) -> Journeys:
+def plan_journeys(queries: DataFrame, network: Network, budgets: Budgets = Budgets()) -> Journeys:
     placed = materialize(place_queries(queries, network.stations))
     boards = network.boards(
         placed.filter("from_eva is not null and to_eva is not null and not same").select(
@@ -249,7 +275,9 @@ def plan_journeys(queries: DataFrame, network: Network) -> Journeys:
     departures = materialize(usable_departures(placed, boards))
     ranked = materialize(
         rank_itineraries(
-            direct_itineraries(departures, network).unionByName(transfer_itineraries(departures, network))
+            direct_itineraries(departures, network, budgets.direct).unionByName(
+                transfer_itineraries(departures, network, budgets)
+            )
         )
     )
     seen = departures.groupBy("query_id").agg(F.count("*").alias("departures"), F.max("typical").alias("typical"))

@@ -1,12 +1,13 @@
 """Registered queries and planners do the whole job by default, without budgets."""
 
 import random
-from datetime import timedelta
+from datetime import datetime, time, timedelta
 
-from test_models import TODAY
+from test_models import TODAY, runs_of
 
-from lagcast import registry
-from lagcast.plans import backtest
+from lagcast import registry, schemas
+from lagcast.plans import backtest, connections, journeys
+from lagcast.session import materialize
 
 
 def test_backtest_queries_score_eight_weeks_and_every_variant(spark, monkeypatch):
@@ -22,3 +23,31 @@ def test_backtest_queries_score_eight_weeks_and_every_variant(spark, monkeypatch
     assert {tuple(r) for r in scored} == {(n, s, day) for n in names for s in ("blind", "live") for day in days}
     means = registry.QUERIES["backtest_scores_grouping_sets"](spark, "").filter("bucket = 'all'").collect()
     assert len(means) == 32 and {r.n for r in means} == {57}
+
+
+def network_of(spark, feeders, onward):
+    """Feeders ``(number, route)`` from O at 12:00, of which number 99 calls at T an hour late; trains ``(number, minute)`` from T to D."""
+    at = lambda minute: datetime.combine(TODAY, time()) + timedelta(minutes=minute)
+    stop = lambda eva, number, arr, dep, late, path: (f"{eva}-{number}", eva, "S", number, None, arr and at(arr), None, False, dep and at(dep), dep and at(dep + late), False, path)
+    live = [stop("1", n, None, 720, 0, route) for n, route in feeders] + [stop("3", "99", 730, None, 0, [])]
+    live += [stop("3", n, None, m, 0, ["Dorf"]) for n, m in onward]
+    columns = "stop_id string, eva string, category string, number string, line string, arr_planned timestamp_ntz, arr_changed timestamp_ntz, arr_cancelled boolean, dep_planned timestamp_ntz, dep_changed timestamp_ntz, dep_cancelled boolean, dep_path array<string>"
+    runs = runs_of(spark, [(ago, 730, 60, 60, None, False) for ago in range(1, 31)], "S_99", "Tal", "3")
+    for n, m in onward:
+        for place, eva, tod in (("Tal", "3", m), ("Dorf", "4", m + 20)):
+            runs = runs.unionByName(runs_of(spark, [(ago, tod, 0, 0, None, False) for ago in range(1, 11)], f"S_{n}", place, eva))
+    stations = spark.createDataFrame([("1", "Ort", 500), ("2", "Ufer", 400), ("5", "Vils", 300), ("3", "Tal", 200), ("4", "Dorf", 100)], schemas.STATION)
+    entries = spark.createDataFrame([], schemas.BOARD_ENTRY)
+    return connections.Network(materialize(runs), entries, stations, spark.createDataFrame(live, columns))
+
+
+def test_every_feeder_and_station_is_an_option(spark):
+    feeders = [(str(n), ["Ufer"]) for n in range(60, 76)] + [("99", ["Ufer", "Vils", "Tal"])]
+    network = network_of(spark, feeders, [("8", 800)])
+    query = spark.createDataFrame(
+        [("q", "Ort", "Dorf", datetime.combine(TODAY, time(12)), False, 5, TODAY)],
+        "query_id string, from_text string, to_text string, depart timestamp_ntz, ticket_only boolean, transfer_minutes int, as_of date",
+    )
+    made = journeys.plan_journeys(query, network)
+    assert [(r.stop_id, r.transfer_station) for r in made.itineraries.collect()] == [("1-99", "Tal")]
+    assert [(r.status, r.found) for r in made.outcome.collect()] == [("OK", 1)]
