@@ -163,7 +163,7 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
     ``feeders``: ``query_id, feeder_planned, transfer_minutes``; ``samples``:
     ``query_id, delay, mass``.  The chance to reach a candidate is the product
     of the chances that all earlier ones were gone, hence a running product
-    over at most six candidates per sample.
+    over a query's candidates per sample.
     """
     joint = made.joint.groupBy(*CANDIDATE, "dep", "arr").agg(F.sum("weight").alias("weight"))
     totals = joint.groupBy(*CANDIDATE).agg(F.sum("weight").alias("total"))

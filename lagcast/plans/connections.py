@@ -102,12 +102,13 @@ class Connections:
     feeder: Forecasts
 
 
-def plan_connections(requests: DataFrame, network: Network) -> Connections:
+def plan_connections(requests: DataFrame, network: Network, max_candidates: int | None = None) -> Connections:
     """Outcome of every connection request.
 
     ``requests``: ``query_id, category, number, line, transfer, destination,
     transfer_minutes, ticket_only, start, as_of``.  An unset ticket flag is on
-    exactly when the ticket covers the feeder.
+    exactly when the ticket covers the feeder.  All departures of the board window
+    count unless the caller sets ``max_candidates``.
     """
     placed = resolve_column(requests, "transfer", network.stations, "transfer")
     placed = resolve_column(placed, "destination", network.stations, "dest").withColumns(
@@ -177,11 +178,11 @@ def plan_connections(requests: DataFrame, network: Network) -> Connections:
             >= F.col("feeder_planned") - F.make_dt_interval(mins=F.lit(P.LOOKBACK_BEFORE_FEEDER_MIN))
         )
     )
-    by_departure = Window.partitionBy("query_id").orderBy("dep_planned", "stop_id")
+    if max_candidates is not None:
+        by_departure = Window.partitionBy("query_id").orderBy("dep_planned", "stop_id")
+        departures = departures.withColumn("rank", F.row_number().over(by_departure)).filter(F.col("rank") <= max_candidates)
     nearest = materialize(
-        departures.withColumn("rank", F.row_number().over(by_departure))
-        .filter(F.col("rank") <= P.MAX_CANDIDATES)
-        .select(
+        departures.select(
             "query_id",
             F.col("stop_id").alias("cand_id"),
             "category",

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, time, timedelta
 
+import pytest
 from test_models import TODAY, runs_of
 
 from lagcast import registry, schemas
@@ -51,3 +52,16 @@ def test_every_feeder_and_station_is_an_option(spark):
     made = journeys.plan_journeys(query, network)
     assert [(r.stop_id, r.transfer_station) for r in made.itineraries.collect()] == [("1-99", "Tal")]
     assert [(r.status, r.found) for r in made.outcome.collect()] == [("OK", 1)]
+
+
+def test_every_later_train_is_a_candidate(spark):
+    onward = [(str(n), 731 + n) for n in range(8)] + [("8", 800)]
+    network = network_of(spark, [], onward)
+    request = spark.createDataFrame(
+        [("q", "S", "99", None, "Tal", "Dorf", 5, False, datetime.combine(TODAY, time(12)), TODAY)],
+        "query_id string, category string, number string, line string, transfer string, destination string, transfer_minutes int, ticket_only boolean, start timestamp_ntz, as_of date",
+    )
+    made = connections.plan_connections(request, network)
+    caught = {r.cand_id: r.board_probability for r in made.transfers.candidates.collect()}
+    assert len(caught) == 9 and caught["3-8"] == pytest.approx(1.0)
+    assert made.outcome.collect()[0].status == "OK"
