@@ -157,10 +157,11 @@ def plan_board(entries: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def first_stops(stops: DataFrame, limit: int = P.BOARD_MAX_STOPS) -> DataFrame:
-    """The first stops of each board by departure, else arrival."""
+def first_stops(stops: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stops with their position on each board by departure, else arrival; the first ones if a display sets a limit."""
     by_time = Window.partitionBy("board_id").orderBy(F.coalesce("dep_planned", "arr_planned"), "stop_id")
-    return stops.withColumn("position", F.row_number().over(by_time)).filter(F.col("position") <= limit)
+    placed = stops.withColumn("position", F.row_number().over(by_time))
+    return placed if limit is None else placed.filter(F.col("position") <= limit)
 
 
 def route_after(calls: DataFrame, origins: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def with_train_key(stops: DataFrame, index: DataFrame) -> DataFrame:
 def synthetic_board(entries: DataFrame, requests: DataFrame, runs: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """Boards of dates without a published plan, with routes from the histories."""
     calls = planned_calls(runs) if calls is None else calls
-    stops = materialize(with_train_key(first_stops(plan_board(entries, requests)), calls))
+    stops = materialize(with_train_key(plan_board(entries, requests), calls))
     origins = stops.filter("train_key is not null and dep_tod is not null").select(
         "train_key", F.col("eva").alias("origin_eva"), F.col("dep_tod").alias("origin_tod")
     )

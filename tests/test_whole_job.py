@@ -7,9 +7,12 @@ import pytest
 from test_models import TODAY, runs_of
 
 from lagcast import registry, schemas
+from lagcast.operators import boards
 from lagcast.plans import backtest, connections, journeys
 from lagcast.session import materialize
 
+NOON = datetime.combine(TODAY, time(12))
+
 
 def test_backtest_queries_score_eight_weeks_and_every_variant(spark, monkeypatch):
     rng = random.Random(3)
@@ -65,3 +68,15 @@ def test_every_later_train_is_a_candidate(spark):
     caught = {r.cand_id: r.board_probability for r in made.transfers.candidates.collect()}
     assert len(caught) == 9 and caught["3-8"] == pytest.approx(1.0)
     assert made.outcome.collect()[0].status == "OK"
+
+
+def test_boards_keep_every_stop(spark, monkeypatch):
+    rows = [("1", "X", "S", str(n), None, None, 480 + n, 127, TODAY) for n in range(45)]
+    entries = spark.createDataFrame(rows, schemas.BOARD_ENTRY)
+    request = spark.createDataFrame([("b", "1", NOON - timedelta(hours=4), 5, TODAY)], "board_id string, eva string, start timestamp_ntz, hours int, as_of date")
+    assert boards.synthetic_board(entries, request, runs_of(spark, [(1, 480, 0, None, None, False)])).count() == 45
+    monkeypatch.setattr(registry.S, "network_events", lambda spark, d: None)
+    monkeypatch.setattr(boards, "board_entries", lambda events: entries)
+    monkeypatch.setattr(registry, "_board_requests", lambda spark, d: request)
+    assert sorted(r.position for r in registry.QUERIES["synthetic_board"](spark, "").collect()) == list(range(1, 46))
+    assert boards.first_stops(boards.plan_board(entries, request), 40).count() == 40
