@@ -372,9 +372,8 @@ ORACLES["synthetic_board"] = _with(
     CAST(day AS TIMESTAMP) + to_hours(h + 5) AS end_ts FROM station, day0, (VALUES (3), (7), (17), (23)) t(h))""",
     SYN,
 ) + f"""
-SELECT * FROM (SELECT board_id, stop_id, line, {_ts('arr_planned')}, {_ts('dep_planned')},
-  CAST(row_number() OVER (PARTITION BY board_id ORDER BY coalesce(syn.dep_planned, syn.arr_planned), stop_id) AS INTEGER) AS position FROM syn)
-WHERE position <= 40"""
+SELECT board_id, stop_id, line, {_ts('arr_planned')}, {_ts('dep_planned')},
+  CAST(row_number() OVER (PARTITION BY board_id ORDER BY coalesce(syn.dep_planned, syn.arr_planned), stop_id) AS INTEGER) AS position FROM syn"""
 
 CALL = "call AS (SELECT train_key, station_name, eva, tod, max(day) AS last_day FROM run GROUP BY ALL)"
 # Needs origin(train_key, origin_eva, origin_tod).
@@ -595,7 +594,7 @@ pair0 AS (
     h.delay AS final, h.prev, q.day - h.day AS age, isodow(q.day) = isodow(h.day) AS same, q.folded = h.folded AS same_hol
   FROM num q JOIN num h ON h.eva = q.eva AND h.train_type = q.train_type AND h.train_number = q.train_number
     AND h.day < q.day AND abs(h.tod - q.tod) <= 20
-  WHERE q.day >= (SELECT max(day) FROM ev) - 7),
+  WHERE q.day >= (SELECT max(day) FROM ev) - 56),
 pair AS (SELECT *, count(*) OVER w AS seen, count(prev) OVER w AS known FROM pair0 WINDOW w AS (PARTITION BY id)
   QUALIFY count(*) OVER w >= 10)"""
 
@@ -679,7 +678,7 @@ SELECT eva, train_type, train_number, {_day('day')}, tod, count(*) AS runs, max(
   {_r(f"sum({_VARIANTS['hl30_wd2'][0]})", 'w_hl30_wd2')}, {_r(f"sum({_VARIANTS['window35'][0]})", 'w_window35')},
   {_r(f"sum({_VARIANTS['hl14_wd2_hol'][0]})", 'w_hl14_wd2_hol')}
 FROM pair WHERE id IN (SELECT min(id) FROM num GROUP BY {_STATE}) GROUP BY eva, train_type, train_number, day, tod"""
-ORACLES["backtest_crps"] = _with(*_EVAL_PARTS, _scored(["hl30_wd2", "hl30_wd2_kernel", "hl30_wd2_delta", "hl14_delta"])) + f"""
+ORACLES["backtest_crps"] = _with(*_EVAL_PARTS, _scored(list(_VARIANTS))) + f"""
 SELECT variant, scenario, eva, train_type, train_number, {_day('day')}, tod, live, y, count(*) AS c,
   {_r('min(crps)', 'crps')}, {_r('min(pinball10)', 'pinball10')}, {_r('min(pinball50)', 'pinball50')}, {_r('min(pinball90)', 'pinball90')},
   bool_and(covered80) AS covered80
@@ -748,8 +747,7 @@ near0 AS (
   SELECT s.*, feeder_planned FROM seen_stop s JOIN feeder USING (query_id)
   WHERE dep_planned IS NOT NULL AND NOT (category = f_category AND number = f_number)
     AND EXISTS (SELECT 1 FROM (SELECT unnest(path) AS x) WHERE contains(lower(x), lower(dest_name)))
-    AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE') AND dep_planned >= feeder_planned - INTERVAL 30 MINUTE
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 6),
+    AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE') AND dep_planned >= feeder_planned - INTERVAL 30 MINUTE),
 near AS (SELECT *, category || '_' || number AS c_key, date_sub('second', dep_planned, dep_changed) / 60.0 AS dep_live,
   hour(dep_planned) * 60 + minute(dep_planned) AS dep_at FROM near0),
 arrival AS (
@@ -855,15 +853,14 @@ dep AS (
   WHERE dep_planned IS NOT NULL AND NOT dep_cancelled AND dep_planned >= depart AND (NOT ticket_only OR {_class('category')} <> 'LONG_DISTANCE'))"""
 ORACLES["fare_filter_departures"] = _with(*_CALLS, _JOURNEY) + f"""
 SELECT query_id, stop_id, {_ts('dep_planned')}, direct, typical FROM dep"""
-_DIRECT = f"""best AS (SELECT * FROM dep WHERE direct QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 3),
-newest AS (SELECT train_key, station_name, eva, arg_max(tod, (last_day, -tod)) AS arr_tod FROM call GROUP BY ALL),
+_DIRECT = f"""newest AS (SELECT train_key, station_name, eva, arg_max(tod, (last_day, -tod)) AS arr_tod FROM call GROUP BY ALL),
 ride AS (
   SELECT b.query_id, b.stop_id, b.dep_planned, as_of, n.train_key, n.station_name,
     CASE WHEN CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) < dep_planned
       THEN CAST(CAST(dep_planned AS DATE) + 1 AS TIMESTAMP) + to_minutes(arr_tod)
       ELSE CAST(CAST(dep_planned AS DATE) AS TIMESTAMP) + to_minutes(arr_tod) END AS reference_arrival,
     date_sub('second', dep_planned, dep_changed) / 60.0 AS live
-  FROM best b JOIN newest n ON n.train_key = category || '_' || number AND n.eva = to_eva),
+  FROM dep b JOIN newest n ON b.direct AND n.train_key = category || '_' || number AND n.eva = to_eva),
 asked AS (
   SELECT query_id || '|' || stop_id AS query_id, train_key, station_name, hour(reference_arrival) * 60 + minute(reference_arrival) AS q_tod, as_of, live FROM ride),
 {LIVED},
@@ -875,53 +872,36 @@ direct AS (
   WHERE effective_n >= 8 GROUP BY r.query_id, r.stop_id, r.dep_planned, reference_arrival)"""
 _ITINERARY = f"""query_id, stop_id, transfer_station, {_ts('dep_planned')}, {_ts('reference_arrival')}, {_r('median', 'median', 4)},
   {_r('q10', 'q10', 4)}, {_r('q90', 'q90', 4)}, {_r('catch_probability', 'catch_probability', 4)}, {_r('miss_probability', 'miss_probability', 4)}"""
-ORACLES["direct_itineraries"] = _with(*_CALLS, _JOURNEY, _DIRECT) + f"SELECT {_ITINERARY} FROM direct"
+# The query asks for the first three direct trains.
+_FIRST_DIRECT = "first_direct AS (SELECT query_id, stop_id FROM dep WHERE direct QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 3)"
+ORACLES["direct_itineraries"] = _with(*_CALLS, _JOURNEY, _DIRECT, _FIRST_DIRECT) + f"SELECT {_ITINERARY} FROM direct SEMI JOIN first_direct USING (query_id, stop_id)"
 
 # The connections of the options, with every common table renamed.
 _NAMES = re.findall(r"(?:^|[\s,])([a-z_0-9]+) AS \(", _CHAIN) + ["request"]
 _OPTION_CHAIN = re.sub(r"\b(" + "|".join(sorted(set(_NAMES), key=len, reverse=True)) + r")\b", r"\1_t", _CHAIN)
-_TRANSFERS = f"""feeders AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) AS rank FROM dep WHERE NOT direct
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dep_planned, stop_id) <= 15),
-option AS (
-  SELECT f.*, s.eva AS t_eva, s.name AS t_name, row_number() OVER (PARTITION BY query_id, stop_id ORDER BY s.weight DESC, spot) AS pick
-  FROM (SELECT *, unnest(path) AS stop_name, generate_subscripts(path, 1) AS spot FROM feeders) f JOIN station s ON lower(s.name) = lower(stop_name)
+_TRANSFERS = f"""option AS (
+  SELECT f.*, s.eva AS t_eva, s.name AS t_name
+  FROM (SELECT *, unnest(path) AS stop_name, generate_subscripts(path, 1) AS spot FROM dep WHERE NOT direct) f JOIN station s ON lower(s.name) = lower(stop_name)
   WHERE s.eva <> to_eva AND s.weight >= 40
-  QUALIFY row_number() OVER (PARTITION BY query_id, stop_id ORDER BY s.weight DESC, spot) <= 8),
+  QUALIFY row_number() OVER (PARTITION BY query_id, stop_id, s.eva ORDER BY spot) = 1),
 request_t AS (
-  SELECT query_id || '|' || stop_id || '|' || pick AS query_id, category AS f_category, number AS f_number, dep_planned AS start_ts,
+  SELECT query_id || '|' || stop_id || '|' || t_eva AS query_id, category AS f_category, number AS f_number, dep_planned AS start_ts,
     t_eva, t_name, as_of, to_name AS dest_name, ticket_only FROM option),
 {_OPTION_CHAIN},
 shape AS (
   SELECT query_id, min(value) FILTER (WHERE share >= 0.5) AS median, min(value) FILTER (WHERE share >= 0.1) AS q10, min(value) FILTER (WHERE share >= 0.9) AS q90
   FROM (SELECT *, round(sum(weight) OVER (PARTITION BY query_id ORDER BY value) / sum(weight) OVER (PARTITION BY query_id), 9) AS share FROM pnt_t) GROUP BY 1),
-step AS (
-  SELECT o.*, r.query_id IS NOT NULL AS works, row_number() OVER (PARTITION BY o.query_id ORDER BY rank, pick) AS turn
-  FROM option o LEFT JOIN result_t r ON r.query_id = o.query_id || '|' || o.stop_id || '|' || pick),
-walk AS (
-  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS tried, 6 AS attempts, 0 AS found, CAST(0 AS BIGINT) AS feeder,
-    0 AS picks, false AS done, false AS hit FROM step
-  UNION ALL
-  SELECT query_id, turn, CASE WHEN go THEN list_append(tried, t_name) ELSE tried END, attempts - CAST(go AS INTEGER),
-    found + CAST(go AND works AS INTEGER), rank, picks + CAST(go AS INTEGER), done OR (go AND works), go AND works
-  FROM (
-    SELECT *, attempts > 0 AND found < 3 AND NOT done AND picks < 2 AND NOT list_contains(tried, t_name) AS go
-    FROM (
-      SELECT s.query_id, s.turn, s.t_name, s.works, s.rank, tried, attempts, found,
-        CASE WHEN s.rank = feeder THEN picks ELSE 0 END AS picks, s.rank = feeder AND done AS done
-      FROM walk w JOIN step s ON s.query_id = w.query_id AND s.turn = w.turn + 1))),
 changing AS (
-  SELECT s.query_id, s.stop_id, s.t_name AS transfer_station, s.dep_planned, r.reference_arrival, median, q10, q90,
+  SELECT o.query_id, o.stop_id, o.t_name AS transfer_station, o.dep_planned, r.reference_arrival, median, q10, q90,
     r."catch" AS catch_probability, m.miss AS miss_probability
-  FROM step s JOIN walk w ON w.query_id = s.query_id AND w.turn = s.turn AND hit
-  JOIN result_t r ON r.query_id = s.query_id || '|' || s.stop_id || '|' || pick
+  FROM option o JOIN result_t r ON r.query_id = o.query_id || '|' || o.stop_id || '|' || t_eva
   JOIN shape h ON h.query_id = r.query_id JOIN missed_t m ON m.query_id = r.query_id),
 ranked AS (
   SELECT *, reference_arrival + to_seconds(CAST(round(median * 60) AS BIGINT)) AS median_arrival FROM (SELECT * FROM direct UNION ALL SELECT * FROM changing)),
 top AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY median_arrival, dep_planned, stop_id) AS INTEGER) AS place FROM ranked
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_arrival, dep_planned, stop_id) <= 5)"""
-_ALL_JOURNEYS = _with(*_CALLS, _JOURNEY, _DIRECT, _TRANSFERS).replace("WITH ", "WITH RECURSIVE ", 1)
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY median_arrival, dep_planned, stop_id, transfer_station NULLS FIRST) AS INTEGER) AS place FROM ranked
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_arrival, dep_planned, stop_id, transfer_station NULLS FIRST) <= 5)"""
+_ALL_JOURNEYS = _with(*_CALLS, _JOURNEY, _DIRECT, _TRANSFERS)
 ORACLES["itinerary_top5"] = _ALL_JOURNEYS + f"""
 SELECT {_ITINERARY}, place, CAST(greatest(0, date_sub('minute', top.dep_planned, median_arrival)) AS INTEGER) AS travel_minutes FROM top"""
 ORACLES["journey_outcome"] = _ALL_JOURNEYS + """
