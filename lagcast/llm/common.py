@@ -70,6 +70,8 @@ def running(df: DataFrame, order: list[Column], size: str) -> DataFrame:
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 BLOCK = 1 << 19
+#: Bytes of text that a worker holds arrays of at once.
+SLICE = 1 << 20
 #: Byte classes: 0 white space (space, and tab to carriage return), 2 ASCII punctuation, 1 the rest.
 CLASSES = np.ones(256, np.uint8)
 CLASSES[[0x20, *range(0x09, 0x0E)]] = 0
@@ -104,11 +106,23 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     column = column.cast(pa.large_string()).fill_null("")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
     data = column.buffers()[2]
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
+def row_slices(column, size: int = SLICE):
+    """First row and part of consecutive parts of a column of texts, each of about `size` bytes or one longer row."""
+    _, offsets = utf8(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def word_hashes(column, letters: np.ndarray = LOWER, classes: np.ndarray = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a column, and for each row where its words begin (one more at the end).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lagcast.llm.chat_tree import op6_chat_prefix_tree
 from lagcast.llm.jaccard_join import op8_skipping_jaccard
 from lagcast.llm.mixing import op7_entropy_mix
+from lagcast.llm.ngram_resampling import OP12_SQL, op12_arrow_resampling
 from lagcast.llm.orc_output import op10_orc_tokens
 from lagcast.llm.packing import op9_packed_sequences
 from lagcast.llm.piecewise import op1_piecewise_prints
@@ -13,5 +14,5 @@ from lagcast.llm.sharding import op2_minimax_shards
 from lagcast.llm.va_file import OP3_SQL, op3_va_file_top5
 from lagcast.llm.warc import OP4_SQL, op4_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_piecewise_prints, op2_minimax_shards, op3_va_file_top5, op4_warc_round_trip, op5_importance_quality, op6_chat_prefix_tree, op7_entropy_mix, op8_skipping_jaccard, op9_packed_sequences, op10_orc_tokens)}
-ORACLES = {"op3_va_file_top5": OP3_SQL, "op4_warc_round_trip": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_piecewise_prints, op2_minimax_shards, op3_va_file_top5, op4_warc_round_trip, op5_importance_quality, op6_chat_prefix_tree, op7_entropy_mix, op8_skipping_jaccard, op9_packed_sequences, op10_orc_tokens, op12_arrow_resampling)}
+ORACLES = {"op3_va_file_top5": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op12_arrow_resampling": OP12_SQL}
