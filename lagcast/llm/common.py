@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lagcast.session import configure, materialize
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -70,6 +71,8 @@ def running(df: DataFrame, order: list[Column], size: str) -> DataFrame:
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 BLOCK = 1 << 19
+#: Sums of powers modulo 2**64 collide on regular strings from about 1024 bytes; words above this are digested.
+LONG = 64
 #: Bytes of text that a worker holds arrays of at once.
 SLICE = 1 << 20
 #: Byte classes: 0 white space (space, and tab to carriage return), 2 ASCII punctuation, 1 the rest.
@@ -89,6 +92,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def digest64(data: bytes) -> int:
+    """A hash without structure, for what is too long for sums of powers."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
     state = worker_state()
@@ -128,7 +136,8 @@ def word_hashes(column, letters: np.ndarray = LOWER, classes: np.ndarray = CLASS
 
     A word is a longest run of bytes of one class other than 0 within a row. A word's
     hash is a difference of two running sums, so a block takes a few array operations.
-    Blocks end after white space, so that memory does not grow with the text.
+    Longer words, for which a sum modulo a power of two is weak, are hashed one by one. Blocks end
+    between runs, so that memory does not grow with the text.
     """
     data, offsets = utf8(column)
     edge = np.zeros(len(data) + 1, bool)
@@ -137,24 +146,34 @@ def word_hashes(column, letters: np.ndarray = LOWER, classes: np.ndarray = CLASS
     at, last = int(offsets[0]), int(offsets[-1])
     while at < last:
         to = min(at + BLOCK, last)
-        if to < last:
-            gaps = np.flatnonzero(classes[data[at:to]] == 0)
-            if len(gaps):
-                to = at + int(gaps[-1]) + 1
-            else:
-                while to < last and classes[data[to]] != 0:
-                    to += 1
         kind = classes[data[at:to]]
         change = np.empty(to - at + 1, bool)
         change[0] = change[-1] = True
         change[1:-1] = (kind[1:] != kind[:-1]) | edge[at + 1 : to]
         cuts = np.flatnonzero(change)
+        if to < last and len(cuts) > 2:
+            # The last run may go on.
+            cuts = cuts[:-1]
+            to = at + int(cuts[-1])
+        while to < last and len(cuts) == 2:
+            # One run, longer than a block.
+            on = min(to + BLOCK, last)
+            step = np.flatnonzero((classes[data[to:on]] != kind[0]) | edge[to:on])
+            to = to + int(step[0]) if len(step) else on
+            cuts[1] = to - at
+            if len(step):
+                break
         keep = kind[cuts[:-1]] != 0
         starts, ends = cuts[:-1][keep], cuts[1:][keep]
-        up, down = powers(to - at)
-        sums = np.zeros(to - at + 1, np.uint64)
-        np.cumsum((letters[data[at:to]].astype(np.uint64) + np.uint64(1)) * up[: to - at], out=sums[1:])
-        hashes.append(mix((sums[ends] - sums[starts]) * down[starts]))
+        made = np.zeros(len(starts), np.uint64)
+        if to - at <= BLOCK:
+            up, down = powers(to - at)
+            sums = np.zeros(to - at + 1, np.uint64)
+            np.cumsum((letters[data[at:to]].astype(np.uint64) + np.uint64(1)) * up[: to - at], out=sums[1:])
+            made = mix((sums[ends] - sums[starts]) * down[starts])
+        for i in np.flatnonzero(ends - starts > LONG):
+            made[i] = digest64(letters[data[at + int(starts[i]) : at + int(ends[i])]].tobytes())
+        hashes.append(made)
         begins.append(starts + at)
         at = to
     hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)

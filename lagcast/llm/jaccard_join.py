@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagcast.llm.common import MULTIPLIER, mix, table, unused, word_hashes
+from lagcast.llm.common import MULTIPLIER, mix, row_slices, table, unused, word_hashes
 from lagcast.llm.components import components
 from lagcast.session import materialize
 
 WORDS, PERCENT = 5, 75
 #: Counters of the frequency sketch, entries of a bucket of lists, sets from which on a list is dealt over several tasks.
-SKETCH_BITS, BUCKET_ENTRIES, HOT_ENTRIES = 20, 1_500_000, 200_000
+SKETCH_BITS, BUCKET_ENTRIES, HOT_ENTRIES = 20, 400_000, 200_000
 #: Sets of a hub read beside one copy of the hub; sets in a block; width of a band of distances to the hub.
 HEAD_ROWS, BLOCK_ROWS, BAND = 1000, 512, 0.05
 #: Bits of the filter for documents that are needed again.
@@ -33,8 +33,12 @@ FILTER_BITS = 25
 def shingle_sets(column, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; with fewer words the whole sequence is one, without words there is none.
 
-    Hashes have 64 bits: within two compared sets a false match is less likely than 1 in 10**9.
+    Words are hashed as common.word_hashes does it, runs of them step by step with all bits mixed.
     """
+    return [s for _, part in row_slices(column) for s in _shingle_sets(part, words)]
+
+
+def _shingle_sets(column, words: int) -> list[np.ndarray]:
     hashes, begins = word_hashes(column)
     runs = hashes[: max(0, len(hashes) - words + 1)]
     for j in range(1, words):
@@ -82,21 +86,24 @@ def sketch(docs: DataFrame) -> np.ndarray:
             for tokens in shingle_sets(batch.column("text")):
                 total[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
         for i in range(0, size, part):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i : i + part].tobytes()], pa.binary())], ["at", "counts"])
+            there = np.flatnonzero(total[i : i + part])
+            if len(there):
+                packed = [i, there.astype(np.uint16).tobytes(), total[i + there].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in packed], ["at", "places", "counts"])
 
     def add(batches):
-        at, total = None, None
+        at, total = None, np.zeros(part, np.int64)
         for batch in batches:
-            for i, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for i, places, counts in zip(*(batch.column(c).to_pylist() for c in ("at", "places", "counts")), strict=True):
                 if i != at:
                     if at is not None:
                         yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
                     at, total = i, np.zeros(part, np.int64)
-                total += np.frombuffer(counts, np.uint32)
+                total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "at long, counts binary").repartition("at").sortWithinPartitions("at")
+    parts = docs.select("text").mapInArrow(count, "at long, places binary, counts binary").repartition("at").sortWithinPartitions("at")
     counts = np.zeros(size, np.int64)
     # As many numbers as the sketch has counters, whatever the size of the corpus.
     for r in parts.mapInArrow(add, "at long, counts binary").collect():
@@ -110,6 +117,26 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.floor(1 + np.log2(np.maximum((counts - mean) / (4 * np.sqrt(mean)), 0.5))).astype(np.uint8)
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row_key: a hash of both, so repeated rows have one key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def set_members(sets: DataFrame) -> DataFrame:
+    """v, row_key of one of its documents, doc_id (the smallest, null only if all are)."""
+    return sets.where("n > 0").groupBy("v").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
+
+
+def with_components(sets: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, row_key, component, n_shingles, component_id of every document, from the components found (vertex, root)."""
+    named = members.join(found.select(F.col("vertex").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_set = named.join(lowest, "root").select("v", "component_id", "root")
+    return sets.join(by_set, "v", "left").select(
+        "doc_id", "row_key", F.when(F.col("n") > 0, F.col("root")).alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (hash of doc_id and text), v (number of the set), n (its size; 0 without words), a row per document."""
 
@@ -119,8 +146,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             made = [pa.array([vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "v", "n"])
 
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return materialize(keyed.mapInArrow(make, "doc_id long, row_key long, v long, n long"))
+    return materialize(docs.mapInArrow(make, "doc_id long, row_key long, v long, n long"))
 
 
 LISTS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("hub", pa.int64())])
@@ -154,7 +180,7 @@ def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_e
         held = fresh()
         for batch in batches:
             seen = set()
-            for tokens in shingle_sets(batch.column("text")):
+            for tokens in (s for _, part in row_slices(batch.column("text")) for s in _shingle_sets(part, WORDS)):
                 v, n = vertex(tokens), len(tokens)
                 if not n or v in seen:
                     continue
@@ -168,14 +194,14 @@ def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_e
                 held["tokens"].append(tokens[:k])
                 # Eighth bits of the place suffice; rounding down keeps all bounds safe.
                 held["pos"].append((np.arange(k) * 256 // k).astype(np.uint8))
-                held["rows"].append(np.full(k, len(held["v"])))
-                held["hot"].append(shared.value[1][at[:k]].astype(np.int64))
+                held["rows"].append(np.full(k, len(held["v"]), np.int32))
+                held["hot"].append(shared.value[1][at[:k]])
                 held["v"].append(v)
                 held["n"].append(n)
                 held["size"] += k
-            if held["size"] >= 500_000:
-                yield from flush()
-                held = fresh()
+                if held["size"] >= 150_000:
+                    yield from flush()
+                    held = fresh()
         if held["v"]:
             yield from flush()
 
@@ -243,12 +269,19 @@ def hubs(lists: DataFrame) -> DataFrame:
 
 
 def only_needed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Documents that may be in `wanted` (doc_id): a filter of fixed size, so that few others are moved."""
-    # Bitmaps of Spark count places from 1.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
+    """Documents that may be in `wanted` (row_key): a filter sized by their number, so that few others are moved.
+
+    Beyond the filter's largest size every document is moved, which changes the cost only.
+    """
+    many = wanted.select("row_key").distinct().count()
+    bits = max(16, min(FILTER_BITS, int(many).bit_length() + 3))
+    if many > 1 << FILTER_BITS:
+        return docs
+    # Bitmaps of Spark count places from 1; a bitmap has 2**15 bits.
+    place = F.shiftrightunsigned("row_key", 64 - bits) + 1
     maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     size = 4096
-    filled = bytearray((1 << FILTER_BITS) // 8)
+    filled = bytearray((1 << bits) // 8)
     # At most 1024 rows, whatever the number of documents.
     for r in maps.collect():
         filled[(r["part"] - 1) * size : r["part"] * size] = r["bits"]
@@ -257,8 +290,8 @@ def only_needed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     @F.arrow_udf("boolean")
     def may_be(places: pa.Array) -> pa.Array:
         at = places.to_numpy(zero_copy_only=False) - 1
-        bits = np.frombuffer(shared.value, np.uint8)
-        return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        held = np.frombuffer(shared.value, np.uint8)
+        return pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
     return docs.where(may_be(place))
 
@@ -266,42 +299,45 @@ def only_needed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 MEASURED = "head long, v long, head_n long, n long, shared long, bits binary, others binary"
 
 
-def measure(docs: DataFrame, members: DataFrame, pairs: DataFrame, relations: bool) -> DataFrame:
-    """Overlap of each pair (head, v) of sets, from whole texts; columns of MEASURED.
+def measure(docs: DataFrame, members: DataFrame, pairs: DataFrame, relations: bool, words: int = WORDS) -> DataFrame:
+    """Overlap of each pair (head, v) of sets, from whole texts (row_key, text); columns of MEASURED.
 
-    `members` (doc_id, v) names a document for each set. A head is read once before up to HEAD_ROWS of its
+    `members` (row_key, v) names a document for each set. A head is read once before up to HEAD_ROWS of its
     sets, so a head with many is dealt over tasks. With `relations`, `bits` has a bit per shingle of the
     head, and `others` the shingles outside it.
     """
     counts = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HEAD_ROWS).alias("parts"))
     salted = pairs.join(counts, "head").select("head", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("salt"), F.lit(1).alias("role"))
     heads = counts.select("head", F.col("head").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = materialize(salted.unionByName(heads).join(members, "v").select("doc_id", "head", "v", "salt", "role"))
-    texts = only_needed(docs, wanted).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id")).select("w.head", "w.v", "w.salt", "w.role", "d.text")
+    wanted = materialize(salted.unionByName(heads).join(members, "v").select("row_key", "head", "v", "salt", "role"))
+    # Repeated rows have one key and one text.
+    once = only_needed(docs.select("row_key", "text"), wanted).dropDuplicates(["row_key"])
+    texts = wanted.join(once, "row_key").select("head", "v", "salt", "role", "text")
 
     def compare(batches):
         name, head = None, None
         for batch in batches:
-            out = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("head", "v", "salt", "role")), shingle_sets(batch.column("text")), strict=True)
-            for head_v, v, salt, role, tokens in rows:
-                # Documents of a repeated doc_id may have other texts.
-                if vertex(tokens) != v:
-                    continue
-                if role == 0:
-                    name, head = (head_v, salt), tokens
-                    continue
-                if name != (head_v, salt):
-                    raise ValueError("a head is missing")
-                at = np.minimum(np.searchsorted(head, tokens), len(head) - 1)
-                inside = head[at] == tokens
-                found = {"head": head_v, "v": v, "head_n": len(head), "n": len(tokens), "shared": int(inside.sum()), "bits": None, "others": None}
-                if relations:
-                    mask = np.zeros(len(head), bool)
-                    mask[at[inside]] = True
-                    found |= {"bits": np.packbits(mask).tobytes(), "others": tokens[~inside].tobytes()}
-                out.append(found)
-            yield pa.RecordBatch.from_pylist(out, OVERLAPS)
+            for first, part in row_slices(batch.column("text")):
+                out = []
+                rows = zip(*(batch.column(c).slice(first, len(part)).to_pylist() for c in ("head", "v", "salt", "role")), _shingle_sets(part, words), strict=True)
+                for head_v, v, salt, role, tokens in rows:
+                    # Texts whose row keys collide.
+                    if vertex(tokens) != v:
+                        continue
+                    if role == 0:
+                        name, head = (head_v, salt), tokens
+                        continue
+                    if name != (head_v, salt):
+                        raise ValueError("a head is missing")
+                    at = np.minimum(np.searchsorted(head, tokens), len(head) - 1)
+                    inside = head[at] == tokens
+                    found = {"head": head_v, "v": v, "head_n": len(head), "n": len(tokens), "shared": int(inside.sum()), "bits": None, "others": None}
+                    if relations:
+                        mask = np.zeros(len(head), bool)
+                        mask[at[inside]] = True
+                        found |= {"bits": np.packbits(mask).tobytes(), "others": tokens[~inside].tobytes()}
+                    out.append(found)
+                yield pa.RecordBatch.from_pylist(out, OVERLAPS)
 
     dealt = texts.repartition("head", "salt").sortWithinPartitions("head", "salt", "role")
     return materialize(dealt.mapInArrow(compare, MEASURED))
@@ -433,24 +469,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot_entries: int =
     are one component; a null doc_id takes part, but does not name a component unless all its doc_ids
     are null. Extra columns are left out; no rows give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = keyed_texts(docs)
     sets = set_table(rows)
     entries = sets.agg(F.coalesce(F.sum(probe_length_column(percent)), F.lit(0))).first()[0]
-    members = materialize(sets.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id")))
+    members = materialize(set_members(sets))
     lists = inverted_lists(rows, sketch(rows), int(entries), hot_entries)
     hub_of = hubs(lists)
-    measured = measure(rows, members, hub_of.select(F.col("hub").alias("head"), "v"), relations=True)
+    measured = measure(rows, members.select("row_key", "v"), hub_of.select(F.col("hub").alias("head"), "v"), relations=True)
     hit = 100 * F.col("shared") >= percent * (F.col("head_n") + F.col("n") - F.col("shared"))
     inner = materialize(measured.where(hit).select(F.col("head").alias("a"), F.col("v").alias("b")).unionByName(links_around_hubs(measured, percent)))
     roots = components(inner)
-    outer = measure(rows, members, cross_pairs(lists, hub_of, roots, percent), relations=False)
+    outer = measure(rows, members.select("row_key", "v"), cross_pairs(lists, hub_of, roots, percent), relations=False)
     everything = components(inner.unionByName(outer.where(hit).select(F.col("head").alias("a"), F.col("v").alias("b"))))
-    named = members.join(everything.select(F.col("vertex").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(lowest, "root").select("v", "component_id", "root")
-    return sets.join(by_set, "v", "left").select(
-        "doc_id", "row_key", F.when(F.col("n") > 0, F.col("root")).alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    return with_components(sets, members, everything)
 
 
 def probe_length_column(percent: int, n: str = "n"):

@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-from lagcast.llm.common import BLOCK, SAME, mix, powers, utf8, worker_state
+from lagcast.llm.common import BLOCK, LONG, SAME, digest64, mix, powers, utf8, worker_state
 
 #: Distinct chunks that a worker keeps; then it starts anew.
 KEPT, SLOT_BITS = 3_000_000, 23
@@ -110,18 +110,27 @@ class Encoder:
         self.known += n
         self.used += total
 
+    @staticmethod
+    def cuts(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Whether a chunk begins at each place after the first."""
+        space = SPACE[data]
+        return (space[1:] & ~space[:-1]) | (PUNCT[data[1:]] & LETTER[data[:-1]]) | edge[1:]
+
     def block(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the chunks of a block, where each chunk begins, and how many ids it has."""
-        space = SPACE[data]
         cut = np.empty(len(data) + 1, bool)
         cut[0] = cut[-1] = True
-        cut[1:-1] = (space[1:] & ~space[:-1]) | (PUNCT[data[1:]] & LETTER[data[:-1]]) | edge[1:]
+        cut[1:-1] = self.cuts(data, edge)
         cuts = np.flatnonzero(cut)
         starts, ends = cuts[:-1], cuts[1:]
-        up, down = powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((SAME[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        hashes = np.zeros(len(starts), np.uint64)
+        if len(data) <= BLOCK:
+            up, down = powers(len(data))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((SAME[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        for i in np.flatnonzero(ends - starts > LONG):
+            hashes[i] = digest64(data[int(starts[i]) : int(ends[i])].tobytes())
         found = self.find(hashes)
         if len(new := np.flatnonzero(found < 0)):
             distinct, first = np.unique(hashes[new], return_index=True)
@@ -149,14 +158,14 @@ class Encoder:
         while at < high:
             to = min(at + BLOCK, high)
             if to < high:
-                # Blocks end where a chunk ends: before white space after another character, or at a row's end.
-                window = data[at + 1 : to + 1]
-                stops = np.flatnonzero((SPACE[window] & ~SPACE[data[at:to]]) | edge[at + 1 : to + 1])
+                # Blocks end where a chunk ends; a longer chunk is a block of its own.
+                stops = np.flatnonzero(self.cuts(data[at : to + 1], edge[at : to + 1]))
                 if len(stops):
                     to = at + 1 + int(stops[-1])
-                else:
-                    while to < high and not (edge[to] or (SPACE[data[to]] and not SPACE[data[to - 1]])):
-                        to += 1
+                while to < high and not len(stops):
+                    on = min(to + BLOCK, high)
+                    stops = np.flatnonzero(self.cuts(data[to - 1 : on], edge[to - 1 : on]))
+                    to = to + int(stops[0]) if len(stops) else on
             ids, starts, counts = self.block(data[at:to], edge[at:to])
             parts.append(ids)
             begins.append(starts + at)

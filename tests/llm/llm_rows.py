@@ -1,6 +1,10 @@
 """Rows of every awkward kind."""
 
 import random
+import re
+from collections import Counter, defaultdict
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, start long, size int, head string, copies double, _key string"
 
@@ -27,3 +31,28 @@ def document_rows():
     rows += [rows[10], rows[10], rows[0], (None, "no id at all but some words here", None, None, None), (None, None, None, "a", None)]
     rows += [(500, rows[12][1], "en", "a", 3), (501, rows[12][1], "en", "b", 3)]
     return [(*r, 1, 2, "h", 3.0, "k") for r in rows]
+
+
+def plain_components(rows, k=5, percent=75):
+    """(doc_id, size of the set, component) of each row by comparing all pairs."""
+    sets, lower = [], str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                root[top(i)] = top(j)
+    members = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        members[top(i)].append(d)
+    lowest = {k: min((d for d in v if d is not None), default=None) for k, v in members.items()}
+    return Counter((d, len(s), lowest[top(i)] if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from llm_rows import document_rows
+from llm_rows import WORD, document_rows, plain_components
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -230,30 +230,6 @@ def test_rates_solve_the_dual(llm):
 # ---------------------------------------------------------------- near duplicates
 
 
-def plain_components(rows):
-    sets, lower = [], str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-    for _, t in rows:
-        w = WORD.findall((t or "").translate(lower))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    root = list(range(len(rows)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, x in enumerate(sets):
-        for j in range(i):
-            y = sets[j]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                root[top(i)] = top(j)
-    members = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        members[top(i)].append(d)
-    lowest = {k: min((d for d in v if d is not None), default=None) for k, v in members.items()}
-    return Counter((d, len(s), lowest[top(i)] if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
-
-
 @pytest.mark.parametrize("hot_entries", [200_000, 2])
 def test_components_match_all_pairs(documents, hot_entries, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 8)
