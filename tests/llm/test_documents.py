@@ -1,7 +1,6 @@
 """Operators on documents against plain versions, on rows of every awkward kind."""
 
 import hashlib
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,7 +176,6 @@ def test_plan_places_all_pieces_with_little_padding():
 
 # ---------------------------------------------------------------- mixing
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
