@@ -10,45 +10,49 @@ concerns classes only. Pieces then find their place by their rank in their class
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagcast.llm.common import running, table
+from lagcast.llm.common import SLICE, row_slices, running, table
 from lagcast.llm.tokens import encoder
+from lagcast.session import shared_dir
 
 WINDOW, STEP, END, PAD = 2048, 8, 1, 0
-PIECE = "doc_id long, piece_start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc_id long, piece_start long, length long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents (null text: the end id alone): columns of PIECE, and the ids if asked for."""
+def stored_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
+    """Pieces of all documents (null text: the end id alone), tokenized and stored once: columns of PIECE, ids, piece_id.
+
+    Ids are little-endian numbers of 2 bytes, or of 4 where a piece has a larger one.
+    """
 
     def cut(batches):
         for batch in batches:
-            ids, offsets = encoder(tokenizer).column(batch.column("text"), end)
-            counts = np.diff(offsets)
-            n = -(-counts // window)
-            row = np.repeat(np.arange(len(counts)), n)
-            start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * window
-            length = np.minimum(counts[row] - start, window)
-            low = offsets[:-1][row] + start
-            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(low.tolist(), length.tolist(), strict=True)]
-            columns = [batch.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[row]))]
-            names = [c.split()[0] for c in PIECE.split(", ")]
-            if with_ids:
-                # Pieces follow one another in the ids.
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(low, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for first, part in row_slices(batch.column("text"), 4 * SLICE):
+                ids, offsets = encoder(tokenizer).column(part, end)
+                counts = np.diff(offsets)
+                n = -(-counts // window)
+                row = np.repeat(np.arange(len(counts)), n)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * window
+                length = np.minimum(counts[row] - start, window)
+                low = offsets[:-1][row] + start
+                packed = [ids[i : i + k].astype("<u2" if ids[i : i + k].max() < 1 << 16 else "<u4").tobytes() for i, k in zip(low.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column("doc_id").take(pa.array(first + row)), *(pa.array(x, pa.int64()) for x in (start, length, counts[row])), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECE.split(", ")] + ["ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, PIECE + ", ids array<int>" * with_ids)
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    made = rows.mapInArrow(cut, PIECE + ", ids binary").withColumn("piece_id", F.monotonically_increasing_id())
+    made.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 #: Columns that enter the active set at once, and the most rounds of doing so; what a plan leaves is packed greedily.
@@ -145,16 +149,11 @@ def places(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"low": low, "many": many, "first": first, "slot": slot}
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, step: int = STEP, end: int = END) -> DataFrame:
-    """Where each piece of each document goes: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    A null or empty text has the end id alone. Rows with a repeated or null doc_id are rows of
-    their own; extra columns are left out; no rows give no pieces.
-    """
+def placed(cut: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """piece_id, sequence_id, slot of every piece: the plan of its class and its rank in the class say where it goes."""
     classes = window // step
-    cut = pieces(docs, tokenizer, window, end).withColumn("class", F.ceil(F.col("length") / step))
-    order = [F.col(c) for c in ("class", "doc_id", "piece_start", "length", "doc_tokens", "ids_crc32")]
-    ranked = running(cut, order, "length")
+    narrow = cut.select("piece_id", "doc_id", "piece_start", "length", "doc_tokens", F.ceil(F.col("length") / step).alias("class"))
+    ranked = running(narrow, [F.col(c) for c in ("class", "doc_id", "piece_start", "length", "doc_tokens", "piece_id")], "length")
     # At most `classes` rows come back.
     histogram = {r["class"]: r["count"] for r in ranked.groupBy("class").count().collect()}
     runs = places(plan(histogram, classes))
@@ -164,45 +163,91 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, step: int = STEP
             index = batch.column("index").to_numpy()
             run = np.searchsorted(runs["low"], index, "right") - 1
             beside, many = index - runs["low"][run], runs["many"][run]
-            found = {"sequence_id": runs["first"][run] + beside // many, "slot": runs["slot"][run] + beside % many}
-            for name, values in found.items():
-                batch = batch.append_column(name, pa.array(values, pa.int64()))
-            yield batch.drop_columns(["index"])
-
-    placed = ranked.select(*(c.split()[0] for c in PIECE.split(", ")), "index").mapInArrow(place, PIECE + ", sequence_id long, slot long")
-    # A sequence holds at most `window` pieces.
-    before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id",
-        F.col("piece_start").alias("start"),
-        "length",
-        "ids_crc32",
-        "doc_tokens",
-        "sequence_id",
-        F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"),
-    )
-
-
-def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, pad: int = PAD) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (padded, except at a power of two), doc_ids, offsets."""
-    keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    cut = pieces(docs, tokenizer, window, end, with_ids=True).withColumnRenamed("piece_start", "start").dropDuplicates(keys)
-    cut, on = cut.alias("c"), packed.alias("p")
-    joined = on.join(cut, [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]).select("p.sequence_id", "p.offset", "p.doc_id", "p.length", "c.ids")
-    inside = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
-    grouped = joined.groupBy("sequence_id").agg(inside.alias("inside"))
-    ids = F.flatten(F.col("inside.ids"))
-    power = F.bit_count(F.size(ids)) == 1
-    return grouped.select(
-        "sequence_id",
-        F.when(power, ids).otherwise(F.concat(ids, F.array_repeat(F.lit(pad), window - F.size(ids)))).alias("ids"),
-        F.col("inside.doc_id").alias("doc_ids"),
-        F.col("inside.offset").alias("offsets"),
-    )
+            found = [runs["first"][run] + beside // many, runs["slot"][run] + beside % many]
+            yield pa.RecordBatch.from_arrays([batch.column("piece_id"), *(pa.array(x, pa.int64()) for x in found)], ["piece_id", "sequence_id", "slot"])
+
+    return ranked.select("piece_id", "index").mapInArrow(place, "piece_id long, sequence_id long, slot long")
+
+
+LAID = pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "offset")])
+SEQUENCE = "sequence_id long, ids array<int>, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
+
+
+def write_sequences(docs: DataFrame, path: str, tokenizer: str, window: int = WINDOW, step: int = STEP, end: int = END, pad: int = PAD) -> None:
+    """Packs all documents and writes the sequences as Parquet: sequence_id, ids (padded, except at a power of two), pieces.
+
+    A null or empty text has the end id alone. Rows with a repeated or null doc_id are rows of their own; extra
+    columns are left out; no rows give no sequences. Very long texts become many pieces; a text's own ids
+    are held at once.
+    """
+    cut = stored_pieces(docs, tokenizer, window, end)
+    both = cut.join(placed(cut, window, step), "piece_id").select("sequence_id", "slot", *(c.split()[0] for c in PIECE.split(", ")), "ids")
+
+    def lay(batches):
+        now, ids, pieces, size = None, [], [], 0
+
+        def finished():
+            return now, pieces, np.concatenate([*ids, np.full(0 if size & (size - 1) == 0 else window - size, pad, np.int32)])
+
+        def batch_of(made):
+            ends = np.cumsum([0, *(len(m[2]) for m in made)]).astype(np.int32)
+            values = np.concatenate([m[2] for m in made]) if made else np.zeros(0, np.int32)
+            columns = [pa.array([m[0] for m in made], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array([m[1] for m in made], pa.list_(LAID))]
+            return pa.RecordBatch.from_arrays(columns, ["sequence_id", "ids", "pieces"])
+
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                if row["sequence_id"] != now:
+                    if now is not None:
+                        made.append(finished())
+                    now, ids, pieces, size = row["sequence_id"], [], [], 0
+                n = row["length"]
+                ids.append(np.frombuffer(row["ids"], "<u2" if len(row["ids"]) == 2 * n else "<u4").astype(np.int32))
+                pieces.append({"doc_id": row["doc_id"], "start": row["piece_start"], "length": n, "doc_tokens": row["doc_tokens"], "offset": size})
+                size += n
+            yield batch_of(made)
+        if now is not None:
+            yield batch_of([finished()])
+
+    # A sequence holds at most `window` ids.
+    dealt = both.repartition("sequence_id").sortWithinPartitions("sequence_id", "slot")
+    dealt.mapInArrow(lay, SEQUENCE).write.option("compression", "zstd").parquet(path)
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SEQUENCE).parquet(path)
+
+
+def piece_digests(sequences: DataFrame) -> DataFrame:
+    """doc_id, start, length, ids_crc32 (of the ids found in the sequence, as little-endian 32-bit numbers), doc_tokens, sequence_id, offset."""
+
+    def digest(batches):
+        for batch in batches:
+            lists, inside = batch.column("ids"), batch.column("pieces")
+            base = lists.offsets.to_numpy()[:-1]
+            row = inside.value_parent_indices().to_numpy()
+            laid = inside.flatten()
+            doc_id, start, length, doc_tokens, offset = (laid.field(laid.type.get_field_index(c)) for c in ("doc_id", "start", "length", "doc_tokens", "offset"))
+            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+            low = base[row] + offset.to_numpy()
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(low.tolist(), length.to_pylist(), strict=True)]
+            columns = [doc_id, start, length, pa.array(crc, pa.int64()), doc_tokens, batch.column("sequence_id").take(pa.array(row)), offset]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return sequences.mapInArrow(digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def pack(docs: DataFrame, tokenizer: str, **settings) -> DataFrame:
+    """The pieces of all documents as they are read back from the sequences, which are written to the shared folder."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
+    write_sequences(docs, path, tokenizer, **settings)
+    return piece_digests(read_sequences(spark, path))
 
 
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 2048 tokens."""
+    """All documents packed into sequences of at most 2048 tokens, written and read back."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

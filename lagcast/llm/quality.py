@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagcast.llm.common import MULTIPLIER, PUNCTUATED, SAME, mix, running, table, word_hashes
+from lagcast.llm.common import MULTIPLIER, PUNCTUATED, SAME, mix, row_slices, running, table, word_hashes
 from lagcast.session import materialize
 
 #: Buckets of n-grams; labelled rows used (the bound of the sample, half to fit and half to set the cut).
@@ -50,10 +50,11 @@ def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            buckets, rows = ngrams(batch.column("text"))
-            total[0] += np.bincount(buckets, minlength=BUCKETS)
             target = batch.column("good").is_valid().to_numpy(zero_copy_only=False)
-            total[1] += np.bincount(buckets[target[rows]], minlength=BUCKETS)
+            for first, part in row_slices(batch.column("text")):
+                buckets, rows = ngrams(part)
+                total[0] += np.bincount(buckets, minlength=BUCKETS)
+                total[1] += np.bincount(buckets[target[first + rows]], minlength=BUCKETS)
         there = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[0][there]), pa.array(total[1][there])], ["bucket", "raw", "target"])
 
@@ -71,9 +72,11 @@ def weight(model: np.ndarray):
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        buckets, rows = ngrams(column)
-        n = np.bincount(rows, minlength=len(column))
-        total = np.bincount(rows, model[buckets], minlength=len(column))
+        n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
+        for first, part in row_slices(column):
+            buckets, rows = ngrams(part)
+            n[first : first + len(part)] = np.bincount(rows, minlength=len(part))
+            total[first : first + len(part)] = np.bincount(rows, model[buckets], minlength=len(part))
         return pa.array(total / np.maximum(n, 1), mask=n == 0)
 
     return score

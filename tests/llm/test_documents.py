@@ -128,10 +128,11 @@ def test_orc_round_trip_and_pruned_lookup(llm, documents, tmp_path):
 # ---------------------------------------------------------------- packing
 
 
-def test_packing_places_every_id_once(llm, documents):
+def test_packing_places_every_id_once(llm, documents, tmp_path):
     path, ids = public_tokenizers.path("byte_bpe_50k.json"), plain_ids("byte_bpe_50k.json")
-    packed = packing.pack(documents, path, window=256, step=4)
-    rows = packed.collect()
+    packing.write_sequences(documents, f"{tmp_path}/sequences", path, window=256, step=4)
+    written = packing.read_sequences(llm, f"{tmp_path}/sequences")
+    rows = packing.piece_digests(written).collect()
     expected = Counter()
     for d, t in ROWS:
         whole = ids(t)
@@ -149,7 +150,7 @@ def test_packing_places_every_id_once(llm, documents):
         assert at <= 256
     total = sum(r["length"] for r in rows)
     assert len(sequences) <= -(-total // 256) + max(3, total // 256 // 12)
-    made = packing.sequences(documents, packed, path, window=256).collect()
+    made = written.collect()
     assert len(made) == len(sequences)
     for m in made:
         inside = sorted(sequences[m["sequence_id"]], key=lambda r: r["offset"])
