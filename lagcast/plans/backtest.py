@@ -2,10 +2,10 @@
 
 Every evaluation row is predicted from strictly earlier runs of its connection
 within the time-of-day window.  Rows are never paired with runs.  Runs are
-counted per ``(day, time, previous delay, final delay)``; days are folded into
-one weight column per variant for each evaluation date; the time window then
-sums these cells per evaluation time.  All of these are bounded by value ranges,
-so the work grows linearly with the rows of a connection.
+counted per ``(day, time, previous delay, final delay)``; days are folded by
+running sums that serve every evaluation date; the time window then sums these
+cells per evaluation time.  All of these are bounded by value ranges, so the
+work grows linearly with the rows of a connection.
 """
 
 from __future__ import annotations
@@ -83,19 +83,10 @@ def evaluation_rows(prepared: DataFrame, stations: DataFrame | list[str]) -> Dat
     )
 
 
-def _weight(variant: Variant, run_day: Column, query_day: Column) -> Column:
-    age = F.date_diff(query_day, run_day)
-    w = delays.decay(age, variant.half_life)
-    if variant.window is not None:
-        w = w * (age <= variant.window).cast("double")
-    if variant.boost != 1.0:
-
-        def day_class(day: Column) -> Column:
-            plain = F.weekday(day)
-            return F.when(is_holiday(day, bavaria=True), 6).otherwise(plain) if variant.holiday else plain
-
-        w = w * F.when(day_class(run_day) == day_class(query_day), float(variant.boost)).otherwise(1.0)
-    return w
+def day_class(day: Column, holiday: bool) -> Column:
+    """Weekday, holidays as Sundays where the variant says so."""
+    plain = F.weekday(day)
+    return F.when(is_holiday(day, bavaria=True), 6).otherwise(plain) if holiday else plain
 
 
 def _bases(variants) -> dict[tuple, str]:
@@ -129,28 +120,79 @@ def with_states(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return states, materialize(asked.join(states, STATE))
 
 
+def _growth(half_life: float, days: Column) -> Column:
+    """What a weight grows by over some days, looking back from the last evaluation date."""
+    return F.lit(1.0) if math.isinf(half_life) else F.pow(F.lit(2.0), days / half_life)
+
+
+def running_sums(cells: DataFrame, sums: dict[tuple, str], newest: Column) -> DataFrame:
+    """Cells with their sums over all runs up to ``since``, valid until ``until`` (null for the last).
+
+    ``sums`` names a column per (half life, window).  A run weighs 2^((run_day - newest) / half life), so
+    sums of any number of runs never overflow and one window of running sums serves every
+    evaluation date, which only rescales them.  A window is a second event that takes the run out again.
+    """
+    windows = sorted({w for _, w in sums if w is not None})
+    parts = [cells.withColumns({"since": F.col("run_day"), "left": F.lit(None).cast("int")})]
+    parts += [cells.withColumns({"since": F.date_add("run_day", w), "left": F.lit(w)}) for w in windows]
+    events = parts[0]
+    for part in parts[1:]:
+        events = events.unionByName(part)
+    there, grown = F.col("left").isNull(), lambda h: _growth(h, F.date_diff(F.col("run_day"), newest))
+    key = [*CONNECTION, "run_tod", "prev", "final", "weekday", "holiday_class"]
+    changes = events.groupBy(*key, "since").agg(
+        F.sum(F.when(there, F.col("n")).otherwise(0)).alias("n"),
+        *[
+            F.sum(F.when(there, F.col("n") * grown(h)).when(F.col("left") == window, -F.col("n") * grown(h)).otherwise(0.0)).alias(name)
+            for (h, window), name in sums.items()
+        ],
+    )
+    # At most one row per calendar day (two with windows), whatever the number of runs.
+    past = Window.partitionBy(*key).orderBy("since")
+    upto = past.rowsBetween(Window.unboundedPreceding, 0)
+    return changes.select(
+        *key, "since", F.lead("since").over(past).alias("until"), *[F.sum(c).over(upto).alias(c) for c in ("n", *sums.values())]
+    )
+
+
 def fold_history(rows: DataFrame, states: DataFrame, variants=VARIANTS) -> DataFrame:
     """Runs before each evaluation date as weighted cells ``(date, run_tod, prev, final)``.
 
-    One weight column per distinct base; squared weights only where a kernel
-    variant checks its sample size.
+    One weight column per distinct base; squared weights only where a kernel variant checks its sample
+    size.  Weights factor into a part of the run day and one of the evaluation date, so runs are
+    summed once, per class of day, and dates meet sums, not runs.
     """
+    newest = F.lit(states.agg(F.max("day")).first()[0]).cast("date")
     cells = (
         gated(rows)
         .groupBy(*CONNECTION, F.col("day").alias("run_day"), F.col("tod").alias("run_tod"), "prev", F.col("delay").alias("final"))
         .agg(F.count("*").alias("n"))
+        .withColumns({"weekday": day_class(F.col("run_day"), False), "holiday_class": day_class(F.col("run_day"), True)})
     )
     bases = _bases(variants)
     by_base = {v.base(): v for v in reversed(variants)}
     squares = {v.base() for v in variants if v.factor is not None and v.mode == "kernel"}
-    weighted = cells.join(states.select(*CONNECTION, "day").distinct(), CONNECTION).filter(F.col("run_day") < F.col("day"))
-    sums = [F.sum("n").alias("n")]
+    wanted = {(v.half_life / power, v.window) for v in by_base.values() for power in ((1, 2) if v.base() in squares else (1,))}
+    sums = {hw: f"sum_{i}" for i, hw in enumerate(sorted(wanted, key=lambda hw: (hw[0], hw[1] or 0)))}
+    # Dates at which a connection is evaluated: one short array each.
+    dates = states.groupBy(*CONNECTION).agg(F.sort_array(F.collect_set("day")).alias("dates"))
+    serving = F.filter("dates", lambda d: (d > F.col("since")) & (F.col("until").isNull() | (d <= F.col("until"))))
+    dated = running_sums(cells, sums, newest).join(dates, CONNECTION).withColumn("day", F.explode(serving)).drop("dates")
+
+    def weight(v: Variant, power: int) -> Column:
+        h = v.half_life / power
+        scaled = F.col(sums[(h, v.window)]) * _growth(h, F.date_diff(newest, F.col("day")))
+        if v.boost == 1.0:
+            return scaled
+        of_run = F.col("holiday_class" if v.holiday else "weekday")
+        return scaled * F.when(of_run == day_class(F.col("day"), v.holiday), float(v.boost) ** power).otherwise(1.0)
+
+    made = [F.sum("n").alias("n")]
     for base, name in bases.items():
-        w = _weight(by_base[base], F.col("run_day"), F.col("day"))
-        sums.append(F.sum(F.col("n") * w).alias(name))
+        made.append(F.sum(weight(by_base[base], 1)).alias(name))
         if base in squares:
-            sums.append(F.sum(F.col("n") * w * w).alias(f"{name}_sq"))
-    return weighted.groupBy(*CONNECTION, "day", "run_tod", "prev", "final").agg(*sums)
+            made.append(F.sum(weight(by_base[base], 2)).alias(f"{name}_sq"))
+    return dated.groupBy(*CONNECTION, "day", "run_tod", "prev", "final").agg(*made)
 
 
 def _in_window(left: DataFrame, folded: DataFrame) -> DataFrame:
