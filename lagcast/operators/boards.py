@@ -167,24 +167,22 @@ def first_stops(stops: DataFrame, limit: int | None = None) -> DataFrame:
 def route_after(calls: DataFrame, origins: DataFrame) -> DataFrame:
     """Stations a train reaches after leaving ``(train_key, origin_eva, origin_tod)``.
 
-    ``calls`` holds distinct planned times (``planned_calls``), so neither the
-    join nor the collected path grows with the number of runs.
+    ``calls`` holds distinct planned times (``planned_calls``), so a train's window
+    does not grow with its runs.  Times are unrolled over two days, so that a frame of minutes
+    after each origin also sees past midnight; calls are never paired with calls.
     """
     keys = ["train_key", "origin_eva", "origin_tod"]
-    ahead = F.pmod(F.col("tod") - F.col("origin_tod"), F.lit(1440))
-    return (
-        origins.select(*keys)
-        .distinct()
-        .join(calls, "train_key")
-        .filter(~F.col("eva").eqNullSafe(F.col("origin_eva")))
-        .withColumn("ahead", ahead)
-        .filter(F.col("ahead").between(1, P.ROUTE_WINDOW_MIN - 1))
-        .groupBy(*keys, "station_name")
-        .agg(F.min("ahead").alias("ahead"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("ahead", "station_name"))).alias("s"))
-        .select(*keys, F.col("s.station_name").alias("path"))
-    )
+    stop = F.struct(F.col("at"), "station_name", "eva")
+    unrolled = calls.select(
+        "train_key", F.explode(F.array(F.col("tod"), F.col("tod") + 1440)).alias("at"), "station_name", "eva"
+    ).select("train_key", "at", stop.alias("stop"))
+    asked = origins.select(*keys).distinct().withColumn("at", F.col("origin_tod"))
+    ahead = Window.partitionBy("train_key").orderBy("at").rangeBetween(1, P.ROUTE_WINDOW_MIN - 1)
+    seen = unrolled.unionByName(asked, allowMissingColumns=True).withColumn("seen", F.collect_list("stop").over(ahead))
+    elsewhere = F.filter("seen", lambda s: ~s["eva"].eqNullSafe(F.col("origin_eva")))
+    # A station counts where it comes first.
+    path = F.array_distinct(F.transform(F.array_sort(elsewhere), lambda s: s["station_name"]))
+    return seen.filter("origin_tod is not null").select(*keys, path.alias("path")).filter(F.size("path") > 0)
 
 
 def resolve_train(labels: DataFrame, index: DataFrame) -> DataFrame:
