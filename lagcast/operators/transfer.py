@@ -77,7 +77,7 @@ def build_candidates(departures: DataFrame, runs: DataFrame, index: DataFrame) -
     folded per leg before the candidates join, as in the forecast.
     """
     keyed = with_train_key(departures, index).withColumn("tod", times.minute_of_day(F.col("dep_planned")))
-    uid = F.to_json(F.array("query_id", "cand_id"))
+    uid = F.struct("query_id", "cand_id")
     located = match_station(
         keyed.withColumns({"row_query": F.col("query_id"), "query_id": uid, "eva": F.col("transfer_eva"), "place": F.col("transfer_name")}),
         index,
@@ -139,10 +139,9 @@ def build_candidates(departures: DataFrame, runs: DataFrame, index: DataFrame) -
         "cancel_rate",
         "joint_runs",
     )
-    split = F.from_json("query_id", "array<string>")
     return Candidates(
         materialize(kept),
-        joint.select(split[0].alias("query_id"), split[1].alias("cand_id"), "dep", "arr", "n", "weight"),
+        joint.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.cand_id").alias("cand_id"), "dep", "arr", "n", "weight"),
     )
 
 
@@ -157,6 +156,36 @@ class Transfers:
     points: DataFrame
 
 
+def _merged(thresholds: DataFrame, departures: DataFrame) -> DataFrame:
+    """Thresholds and departure delays of each candidate as one list of values to be sorted; at most a row per sample and delay."""
+    return thresholds.withColumn("leaves", F.lit(False)).withColumnRenamed("threshold", "value").unionByName(
+        departures.withColumn("leaves", F.lit(True)).withColumn("dep", F.col("dep").cast("double")).withColumnRenamed("dep", "value"),
+        allowMissingColumns=True,
+    )
+
+
+def still_to_leave(thresholds: DataFrame, by_dep: DataFrame) -> DataFrame:
+    """``stay``: share of a candidate's weight that leaves at or after each threshold.
+
+    As-of lookup by suffix sums: one sort of thresholds and departures, the weight carried from the latest back.
+    """
+    later = Window.partitionBy(*CANDIDATE).orderBy(F.desc("value"), F.desc("leaves")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*CANDIDATE)
+    share = F.try_divide(F.sum("weight").over(later), F.sum("weight").over(whole))
+    sums = _merged(thresholds, by_dep).withColumn("stay", F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)))
+    return sums.filter("not leaves").select(*CANDIDATE, F.col("value").alias("threshold"), "stay")
+
+
+def reached_before(samples: DataFrame, by_dep: DataFrame) -> DataFrame:
+    """``through``: chance to reach a candidate in time for each of its departure delays, by running sums over the thresholds."""
+    sooner = Window.partitionBy(*CANDIDATE).orderBy("value", "leaves").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*CANDIDATE)
+    sums = _merged(samples, by_dep.drop("weight")).withColumns(
+        {"through": F.sum("through").over(sooner), "base": F.max("base").over(whole)}
+    )
+    return sums.filter("leaves and through > 0").select(*CANDIDATE, F.col("value").alias("dep"), "through", "base")
+
+
 def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates) -> Transfers:
     """Boards the first candidate that is still there when the passenger is ready.
 
@@ -190,14 +219,8 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
 
     # Share of a candidate's runs that leave at or after each threshold.
     by_dep = joint.groupBy(*CANDIDATE, "dep").agg(F.sum("weight").alias("weight"))
-    staying = (
-        met.filter("not dep_cancelled and dep_live is null")
-        .select(*CANDIDATE, "threshold")
-        .distinct()
-        .join(by_dep, CANDIDATE)
-        .groupBy(*CANDIDATE, "threshold")
-        .agg((F.sum(F.when(F.col("dep") >= F.col("threshold"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("stay"))
-    )
+    thresholds = met.filter("not dep_cancelled and dep_live is null").select(*CANDIDATE, "threshold").distinct()
+    staying = still_to_leave(thresholds, by_dep)
     p_board = (
         F.when(F.col("dep_cancelled"), 0.0)
         .when(F.col("dep_live").isNotNull(), (F.col("dep_live") >= F.col("threshold")).cast("double"))
@@ -219,16 +242,12 @@ def propagate_transfer(feeders: DataFrame, samples: DataFrame, made: Candidates)
     missed = left_over.groupBy("query_id").agg(F.sum("missed").alias("miss_probability"))
 
     # Arrival points.  A run counts for every sample whose threshold it outstays.
-    blind = reached.filter("not dep_cancelled and dep_live is null").select(*CANDIDATE, "threshold", "reach", "cancel_rate", "base")
-    per_dep = (
-        by_dep.select(*CANDIDATE, "dep")
-        .join(blind, CANDIDATE)
-        .filter(F.col("dep") >= F.col("threshold"))
-        .groupBy(*CANDIDATE, "dep")
-        .agg(F.sum(F.col("reach") * (1 - F.col("cancel_rate"))).alias("through"), F.max("base").alias("base"))
+    blind = reached.filter("not dep_cancelled and dep_live is null").select(
+        *CANDIDATE, "threshold", "base", (F.col("reach") * (1 - F.col("cancel_rate"))).alias("through")
     )
+    per_dep = reached_before(blind, by_dep)
     blind_points = (
-        joint.join(per_dep, [*CANDIDATE, "dep"])
+        joint.withColumn("dep", F.col("dep").cast("double")).join(per_dep, [*CANDIDATE, "dep"])
         .join(totals, CANDIDATE)
         .select(
             "query_id",

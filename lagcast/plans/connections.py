@@ -102,8 +102,40 @@ class Connections:
     feeder: Forecasts
 
 
+def shared_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct requests under a ``query_id`` of their own, and ``(asker, query_id)``.
+
+    Requests that agree in all but their name are one: whoever asks for the same feeder, transfer,
+    destination, ticket, minutes and start shares its plan.  Both tables are stored.
+    """
+    asked = [c for c in requests.columns if c != "query_id"]
+    # Named by content, so a lost task that is run again gives the same names.
+    name = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string") for c in asked])), 256)
+    named = materialize(requests.withColumnRenamed("query_id", "asker").withColumn("query_id", name))
+    return materialize(named.select("query_id", *asked).dropDuplicates(["query_id"])), named.select("asker", "query_id")
+
+
+def for_askers(rows: DataFrame, askers: DataFrame) -> DataFrame:
+    """Rows of shared requests, for each of their askers."""
+    return rows.join(askers, "query_id").drop("query_id").withColumnRenamed("asker", "query_id").select(*rows.columns)
+
+
 def plan_connections(requests: DataFrame, network: Network, max_candidates: int | None = None) -> Connections:
-    """Outcome of every connection request.
+    """Outcome of every connection request; equal requests are planned once.
+
+    Columns and meaning as in ``plan_requests``.
+    """
+    shared, askers = shared_requests(requests)
+    made = plan_requests(shared, network, max_candidates)
+    return Connections(
+        for_askers(made.outcome, askers),
+        Transfers(*(for_askers(t, askers) for t in (made.transfers.summary, made.transfers.candidates, made.transfers.points))),
+        Forecasts(for_askers(made.feeder.summary, askers), for_askers(made.feeder.points, askers)),
+    )
+
+
+def plan_requests(requests: DataFrame, network: Network, max_candidates: int | None = None) -> Connections:
+    """Outcome of distinct connection requests.
 
     ``requests``: ``query_id, category, number, line, transfer, destination,
     transfer_minutes, ticket_only, start, as_of``.  An unset ticket flag is on

@@ -15,7 +15,7 @@ from lagcast.operators.boards import with_train_key
 from lagcast.operators.forecast import forecast, forecast_cards
 from lagcast.operators.stations import resolve_column, stations_by_name
 from lagcast.operators.transfer import match_destination
-from lagcast.plans.connections import Connections, Network, board_id, plan_connections
+from lagcast.plans.connections import Connections, Network, board_id, for_askers, plan_requests, shared_requests
 from lagcast.session import materialize
 
 
@@ -81,7 +81,7 @@ def first_departures(departures: DataFrame, limit: int | None) -> DataFrame:
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def direct_itineraries(departures: DataFrame, network: Network, limit: int | None = P.MAX_DIRECT) -> DataFrame:
+def direct_itineraries(departures: DataFrame, network: Network, limit: int | None = None) -> DataFrame:
     """The first direct trains of each query (all without a limit) with their predicted arrival."""
     direct = first_departures(departures.filter("direct"), limit)
     keyed = with_train_key(direct, network.index)
@@ -146,9 +146,9 @@ def transfer_options(departures: DataFrame, stations: DataFrame, max_feeders: in
 
 def choose_transfers(
     tried: DataFrame,
-    attempts: int | None = P.MAX_ATTEMPTS,
-    results: int | None = P.MAX_TRANSFER_RESULTS,
-    per_feeder: int | None = P.TRANSFERS_PER_FEEDER,
+    attempts: int | None = None,
+    results: int | None = None,
+    per_feeder: int | None = None,
 ) -> DataFrame:
     """Walk through each query's feeders and picks as a traveller with budgets would.
 
@@ -217,10 +217,12 @@ def transfer_itineraries(departures: DataFrame, network: Network, budgets: Budge
         F.col("dep_planned").alias("start"),
         "as_of",
     )
-    planned: Connections = plan_connections(requests, network)
+    # Journeys of many travellers lead over the same feeders: each distinct option is planned and summed up once.
+    shared, askers = shared_requests(requests)
+    planned: Connections = plan_requests(shared, network)
     shape = D.card(planned.transfers.points, ["query_id"])
     worked = materialize(
-        planned.outcome.join(shape, "query_id", "left").select(
+        for_askers(planned.outcome.join(shape, "query_id", "left"), askers).select(
             F.col("query_id").alias("option_id"),
             F.col("transfer_name").alias("transfer_station"),
             (F.col("status") == "OK").alias("works"),

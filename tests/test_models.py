@@ -269,7 +269,7 @@ def test_transfer_choice_matches_the_walk(spark):
             names = rng.sample("ABCDEFGHIJ", rng.randint(1, 8))
             rows += [(f"q{q}", rank, pick + 1, name, rng.random() < 0.35) for pick, name in enumerate(names)]
     got = {}
-    for r in journeys.choose_transfers(spark.createDataFrame(rows, "query_id string, rank int, pick int, name string, works boolean")).collect():
+    for r in journeys.choose_transfers(spark.createDataFrame(rows, "query_id string, rank int, pick int, name string, works boolean"), P.MAX_ATTEMPTS, P.MAX_TRANSFER_RESULTS, P.TRANSFERS_PER_FEEDER).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.pick))
     for q in range(60):
         assert sorted(got.get(f"q{q}", [])) == walk([r[1:] for r in rows if r[0] == f"q{q}"])
