@@ -23,6 +23,14 @@ UNIT = 1 << 20
 ROUNDS, TOLERANCE = 40, 1e-9
 #: Multipliers stay within this range; there the rates are 0 or the cap.
 LARGEST = 60.0
+#: Sources up to which their facts (some 60 bytes each) are sent to every task; beyond, rows and facts meet by a shuffle that splits hot sources.
+BROADCAST_SOURCES = 100_000
+
+
+def beside(rows: DataFrame, facts: DataFrame, small: bool, columns: list[str], how: str = "inner") -> DataFrame:
+    """The rows with some columns of their source's one row; a third of all rows may have one source, so they are not dealt by it."""
+    f = F.broadcast(facts) if small else facts
+    return rows.alias("r").join(f.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")), how).select("r.*", *(f"f.{c}" for c in columns))
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -106,32 +114,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     counts = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     targets = materialize(source_targets(totals, weights, share, cap))
+    small = targets.count() <= BROADCAST_SOURCES
     duals = multipliers(counts, targets, float(cap))
     facts = materialize(targets.alias("t").join(duals.alias("d"), F.col("t.source").eqNullSafe(F.col("d.source"))).select("t.source", "t.source_size", "t.target", "d.multiplier", "d.mean"))
 
     rate = F.lit(float(cap)) / (1 + F.exp(F.least(F.lit(700.0), -F.col("multiplier") * F.col("size") / F.col("mean"))))
     rated = (
-        rows.alias("r")
-        .join(facts.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")))
-        .select("r.doc_id", "r.row_key", "r.source", "r.size", "r.mark", "f.source_size", "f.target", rate.alias("rate"))
+        beside(rows, facts, small, ["source_size", "target", "multiplier", "mean"])
+        .select("doc_id", "row_key", "source", "size", "mark", "source_size", "target", rate.alias("rate"))
         .withColumn("units", F.when(F.col("size") > 0, F.round(F.col("rate") * UNIT)).otherwise(UNIT).cast("long"))
     )
     # Rows alike in all these columns are interchangeable.
     by_size = [F.col("source").asc_nulls_last(), F.col("size"), F.col("mark"), F.col("doc_id"), F.col("row_key")]
     summed = materialize(running(rated, by_size, "units").drop("index"))
     bases = summed.groupBy("source").agg(F.min("start").alias("base"))
-    placed = summed.alias("s").join(bases.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", (F.col("s.start") - F.col("b.base")).alias("from"))
+    placed = beside(summed, bases, small, ["base"]).withColumn("from", F.col("start") - F.col("base")).drop("base")
     # A document gets the whole units that its rate passes; running sums of copies stay within one of those of rates.
     whole = lambda c: F.floor((c + F.lit(UNIT // 2)) / F.lit(UNIT))
     copied = placed.withColumn("copies", (whole(F.col("from") + F.col("units")) - whole(F.col("from"))).cast("long")).drop("start", "from", "units")
     copied = materialize(copied)
-    return _repaired(copied, by_size, cap)
+    return _repaired(copied, by_size, cap, small)
 
 
-def _gaps(rows: DataFrame) -> DataFrame:
+def _gaps(rows: DataFrame, small: bool) -> DataFrame:
     """Rows with `gap` (words that their source lacks), and `words`: the size where a copy may be added or taken away for it, else 0."""
     gaps = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-    held = rows.alias("c").join(gaps.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.*", "g.gap")
+    held = beside(rows, gaps, small, ["gap"])
     room = F.when(F.col("gap") > 0, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0)
     return held.withColumn("words", F.when(room, F.col("size")).otherwise(F.lit(0)).cast("long"))
 
@@ -141,19 +149,19 @@ def _changed(rows: DataFrame, which: Column) -> DataFrame:
     return rows.withColumn("copies", F.col("copies") + step)
 
 
-def _repaired(copied: DataFrame, order: list, cap: int, single: int = 2) -> DataFrame:
+def _repaired(copied: DataFrame, order: list, cap: int, small: bool, single: int = 2) -> DataFrame:
     """One copy more or less of the smallest documents, as far as a source's words differ from its target; then of the best single ones."""
     names = ["doc_id", "row_key", "source", "size", "source_size", "target", "rate", "copies", "cap"]
-    summed = materialize(running(_gaps(copied.withColumn("cap", F.lit(cap))), order, "words"))
+    summed = materialize(running(_gaps(copied.withColumn("cap", F.lit(cap)), small), order, "words"))
     bases = summed.groupBy("source").agg(F.min("start").alias("base"))
-    placed = summed.alias("s").join(bases.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", "b.base")
+    placed = beside(summed, bases, small, ["base"])
     # Documents that end within the gap change.
     within = (F.col("words") > 0) & (F.col("start") - F.col("base") + F.col("words") <= F.abs("gap"))
     rows = materialize(_changed(placed, within).select(*names, "index"))
     for _ in range(single):
-        held = _gaps(rows)
+        held = _gaps(rows, small)
         best = held.where("words > 0").groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("words")).alias("off"), "index")).alias("best"))
-        joined = held.alias("h").join(best.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source")), "left").select("h.*", "b.best")
+        joined = beside(held, best, small, ["best"], "left")
         better = (F.col("index") == F.col("best.index")) & (F.col("best.off") < F.abs("gap"))
         rows = materialize(_changed(joined, better).select(*names, "index"))
     return rows.select(*names[:8], (F.col("size") * F.col("copies")).alias("taken"))

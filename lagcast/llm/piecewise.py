@@ -20,7 +20,7 @@ from lagcast.llm.common import mix, powers, table
 from lagcast.session import materialize
 
 WINDOW, LEAST_BLOCK, CHUNKS = 7, 3, 64
-#: Signatures must share so long a run of characters, or the whole of the shorter one.
+#: Signatures must share so long a run of characters, or a third of the shorter one.
 COMMON_RUN = 5
 #: Characters of a chunk, in the order of their value.
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -70,9 +70,10 @@ def common_subsequence(a: str, b: str) -> int:
 
 
 def signature_likeness(a: str, b: str) -> float:
-    run = min(COMMON_RUN, len(a), len(b))
-    if not run:
+    if not a or not b:
         return 0.0
+    # A text of a line has few chunks, and an edit in each third of it leaves no long run.
+    run = max(1, min(COMMON_RUN, len(a) // 3, len(b) // 3))
     runs = {a[i : i + run] for i in range(len(a) - run + 1)}
     if not any(b[i : i + run] in runs for i in range(len(b) - run + 1)):
         return 0.0

@@ -54,6 +54,8 @@ def test_likeness_of_copies_near_copies_and_others():
     others = [t for _, t in ROWS if t and 200 < len(t) < 2000][:8]
     assert all(piecewise.likeness(prints[a], prints[b]) == 0 for a, b in zip(others, others[1:]) if not a.startswith(b[:20]) and len(set(a.split()) & set(b.split())) < 5)
     assert piecewise.fingerprint(b"") == "3::"
+    short = b"the quick brown fox jumps"
+    assert piecewise.likeness(piecewise.fingerprint(short), piecewise.fingerprint(short[:17] + b"colours!")) > 0.3
     for text in (b"a", b"ab" * 5000, bytes(range(256)) * 9):
         block, one, two = piecewise.fingerprint(text).split(":")
         assert int(block) % 3 == 0 and len(one) <= 64 and len(two) <= len(one)

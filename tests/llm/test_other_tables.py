@@ -73,13 +73,17 @@ def test_top_k_is_exact(llm, k, monkeypatch):
     vectors += [(200 + i, vectors[i][1], "t", 0.5) for i in range(20)] + [vectors[3], vectors[4]]
     vectors += [(300, None, "t", 0.5), (301, [1.0] * 7 + [None], "t", 0.5), (350, [float("nan")] * 8, "t", 0.5), (302, [float("inf")] * 8, "t", 0.5), (None, [1.0] * 8, "t", 0.5)]
     vectors += [(400, [0.5, -0.5], "t", 0.5), (401, [0.25, 0.5], "t", 0.5), (450, [], "t", 0.5), (500, [3.0] * 3, "t", 0.5)]
+    # Large components, two rows of one vec_id, and more equal vectors than are asked for.
+    vectors += [(600 + i, [float((i + 1) << 20)] + [0.25 * i] * 7, "t", 0.5) for i in range(4)] + [(600, [-1.5] * 8, "t", 0.5), (601, [2.0] * 8, "t", 0.5)]
+    vectors += [(700 + i, [1.0, 2.0] * 4, "t", 0.5) for i in range(30)] + [(800, [1e13] * 8, "t", 0.5)]
     frame = llm.createDataFrame(vectors, "vec_id long, embedding array<float>, label string, score double").repartition(5)
-    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in va_file.top_k(frame, F.col("vec_id") % 50 == 0, k).collect()}
-    known = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v, *_ in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    expected = set()
-    for q in (i for i in known if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(known[q], v, strict=True)), i) for i, v in known.items() if i != q and len(v) == len(known[q]))
-        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])}
+    found = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in va_file.top_k(frame, F.col("vec_id") % 50 == 0, k).collect())
+    known = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, *_ in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    expected = Counter()
+    for at, (q, own) in enumerate(known):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for other, (i, v) in enumerate(known) if other != at and len(v) == len(own))
+            expected.update((q, n + 1, i, -s if abs(s) < 1 << 63 else None) for n, (s, i) in enumerate(scored[:k]))
     assert found == expected and va_file.top_k(frame.where("false"), F.col("vec_id") % 50 == 0).isEmpty()
 
 
