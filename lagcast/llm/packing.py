@@ -5,7 +5,7 @@ Documents are cut into whole windows and a remainder. Remainders are counted by
 corpus). Non-negative least squares over all combinations of at most three classes that
 fill a window exactly finds how often to repeat each against this histogram; the counts are
 rounded within what there is, and what is left is packed greedily, largest first. The plan
-concerns classes only. Pieces then find their place by their rank in their class.
+concerns classes only. Pieces then find their place by their rank in their class, and go there once.
 """
 
 from __future__ import annotations
@@ -16,41 +16,55 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagcast.llm.common import SLICE, row_slices, running, table
+from lagcast.llm.common import SLICE, row_slices, table
 from lagcast.llm.tokens import encoder
-from lagcast.session import shared_dir
+from lagcast.session import materialize, shared_dir
 
 WINDOW, STEP, END, PAD = 2048, 8, 1, 0
-PIECE = "doc_id long, piece_start long, length long, doc_tokens long"
+PIECE = "doc_id long, piece_start long, length long, doc_tokens long, class long, part long, nth long"
+#: Rows of the table of (part, class) up to which it is sent to every task; beyond, pieces are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def stored_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """Pieces of all documents (null text: the end id alone), tokenized and stored once: columns of PIECE, ids, piece_id.
+def stored_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, step: int = STEP, end: int = END) -> DataFrame:
+    """Pieces of all documents (null text: the end id alone), tokenized and stored once: columns of PIECE and ids.
 
-    Ids are little-endian numbers of 2 bytes, or of 4 where a piece has a larger one.
+    `nth` numbers the pieces of a class within the part of the table that holds them. Ids are little-endian
+    numbers of 2 bytes, or of 4 where a piece has a larger one.
     """
 
     def cut(batches):
+        seen = np.zeros(window // step + 1, np.int64)
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            for first, part in row_slices(batch.column("text"), 4 * SLICE):
-                ids, offsets = encoder(tokenizer).column(part, end)
+            for first, texts in row_slices(batch.column("text"), 4 * SLICE):
+                ids, offsets = encoder(tokenizer).column(texts, end)
                 counts = np.diff(offsets)
                 n = -(-counts // window)
                 row = np.repeat(np.arange(len(counts)), n)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * window
                 length = np.minimum(counts[row] - start, window)
                 low = offsets[:-1][row] + start
+                kind = -(-length // step)
+                order = np.argsort(kind, kind="stable")
+                _, begins, many = np.unique(kind[order], return_index=True, return_counts=True)
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) - np.repeat(begins, many)
+                nth += seen[kind]
+                seen += np.bincount(kind, minlength=len(seen))
                 packed = [ids[i : i + k].astype("<u2" if ids[i : i + k].max() < 1 << 16 else "<u4").tobytes() for i, k in zip(low.tolist(), length.tolist(), strict=True)]
-                columns = [batch.column("doc_id").take(pa.array(first + row)), *(pa.array(x, pa.int64()) for x in (start, length, counts[row])), pa.array(packed, pa.binary())]
+                numbers = (start, length, counts[row], kind, np.full(len(row), part), nth)
+                columns = [batch.column("doc_id").take(pa.array(first + row)), *(pa.array(x, pa.int64()) for x in numbers), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECE.split(", ")] + ["ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
-    made = rows.mapInArrow(cut, PIECE + ", ids binary").withColumn("piece_id", F.monotonically_increasing_id())
+    made = rows.mapInArrow(cut, PIECE + ", ids binary")
     made.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
@@ -150,23 +164,31 @@ def places(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 
 def placed(cut: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """piece_id, sequence_id, slot of every piece: the plan of its class and its rank in the class say where it goes."""
+    """The pieces with sequence_id and slot: the plan of its class and its rank in the class say where a piece goes.
+
+    Ranks need no sort of the pieces: a part counts its own, and sums over the parts of a class go before them.
+    """
     classes = window // step
-    narrow = cut.select("piece_id", "doc_id", "piece_start", "length", "doc_tokens", F.ceil(F.col("length") / step).alias("class"))
-    ranked = running(narrow, [F.col(c) for c in ("class", "doc_id", "piece_start", "length", "doc_tokens", "piece_id")], "length")
+    counts = materialize(cut.groupBy("part", "class").agg(F.count(F.lit(1)).alias("many")))
     # At most `classes` rows come back.
-    histogram = {r["class"]: r["count"] for r in ranked.groupBy("class").count().collect()}
+    histogram = {r["class"]: r["many"] for r in counts.groupBy("class").agg(F.sum("many").alias("many")).collect()}
     runs = places(plan(histogram, classes))
+    below = {k: sum(n for other, n in histogram.items() if other < k) for k in histogram}
+    first = F.create_map(*[F.lit(x) for pair in sorted(below.items()) for x in pair]) if below else F.create_map(F.lit(0), F.lit(0))
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("part", "class", (first[F.col("class")] + F.coalesce(F.sum("many").over(before), F.lit(0))).alias("base"))
+    if counts.count() <= BROADCAST_ROWS:
+        base = F.broadcast(base)
 
-    def place(batches):
-        for batch in batches:
-            index = batch.column("index").to_numpy()
-            run = np.searchsorted(runs["low"], index, "right") - 1
-            beside, many = index - runs["low"][run], runs["many"][run]
-            found = [runs["first"][run] + beside // many, runs["slot"][run] + beside % many]
-            yield pa.RecordBatch.from_arrays([batch.column("piece_id"), *(pa.array(x, pa.int64()) for x in found)], ["piece_id", "sequence_id", "slot"])
+    @F.arrow_udf("long")
+    def place(index: pa.Array) -> pa.Array:
+        index = index.to_numpy()
+        run = np.searchsorted(runs["low"], index, "right") - 1
+        beside, many = index - runs["low"][run], runs["many"][run]
+        return pa.array((runs["first"][run] + beside // many) * window + runs["slot"][run] + beside % many, pa.int64())
 
-    return ranked.select("piece_id", "index").mapInArrow(place, "piece_id long, sequence_id long, slot long")
+    found = cut.join(base, ["part", "class"]).withColumn("place", place(F.col("base") + F.col("nth")))
+    return found.withColumns({"sequence_id": F.floor(F.col("place") / window), "slot": F.pmod("place", F.lit(window))})
 
 
 LAID = pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "offset")])
@@ -180,8 +202,8 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, window: int = WI
     columns are left out; no rows give no sequences. Very long texts become many pieces; a text's own ids
     are held at once.
     """
-    cut = stored_pieces(docs, tokenizer, window, end)
-    both = cut.join(placed(cut, window, step), "piece_id").select("sequence_id", "slot", *(c.split()[0] for c in PIECE.split(", ")), "ids")
+    laid = placed(stored_pieces(docs, tokenizer, window, step, end), window, step)
+    both = laid.select("sequence_id", "slot", "doc_id", "piece_start", "length", "doc_tokens", "ids")
 
     def lay(batches):
         now, ids, pieces, size = None, [], [], 0
