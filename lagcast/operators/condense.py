@@ -39,16 +39,29 @@ def condense(plan: DataFrame, folded: DataFrame, stations: DataFrame | list[str]
     A stop without a change runs as planned.  With ``stations``, whole runs that
     call at one of them are kept.
     """
-    run_id = F.regexp_extract("stop_id", r"^(.*)-([^-]*)$", 1)
-    number = F.regexp_extract("stop_id", r"^(.*)-([^-]*)$", 2).try_cast("bigint")
-    stops = plan.withColumns({"run_id": run_id, "stop_number": number})
+    stops = with_run(plan)
     if stations is not None:
         if isinstance(stations, DataFrame):
             there = stops.join(stations.select(station_id(F.col("eva")).alias("eva")), "eva", "left_semi")
         else:
             there = stops.filter(F.col("eva").isin(list(stations)))
         stops = stops.join(there.select("run_id").distinct(), "run_id", "left_semi")
-    merged = stops.filter(F.col("stop_number").isNotNull()).join(folded, "stop_id", "left")
+    return as_events(stops.join(folded, "stop_id", "left"))
+
+
+def with_run(plan: DataFrame) -> DataFrame:
+    run_id = F.regexp_extract("stop_id", r"^(.*)-([^-]*)$", 1)
+    number = F.regexp_extract("stop_id", r"^(.*)-([^-]*)$", 2).try_cast("bigint")
+    return plan.withColumns({"run_id": run_id, "stop_number": number})
+
+
+def joined_events(joined: DataFrame) -> DataFrame:
+    """Stop events of planned stops that carry their folded changes already."""
+    return as_events(with_run(joined))
+
+
+def as_events(stops: DataFrame) -> DataFrame:
+    merged = stops.filter(F.col("stop_number").isNotNull())
     line = F.coalesce(F.nullif("arr_line", F.lit("")), F.nullif("dep_line", F.lit("")))
     cancelled = F.coalesce(F.col("arr_status") == "c", F.lit(False)) | F.coalesce(
         F.col("dep_status") == "c", F.lit(False)

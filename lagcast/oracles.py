@@ -209,6 +209,9 @@ ORACLES["change_last_wins"] = _with(*FEEDS) + f"""
 SELECT stop_id, {_ts('arr_changed')}, arr_status, {_ts('dep_changed')}, dep_status FROM folded"""
 ORACLES["stream_first_plan"] = ORACLES["plan_first_wins"]
 ORACLES["stream_change_fold"] = ORACLES["change_last_wins"]
+ORACLES["stream_first_plan_watermark"] = ORACLES["plan_first_wins"]
+ORACLES["stream_change_states"] = ORACLES["change_last_wins"]
+ORACLES["stream_condense"] = ORACLES["xml_condense_day"]
 
 LIVE = """any_plan AS (
   SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY ts, event_id) = 1),

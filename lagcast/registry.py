@@ -19,7 +19,8 @@ from lagcast.plans import backtest, connections, journeys, quality
 from lagcast.session import configure, materialize
 from lagcast.sources import derived as S
 from lagcast.sources import raw_log, tiers
-from lagcast.streaming import buckets, feeds, overlay
+from lagcast.streaming import buckets, feeds, overlay, stateful
+from lagcast.streaming.partials import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -875,6 +876,45 @@ def stream_live_board(spark, d):
     return _board_rows(feeds.live_board_stream(S.plan_feed(events, S.table(spark, d, "nation")), S.change_feed(events)))
 
 
+def _resumed(spark, d, name: str, make, parts: int = 3, close: bool = False, mode: str = "update") -> str:
+    """Results of a streaming query over the events of several spans of days: stopped after each and resumed from its checkpoint."""
+    folder = new_folder(spark, name)
+    arrivals = S.event_days(spark, d, parts)
+    if close:
+        # The folds end with the first row's watermark, the join behind them with the second's.
+        arrivals += [S.closing_events(S.table(spark, d, "events"), days) for days in (10, 20)]
+    for part in arrivals:
+        part.write.mode("append").parquet(f"{folder}/events")
+        stateful.save_updates(make(S.event_stream(spark, f"{folder}/events", "*.parquet")), folder, mode=mode).awaitTermination()
+    return folder
+
+
+@query
+def stream_change_states(spark, d):
+    """Last known values in per-stop state with timers, resumed twice."""
+    with_time = lambda events: stateful.change_states(S.change_feed(events), F.col("ord.ts"))
+    folder = _resumed(spark, d, "change-states", with_time)
+    folded = stateful.newest_updates(spark, folder)
+    return folded.select("stop_id", _ts("arr_changed"), "arr_status", _ts("dep_changed"), "dep_status")
+
+
+@query
+def stream_first_plan_watermark(spark, d):
+    """First plans per day of event time under a watermark, resumed twice."""
+    nation = S.table(spark, d, "nation")
+    folder = _resumed(spark, d, "first-plans", lambda events: stateful.first_plans(S.plan_feed(events, nation), F.col("ord.ts")).drop("span"))
+    return stateful.newest_updates(spark, folder).select("stop_id", "eva", "station", "category", "number", _ts("arr_planned"), _ts("dep_planned"))
+
+
+@query
+def stream_condense(spark, d):
+    """Plan and change streams joined within a watermark to stop events."""
+    nation = S.table(spark, d, "nation")
+    time = F.col("ord.ts")
+    folder = _resumed(spark, d, "condense", lambda events: stateful.stop_events(S.plan_feed(events, nation), S.change_feed(events), time, time), close=True, mode="append")
+    return _condensed(spark.read.parquet(f"{folder}/data").drop("batch"))
+
+
 def _observed(events: DataFrame, nation: DataFrame) -> DataFrame:
     return bucket_model.observations(prepare.with_delays(S.stop_events_of(events, nation)).filter("planned is not null"))
 
@@ -884,7 +924,11 @@ def stream_bucket_stats(spark, d):
     """On top of a snapshot of the same observations."""
     nation = S.table(spark, d, "nation")
     snapshot = bucket_model.bucket_stats(_observed(S.table(spark, d, "events"), nation))
-    stats = buckets.bucket_stats_stream(_observed(S.event_stream(spark, d), nation), snapshot)
+    folder = new_folder(spark, "buckets")
+    # Two spans of days: the second call goes on from the first one's checkpoint and snapshot.
+    for part in S.event_days(spark, d, 2):
+        part.write.mode("append").parquet(f"{folder}/events")
+        stats = buckets.bucket_stats_stream(_observed(S.event_stream(spark, f"{folder}/events", "*.parquet"), nation), snapshot, folder)
     return stats.select("train_class", "time_band", "n", _r("mean", "mean"), _r("m2", "m2", 3))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lagcast.functions import text, times
 from lagcast.session import materialize
@@ -32,6 +33,27 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def event_days(spark: SparkSession, folder: str, parts: int) -> list[DataFrame]:
+    """The events in consecutive spans of days, as a feed would bring them."""
+    events = table(spark, folder, "events")
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    if first is None:
+        return [events]
+    days = (last - first).days + 1
+    place = F.floor(F.date_diff(F.to_date("ts"), F.lit(first)) * parts / F.lit(days))
+    return [events.filter(place == i) for i in range(parts)]
+
+
+def closing_events(events: DataFrame, days: int = 10) -> DataFrame:
+    """A plan and a change row long after all others: they only move the watermarks on."""
+    last = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.expr(f"ts + interval {days} days"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in LINES])).alias("event_type")
+    return last.select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0).cast("long").alias("user_id"), kinds,
+        F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"),
+    ).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(EVENTS).fields])
+
+
 def _choose(slot: int):
     first, *rest = LINES.items()
     chosen = F.when(F.col("event_type") == first[0], first[1][slot])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast.operators.bucket_model import BUCKET, bucket_stats
@@ -19,24 +21,59 @@ def merge_stats(parts: DataFrame) -> DataFrame:
     )
 
 
-def save_snapshot(stats: DataFrame, path: str) -> None:
-    stats.coalesce(1).write.mode("overwrite").parquet(path)
+def commit_snapshot(stats: DataFrame, folder: str, generation: int) -> None:
+    """Write a snapshot beside the others and give it its number by a rename; one that is there already stays."""
+    target = f"{folder}/generation={generation}"
+    temporary = f"{folder}/_writing-{uuid.uuid4().hex}"
+    fs, path = file_system(stats.sparkSession, folder)
+    if fs.exists(path(target)):
+        return
+    stats.coalesce(1).write.parquet(temporary)
+    if not fs.rename(path(temporary), path(target)):
+        raise OSError(f"cannot commit {target}")
+
+
+def file_system(spark: SparkSession, folder: str):
+    """The file system of a folder and its constructor of paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def generations(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the committed snapshots, ascending."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path(folder)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+    return sorted(int(n.removeprefix("generation=")) for n in names if n.startswith("generation="))
+
+
+def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
+    found = generations(spark, folder)
+    return spark.read.parquet(f"{folder}/generation={found[-1]}") if found else None
+
+
+EMPTY = "train_class string, time_band string, n bigint, mean double, m2 double"
 
 
-def bucket_stats_stream(observed: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def bucket_stats_stream(observed: DataFrame, snapshot: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Statistics after draining a stream of observations, on top of a snapshot.
 
-    The streaming state is one row per bucket (at most sixteen), kept and merged
-    by Spark; every trigger rewrites the snapshot.
+    The streaming state is one row per bucket (at most sixteen), kept and merged by Spark; every trigger commits
+    a snapshot of its own.  With the folder of an earlier call, the stream goes on from its checkpoint, and
+    the newest committed snapshot is found again even if nothing new arrives.
     """
     spark = observed.sparkSession
-    folder = new_folder(spark, "buckets")
+    folder = folder or new_folder(spark, "buckets")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        save_snapshot(batch, f"{folder}/snapshot-{batch_id % 2}")
-        state["last"] = f"{folder}/snapshot-{batch_id % 2}"
+        commit_snapshot(batch, f"{folder}/snapshots", batch_id)
+        # The one before stays for readers that have it open.
+        fs, path = file_system(batch.sparkSession, folder)
+        for old in generations(batch.sparkSession, f"{folder}/snapshots")[:-2]:
+            fs.delete(path(f"{folder}/snapshots/generation={old}"), True)
 
-    state: dict[str, str] = {}
     query = (
         bucket_stats(observed)
         .writeStream.outputMode("complete")
@@ -46,8 +83,7 @@ def bucket_stats_stream(observed: DataFrame, snapshot: DataFrame | None = None)
         .start()
     )
     query.awaitTermination()
-    if not state:  # nothing arrived
-        empty = spark.createDataFrame([], "train_class string, time_band string, n bigint, mean double, m2 double")
-        return merge_stats(empty if snapshot is None else snapshot)
-    fresh = spark.read.parquet(state["last"])
+    fresh = latest_snapshot(spark, f"{folder}/snapshots")
+    if fresh is None:  # nothing ever arrived
+        fresh = spark.createDataFrame([], EMPTY)
     return merge_stats(fresh if snapshot is None else fresh.unionByName(snapshot.select(fresh.columns)))
