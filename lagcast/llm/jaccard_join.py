@@ -26,6 +26,10 @@ WORDS, PERCENT = 5, 75
 SKETCH_BITS, BUCKET_ENTRIES, HOT_ENTRIES = 20, 400_000, 200_000
 #: Sets of a hub read beside one copy of the hub; sets in a block; width of a band of distances to the hub.
 HEAD_ROWS, BLOCK_ROWS, BAND = 1000, 512, 0.05
+#: Lists up to this length are read as one block; longer ones are cut into blocks by size and position of at most BLOCK_ROWS.
+LIST_ROWS, HOT = 256, 1 << 40
+#: Bands of sizes per doubling, and of positions in a prefix.
+SIZE_BANDS, PLACE_BANDS = 6, 8
 #: Bits of the filter for documents that are needed again.
 FILTER_BITS = 25
 
@@ -149,14 +153,15 @@ def set_table(docs: DataFrame) -> DataFrame:
     return materialize(docs.mapInArrow(make, "doc_id long, row_key long, v long, n long"))
 
 
-LISTS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("hub", pa.int64())])
+LISTS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("hub", pa.int64()), ("many", pa.int64())])
 
 
 def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_entries: int = HOT_ENTRIES) -> DataFrame:
-    """token, v, n, pos (a lower bound of the place in the set), hub: prefix entries that share a token with another set.
+    """token, v, n, pos (a lower bound of the place in the set), hub, many: prefix entries that share a token with another set.
 
     Entries travel in packed arrays, one row per bucket of tokens and task. Lists of very frequent tokens
-    are dealt over buckets by set. `hub` is the most central set of the entry's list (or its part).
+    are dealt over buckets by set. `hub` is the most central set of the entry's list (or its part), `many` the
+    length of the list, HOT for one that is dealt.
     """
     buckets = max(1, -(-entries // BUCKET_ENTRIES))
     # Parts of a list, as a power of two.
@@ -226,7 +231,7 @@ def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_e
         best = np.lexsort((v, n, share[at], run))
         hub = v[best[np.append(first[1:], len(tokens)) - 1]][run]
         stay = several | hot
-        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (tokens.view(np.int64), v, n, pos * probe_length(n) // 256, hub)], LISTS.names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (tokens.view(np.int64), v, n, pos * probe_length(n) // 256, hub, np.full(len(v), HOT) if hot else size[run])], LISTS.names)
 
     def unpack(batches):
         at, parts = None, []
@@ -242,7 +247,7 @@ def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_e
 
     packed = docs.mapInArrow(pack, "bucket long, v binary, n binary, counts binary, tokens binary, pos binary")
     dealt = packed.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
-    return materialize(dealt.mapInArrow(unpack, "token long, v long, n long, pos long, hub long"))
+    return materialize(dealt.mapInArrow(unpack, "token long, v long, n long, pos long, hub long, many long"))
 
 
 def hubs(lists: DataFrame) -> DataFrame:
@@ -414,39 +419,108 @@ def links_around_hubs(measured: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.groupBy("meeting").applyInArrow(meet, "a long, b long")
 
 
-def cross_pairs(lists: DataFrame, hub_of: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """head, v: sets of different hubs and components that share prefix shingles and may reach the threshold.
+ENTRY = "token long, v long, n long, pos long, hub long, root long"
+MET = "v1 long, v2 long, n1 long, n2 long, pos1 long, pos2 long"
 
-    Lists are first joined by hub and component, so that sets of one hub or component never meet.
-    """
-    root = F.coalesce("root", "v")
-    known = lists.select("token", "v", "n", "pos").join(hub_of, "v", "left").join(roots.select(F.col("vertex").alias("v"), "root"), "v", "left")
+
+def may_link(a: dict, b: dict, percent: int) -> np.ndarray:
+    """Whether entries of one token may be of linked sets that are not known to be: by sizes and by places in their prefixes."""
+    n, m = a["n"], b["n"]
+    small_n = np.minimum(n, m)
+    small_pos = np.where((n < m) | ((n == m) & (a["v"] < b["v"])), a["pos"], b["pos"])
+    # Sets around one hub, and a set with its own hub, are compared already.
+    able = (a["root"] != b["root"]) & (a["hub"] != b["hub"]) & (a["hub"] != b["v"]) & (b["hub"] != a["v"])
+    able &= 100 * small_n >= percent * np.maximum(n, m)
+    able &= small_pos <= small_n - -(-2 * percent * small_n // (100 + percent))
+    # A pair's first shared shingle leaves room for enough further ones in both sets.
+    return able & ((100 + percent) * np.minimum(n - a["pos"], m - b["pos"]) >= percent * (n + m))
+
+
+def met_batch(a: dict, b: dict) -> pa.RecordBatch:
+    """Rows of MET; the set of the lower root comes first."""
+    low = a["root"] < b["root"]
+    columns = [np.where(low, one[c], other[c]) for c in ("v", "n", "pos") for one, other in ((a, b), (b, a))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in MET.split(", ")])
+
+
+def short_lists(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of MET from lists that are one block: each entry is compared with those after it in its list."""
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+
+    def pairs(held):
+        token = held["token"]
+        last = np.searchsorted(token, token, "right")
+        left, step = np.arange(len(token)), 1
+        while len(left := left[left + step < last[left]]):
+            one, other = ({c: x[at] for c, x in held.items()} for at in (left, left + step))
+            able = may_link(one, other, percent)
+            if able.any():
+                yield met_batch(*({c: x[able] for c, x in side.items()} for side in (one, other)))
+            step += 1
+
+    def meet(batches):
+        rest = None
+        for batch in batches:
+            held = {c: batch.column(c).to_numpy() for c in names}
+            if rest is not None:
+                held = {c: np.concatenate((rest[c], held[c])) for c in names}
+            # The last list may go on in the next batch.
+            whole = int(np.searchsorted(held["token"], held["token"][-1])) if len(held["token"]) else 0
+            rest = {c: x[whole:] for c, x in held.items()}
+            yield from pairs({c: x[:whole] for c, x in held.items()})
+        if rest is not None:
+            yield from pairs(rest)
+
+    return entries.select(*names).repartition("token").sortWithinPartitions("token").mapInArrow(meet, MET)
+
+
+def long_lists(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of MET from long lists in blocks by size and place; blocks whose bounds exclude a link are skipped, heads first."""
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    size_band = F.floor(F.log2("n") * SIZE_BANDS)
+    place_band = F.floor(F.col("pos") * PLACE_BANDS / probe_length_column(percent))
+    banded = materialize(entries.select(*names, size_band.alias("size_band"), place_band.alias("place_band")))
+    band = ["token", "size_band", "place_band"]
+    counts = banded.groupBy(*band).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
+    placed = materialize(banded.join(counts, band).withColumn("block", F.xxhash64("size_band", "place_band", F.pmod(F.xxhash64("v"), F.col("parts")))).select(*names, "block"))
+    bounds = [f(c).alias(f"{c}_{name}") for c in ("n", "root", "hub") for name, f in (("low", F.min), ("high", F.max))]
+    heads = materialize(placed.groupBy("token", "block").agg(*bounds, F.max(F.col("n") - F.col("pos")).alias("room")))
+    near = f"100 * x.n_high >= {percent} * y.n_low AND 100 * y.n_high >= {percent} * x.n_low"
+    rooms = f"{100 + percent} * least(x.room, y.room) >= {percent} * (x.n_low + y.n_low)"
+    apart = "NOT (x.root_low = x.root_high AND y.root_low = y.root_high AND x.root_low = y.root_low) AND NOT (x.hub_low = x.hub_high AND y.hub_low = y.hub_high AND x.hub_low = y.hub_low)"
+    met = heads.alias("x").join(heads.alias("y"), F.expr(f"x.token = y.token AND x.block <= y.block AND {near} AND {rooms} AND {apart}"))
+    meetings = materialize(met.select("x.token", F.col("x.block").alias("one"), F.col("y.block").alias("two"), F.xxhash64("x.token", "x.block", "y.block").alias("meeting")))
+    sides = meetings.select("token", F.col("one").alias("block"), "meeting", F.lit(0).alias("side")).unionByName(
+        meetings.where("one <> two").select("token", F.col("two").alias("block"), "meeting", F.lit(1).alias("side"))
+    )
+    dealt = placed.join(sides, ["token", "block"]).select("meeting", "side", *names)
+
+    def meet(group):
+        held = {c: group.column(c).to_numpy() for c in [*names, "side"]}
+        one, other = (np.flatnonzero(held["side"] == i) for i in (0, 1))
+        alone = not len(other)
+        found = []
+        for i in one:
+            at = one[one > i] if alone else other
+            mine = {c: np.full(len(at), x[i]) for c, x in held.items()}
+            theirs = {c: x[at] for c, x in held.items()}
+            able = may_link(mine, theirs, percent)
+            if able.any():
+                found.append(met_batch(*({c: x[able] for c, x in side.items()} for side in (mine, theirs))))
+        return pa.Table.from_batches(found, pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")]))
+
+    return dealt.groupBy("meeting").applyInArrow(meet, MET)
+
+
+def cross_pairs(lists: DataFrame, hub_of: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """head, v: sets of different hubs and components that share prefix shingles and may reach the threshold."""
+    known = lists.select("token", "v", "n", "pos", "many").join(hub_of, "v", "left").join(roots.select(F.col("vertex").alias("v"), "root"), "v", "left")
     # A hub stands with the sets around it.
-    known = known.withColumn("root", root).withColumn("hub", F.coalesce("hub", "v"))
-    spread = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    entries = materialize(known.join(spread, "token"))
+    known = known.withColumn("root", F.coalesce("root", "v")).withColumn("hub", F.coalesce("hub", "v"))
     total, needed = 100 + percent, percent
-    # A pair's first shared shingle leaves room for enough further ones in both sets.
-    groups = entries.groupBy("token", "hub", "root").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"), F.max("n").alias("most"))
-    apart = "x.token = y.token AND x.root < y.root AND x.hub <> y.hub"
-    sizes = f"100 * x.most >= {percent} * y.least AND 100 * y.most >= {percent} * x.least"
-    rooms = f"{total} * least(x.room, y.room) >= {needed} * (x.least + y.least)"
-    pairs = groups.alias("x").join(groups.alias("y"), F.expr(f"{apart} AND {sizes} AND {rooms}"))
-    pairs = pairs.select("x.token", F.col("x.hub").alias("hub1"), F.col("x.root").alias("root1"), F.col("y.hub").alias("hub2"), F.col("y.root").alias("root2"))
-    side = lambda k: entries.select(F.col("token"), F.col("hub").alias(f"hub{k}"), F.col("root").alias(f"root{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("v", "n", "pos")))
-    smaller = F.expr("n1 < n2 OR n1 = n2 AND v1 < v2")
-    small_n, small_pos = F.when(smaller, F.col("n1")).otherwise(F.col("n2")), F.when(smaller, F.col("pos1")).otherwise(F.col("pos2"))
-    floor_ = F.floor((2 * percent * small_n + 99 + percent) / (100 + percent))
     both = needed * (F.col("n1") + F.col("n2"))
-    met = (
-        pairs.join(side(1), ["token", "hub1", "root1"])
-        .join(side(2), ["token", "hub2", "root2"])
-        # Compared already: a set with its own hub.
-        .where("hub1 <> v2 AND hub2 <> v1")
-        .where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        .where(small_pos <= small_n - floor_)
-        .where(total * F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= both)
-    )
+    short = F.col("many") <= LIST_ROWS
+    met = short_lists(known.where(short), percent).unionByName(long_lists(known.where(~short), percent))
     # Rows are left out only behind these places, so sharing so many up to them, two sets have at most this much in common.
     counted = met.groupBy("v1", "v2", "n1", "n2").agg(F.count(F.lit(1)).alias("times"), F.max("pos1").alias("last1"), F.max("pos2").alias("last2"))
     most = F.col("times") + F.least(F.col("n1") - F.col("last1") - 1, F.col("n2") - F.col("last2") - 1)
