@@ -323,6 +323,25 @@ merged AS (
 ORACLES["overlay_recent"] = _with(*RUNS, _TIERS) + _BAG.format(source="merged")
 ORACLES["stream_overlay"] = ORACLES["overlay_recent"]
 
+_SERVICE = "CAST(coalesce(arrival_planned_time, departure_planned_time) - INTERVAL 4 HOUR AS DATE)"
+_LATER = f"""stop_event AS (
+  SELECT * REPLACE (
+    CASE WHEN {_SERVICE} >= DATE '2024-01-29' THEN arrival_change_time + INTERVAL 1 MINUTE ELSE arrival_change_time END AS arrival_change_time,
+    CASE WHEN {_SERVICE} >= DATE '2024-01-29' THEN departure_change_time + INTERVAL 1 MINUTE ELSE departure_change_time END AS departure_change_time)
+  FROM known_event)"""
+ORACLES["incremental_rebuild"] = _with(KEYED, MANY.replace("stop_event AS", "known_event AS"), _LATER, PREPARED, RUN) + _BAG.format(source="run")
+ORACLES["monthly_and_daily_files"] = _with(KEYED, MANY) + f"""
+SELECT source_file, CASE WHEN file_day < DATE '2024-01-29' THEN substr(source_file, 6) END AS month,
+  CASE WHEN file_day >= DATE '2024-01-29' THEN substr(source_file, 13) END AS recent_day, count(*) AS events,
+  count(DISTINCT train_line_ride_id) AS rides, CAST(sum(CAST(is_canceled AS INTEGER)) AS BIGINT) AS cancelled
+FROM (SELECT *, CASE WHEN file_day < DATE '2024-01-29' THEN strftime(file_day, 'data-%Y-%m') ELSE strftime(file_day, 'data-recent-%Y-%m-%d') END AS source_file
+  FROM (SELECT *, coalesce({_SERVICE}, DATE '2024-01-01') AS file_day FROM stop_event))
+GROUP BY ALL"""
+ORACLES["daily_table"] = _with(KEYED, MANY) + f"""
+SELECT CAST(service_day AS VARCHAR) AS service_day, count(*) AS events, count(DISTINCT train_number) AS trains
+FROM (SELECT *, {_SERVICE} AS service_day FROM stop_event) WHERE service_day < DATE '2024-01-29' OR service_day IS NOT NULL AND train_type = 'S' GROUP BY 1"""
+ORACLES["station_lines"] = _with(STATION) + "SELECT eva, name, CAST(CASE WHEN weight % 2 = 0 THEN weight ELSE 0 END AS INTEGER) AS weight FROM station"
+
 # ---------------------------------------------------------------- calendar and boards
 
 _DAYS = "(SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)"
@@ -468,6 +487,11 @@ def _bucket(c: str) -> str:
     return f"CASE WHEN {c} IN ({_LONG}) THEN 'long_distance' WHEN {c} = 'S' THEN 'sbahn' ELSE 'regional' END"
 
 
+ORACLES["scores_file"] = _with(*RUNS) + f"""
+SELECT {_bucket("split_part(train_key, '_', 1)")} AS bucket, count(*) AS n, round(avg(abs(arr_delay)), 3) AS mae FROM run
+WHERE NOT cancelled AND arr_delay IS NOT NULL GROUP BY 1"""
+
+
 def _band(t: str) -> str:
     return f"""CASE WHEN hour({t}) BETWEEN 6 AND 8 THEN 'MORNING_PEAK' WHEN hour({t}) BETWEEN 9 AND 15 THEN 'MIDDAY'
   WHEN hour({t}) BETWEEN 16 AND 18 THEN 'EVENING_PEAK' ELSE 'NIGHT' END"""

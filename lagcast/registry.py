@@ -18,7 +18,7 @@ from lagcast.operators import transfer
 from lagcast.plans import backtest, connections, journeys, quality
 from lagcast.session import configure, materialize
 from lagcast.sources import derived as S
-from lagcast.sources import raw_log, tiers
+from lagcast.sources import incremental, raw_log, tables, tiers
 from lagcast.streaming import buckets, feeds, overlay, stateful
 from lagcast.streaming.partials import new_folder
 
@@ -401,6 +401,72 @@ def overlay_recent(spark, d):
     return _run_bag(history.overlay_recent(*_tiers(_runs(spark, d))), "train_key", "station_name")
 
 
+def _delayed(events: DataFrame) -> DataFrame:
+    """The same stops, each a minute later than was known."""
+    late = {c: F.col(c) + F.expr("interval 1 minute") for c in ("arrival_change_time", "departure_change_time")}
+    return events.withColumns(late)
+
+
+@query
+def incremental_rebuild(spark, d):
+    """A store of runs after some days' events were replaced; only these days are read and swapped in."""
+    folder = new_folder(spark, "daily")
+    events, day = S.stop_events(spark, d), incremental.event_service_day()
+    tables.write_daily(events, f"{folder}/events", day)
+    incremental.rebuild_runs(spark, f"{folder}/events", f"{folder}/store", tie="seq")
+    tables.write_daily(_delayed(events.filter(day >= S.RECENT_FROM)), f"{folder}/events", day)
+    incremental.rebuild_runs(spark, f"{folder}/events", f"{folder}/store", tie="seq")
+    return _run_bag(incremental.stored_runs(spark, f"{folder}/store"), "train_key", "station_name")
+
+
+@query
+def monthly_and_daily_files(spark, d):
+    """Files of months and of recent days read as one table, tagged by their names."""
+    folder = new_folder(spark, "files")
+    events = S.stop_events(spark, d).drop("seq").withColumn("file_day", F.coalesce(incremental.event_service_day(), F.lit("2024-01-01").cast("date")))
+    recent = F.col("file_day") >= S.RECENT_FROM
+    S.write_named(events.filter(~recent).withColumn("name", F.date_format("file_day", "'data-'yyyy-MM")).drop("file_day"), folder)
+    S.write_named(events.filter(recent).withColumn("name", F.date_format("file_day", "'data-recent-'yyyy-MM-dd")).drop("file_day"), folder)
+    tagged = tables.with_source_file(tables.read_stop_events(spark, f"{folder}/*.parquet"))
+    return tagged.groupBy("source_file", "month", "recent_day").agg(
+        F.count("*").alias("events"), F.countDistinct("train_line_ride_id").alias("rides"), F.sum(F.col("is_canceled").cast("int")).alias("cancelled")
+    )
+
+
+@query
+def daily_table(spark, d):
+    """Condensed events by service day, written, partly rewritten, and read back."""
+    folder, day = new_folder(spark, "daily"), incremental.event_service_day()
+    events = S.stop_events(spark, d).drop("seq").filter(day.isNotNull())
+    tables.write_daily(events, folder, day)
+    tables.write_daily(events.filter((day >= S.RECENT_FROM) & (F.col("train_type") == "S")), folder, day)
+    return spark.read.parquet(folder).groupBy(F.col("service_day").cast("string").alias("service_day")).agg(
+        F.count("*").alias("events"), F.countDistinct("train_number").alias("trains")
+    )
+
+
+@query
+def station_lines(spark, d):
+    """Stations from lines of text, with short lines and bad weights."""
+    folder = new_folder(spark, "stations")
+    named = S.stations(spark, d)
+    weight = F.when(F.col("weight") % 2 == 0, F.col("weight").cast("string")).otherwise(F.concat(F.lit("x"), "weight"))
+    whole = named.select(F.concat_ws(";", "eva", "name", weight).alias("value"))
+    whole.unionByName(named.select(F.concat_ws(";", "eva", "name").alias("value"))).write.text(folder)
+    return tables.read_stations(spark, folder)
+
+
+@query
+def scores_file(spark, d):
+    """Scores of all runs by product group, written as JSON and read back."""
+    path = f"{new_folder(spark, 'scores')}/scores"
+    runs = _runs(spark, d).filter("not cancelled and arr_delay is not null")
+    bucket = delays.product_bucket(F.split("train_key", "_")[0])
+    scores = runs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs("arr_delay")), 3).alias("mae"))
+    tables.write_scores(scores, path)
+    return spark.read.schema("bucket string, n long, mae double").json(path)
+
+
 # ---------------------------------------------------------------- calendar and boards
 
 

@@ -68,3 +68,19 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, folder: str):
+    """The file system of a folder and its constructor of paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def generations(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the committed generations of a table, ascending."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path(folder)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+    return sorted(int(n.removeprefix("generation=")) for n in names if n.startswith("generation="))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lagcast.functions import text, times
-from lagcast.session import materialize
+from lagcast.session import file_system, materialize
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -44,6 +44,17 @@ def event_days(spark: SparkSession, folder: str, parts: int) -> list[DataFrame]:
     return [events.filter(place == i) for i in range(parts)]
 
 
+def write_named(rows: DataFrame, folder: str) -> None:
+    """One Parquet file ``<name>.parquet`` for each value of the column ``name``."""
+    spark, temporary = rows.sparkSession, f"{folder}/_named"
+    rows.repartition("name").write.mode("overwrite").partitionBy("name").parquet(temporary)
+    fs, path = file_system(spark, folder)
+    for part in fs.globStatus(path(f"{temporary}/name=*/*.parquet")):
+        name = part.getPath().getParent().getName().removeprefix("name=")
+        fs.rename(part.getPath(), path(f"{folder}/{name}.parquet"))
+    fs.delete(path(temporary), True)
+
+
 def closing_events(events: DataFrame, days: int = 10) -> DataFrame:
     """A plan and a change row long after all others: they only move the watermarks on."""
     last = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.expr(f"ts + interval {days} days"))

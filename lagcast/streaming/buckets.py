@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast.operators.bucket_model import BUCKET, bucket_stats
+from lagcast.session import file_system, generations
 from lagcast.streaming.partials import new_folder
 
 
@@ -33,22 +34,6 @@ def commit_snapshot(stats: DataFrame, folder: str, generation: int) -> None:
         raise OSError(f"cannot commit {target}")
 
 
-def file_system(spark: SparkSession, folder: str):
-    """The file system of a folder and its constructor of paths."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
-
-
-def generations(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the committed snapshots, ascending."""
-    fs, path = file_system(spark, folder)
-    if not fs.exists(path(folder)):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
-    return sorted(int(n.removeprefix("generation=")) for n in names if n.startswith("generation="))
-
-
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
     found = generations(spark, folder)
     return spark.read.parquet(f"{folder}/generation={found[-1]}") if found else None
