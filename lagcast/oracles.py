@@ -207,6 +207,9 @@ ORACLES["plan_first_wins"] = _with(*FEEDS) + f"""
 SELECT stop_id, eva, station, category, number, {_ts('arr_planned')}, {_ts('dep_planned')} FROM first_plan"""
 ORACLES["change_last_wins"] = _with(*FEEDS) + f"""
 SELECT stop_id, {_ts('arr_changed')}, arr_status, {_ts('dep_changed')}, dep_status FROM folded"""
+ORACLES["damaged_documents"] = _with(*FEEDS) + """
+SELECT 'plan' AS kind, stop_id, count(*) AS rows FROM plan GROUP BY stop_id
+UNION ALL SELECT 'change', stop_id, count(*) FROM change GROUP BY stop_id"""
 ORACLES["stream_first_plan"] = ORACLES["plan_first_wins"]
 ORACLES["stream_change_fold"] = ORACLES["change_last_wins"]
 ORACLES["stream_first_plan_watermark"] = ORACLES["plan_first_wins"]
@@ -937,3 +940,26 @@ SELECT q.query_id, from_name, to_name, coalesce(typical, false) AS typical, coal
   CASE WHEN from_eva = to_eva THEN 'SAME_STATION' WHEN n IS NULL THEN 'NO_TIMETABLE' WHEN found IS NULL THEN 'NO_PLANNABLE_TRAIN' ELSE 'OK' END AS status
 FROM jq q LEFT JOIN (SELECT query_id, count(*) AS n, bool_or(typical) AS typical FROM dep WHERE from_eva <> to_eva GROUP BY 1) d USING (query_id)
 LEFT JOIN (SELECT query_id, count(*) AS found FROM top GROUP BY 1) t USING (query_id)"""
+ORACLES["not_found_outcomes"] = _with(*_CALLS, _JOURNEY, _REQUEST) + """
+SELECT 'journey' AS kind, query_id, CASE split_part(query_id, '|', 3) WHEN '3' THEN 'ORIGIN_NOT_FOUND' WHEN '7' THEN 'DESTINATION_NOT_FOUND'
+  WHEN '9' THEN 'DESTINATION_NOT_FOUND' ELSE 'FOUND' END AS status FROM jq WHERE from_eva <> to_eva
+UNION ALL SELECT 'connection', query_id, CASE WHEN f_number IN ('1', '4') THEN 'TRANSFER_NOT_FOUND' ELSE 'FOUND' END FROM request"""
+_LOOSE = "names AS (SELECT unnest(['nation_0', 'NATION_03', 'Nation_03 (tief)', 'ation_02', 'NATION_1', 'Quay']) AS destination)"
+
+
+def _meant(both_ways: bool) -> str:
+    hit = "contains(lower(station_name), lower(destination))" + (" OR contains(lower(destination), lower(station_name))" if both_ways else "")
+    return f"arg_min(station_name, (CASE WHEN lower(station_name) = lower(destination) THEN 1 ELSE 2 END, station_name)) FILTER (WHERE {hit})"
+
+
+ORACLES["loose_destinations"] = _with(*_CALLS, _LOOSE) + f"""
+SELECT train_key, destination, {_meant(False)} AS contained, {_meant(True)} AS either FROM idx, names GROUP BY train_key, destination"""
+ORACLES["loose_routes"] = _with(
+    *_CALLS, _LOOSE, "origin AS (SELECT DISTINCT train_key, eva AS origin_eva, tod AS origin_tod FROM call)", ROUTE
+) + """
+SELECT train_key, origin_eva, origin_tod, destination, bool_or(contains(lower(stop), lower(destination))) AS contained,
+  bool_or(contains(lower(stop), lower(destination)) OR contains(lower(destination), lower(stop))) AS either
+FROM (SELECT *, unnest(path) AS stop FROM route), names GROUP BY ALL"""
+ORACLES["trains_by_line"] = _with(*RUNS) + f"""
+SELECT DISTINCT train_type || '|' || line_number || '|' || upper(station_name) AS query_id, {_key('line_number')} AS train_key, station_name
+FROM run WHERE line_number IS NOT NULL"""

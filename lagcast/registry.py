@@ -120,6 +120,23 @@ def xml_plan_stops(spark, d):
     )
 
 
+def _with_damage(log: DataFrame) -> DataFrame:
+    """The log with, after each document, a copy cut off before its end and one whose stops have no id."""
+    text = F.col("response_data")
+    cut = log.withColumn("response_data", text.substr(F.lit(1), F.length(text) - 9))
+    nameless = log.withColumn("response_data", F.regexp_replace(text, " id='[^']*'", " id=''"))
+    return log.unionByName(cut).unionByName(nameless)
+
+
+@query
+def damaged_documents(spark, d):
+    """Malformed documents and stops without an id give no rows."""
+    log = _with_damage(S.raw_log(spark, d))
+    plans, changes = raw_log.plan_stops(log), raw_log.change_stops(log)
+    counted = [rows.groupBy(F.lit(kind).alias("kind"), "stop_id").agg(F.count("*").alias("rows")) for kind, rows in (("plan", plans), ("change", changes))]
+    return counted[0].unionByName(counted[1])
+
+
 @query
 def xml_change_stops(spark, d):
     """Change documents to rows."""
@@ -873,6 +890,66 @@ def journey_outcome(spark, d):
     return journeys.plan_journeys(materialize(S.journey_queries(network.stations, _day_after(network.runs))), network).outcome
 
 
+@query
+def not_found_outcomes(spark, d):
+    """Journeys and connections that name a station that is not there."""
+    network = _network(spark, d)
+    hour = F.element_at(F.split("query_id", r"\|"), -1)
+    asked = S.journey_queries(network.stations, _day_after(network.runs)).filter("from_text <> to_text").withColumns(
+        {
+            "from_text": F.when(hour == "3", F.concat(F.lit("Quay of "), "from_text")).otherwise(F.col("from_text")),
+            "to_text": F.when(hour.isin("3", "7", "9"), F.lit("Quay")).otherwise(F.col("to_text")),
+        }
+    )
+    journey = journeys.plan_journeys(materialize(asked), network).outcome.select(
+        F.lit("journey").alias("kind"), "query_id", F.when(F.col("status").endswith("NOT_FOUND"), F.col("status")).otherwise("FOUND").alias("status")
+    )
+    requests = S.connection_requests(network.calls, network.stations, _day_after(network.runs))
+    lost = requests.withColumn("transfer", F.when(F.col("number").isin("1", "4"), "Quay").otherwise(F.col("transfer")))
+    connection = connections.plan_connections(lost, network).outcome.select(
+        F.lit("connection").alias("kind"), "query_id", F.when(F.col("status").endswith("NOT_FOUND"), F.col("status")).otherwise("FOUND").alias("status")
+    )
+    return journey.unionByName(connection)
+
+
+#: Names as travellers write them: part of a name, a name with more around it, another case.
+LOOSE_NAMES = ("nation_0", "NATION_03", "Nation_03 (tief)", "ation_02", "NATION_1", "Quay")
+
+
+@query
+def loose_destinations(spark, d):
+    """The station of a train's history that a loosely written destination means."""
+    index = history.station_index(_network_runs(spark, d))
+    asked = index.select("train_key").distinct().withColumn("destination", F.explode(F.array(*[F.lit(n) for n in LOOSE_NAMES])))
+    one, both = (transfer.match_destination(asked, index, "destination", name, None, way) for name, way in (("contained", False), ("either", True)))
+    return one.join(both, ["train_key", "destination"])
+
+
+@query
+def loose_routes(spark, d):
+    """Routes that reach a loosely written destination."""
+    calls = history.planned_calls(_network_runs(spark, d))
+    origins = calls.select("train_key", F.col("eva").alias("origin_eva"), F.col("tod").alias("origin_tod"))
+    routes = boards.route_after(calls, origins).withColumn("destination", F.explode(F.array(*[F.lit(n) for n in LOOSE_NAMES])))
+    ways = {name: text.route_reaches(F.col("path"), F.col("destination"), way) for name, way in (("contained", False), ("either", True))}
+    return routes.select("train_key", "origin_eva", "origin_tod", "destination", *[c.alias(n) for n, c in ways.items()])
+
+
+@query
+def trains_by_line(spark, d):
+    """Trains without a known number found by their line, and stations by name where the number is unknown."""
+    runs = _runs(spark, d)
+    # The history of a line, as a feed without train numbers would make it.
+    lines = runs.filter("line_number is not null").withColumn("train_key", text.train_key(F.col("line_number")))
+    index = history.station_index(lines)
+    labels = runs.select(F.col("train_type").alias("category"), F.col("line_number").alias("line")).distinct().withColumn("number", F.lit("9999"))
+    known = boards.with_train_key(labels, index)
+    asked = known.filter("train_key is not null").join(index.select("train_key", F.upper("station_name").alias("place")), "train_key").select(
+        F.concat_ws("|", "category", "line", "place").alias("query_id"), "train_key", F.lit("0").alias("eva"), "place"
+    )
+    return forecast.match_station(asked, index).select("query_id", "train_key", "station_name")
+
+
 # ---------------------------------------------------------------- backtest
 
 
