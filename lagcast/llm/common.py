@@ -34,6 +34,24 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def forget(name: str) -> None:
+    """Give up something kept by the worker, and the memory it took: workers are reused by later stages."""
+    if worker_state().pop(name, None) is None:
+        return
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        # Other C libraries give memory back by themselves.
+        pass
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df has."""
     while name.lower() in (c.lower() for c in df.columns):
@@ -139,6 +157,7 @@ def word_hashes(column, letters: np.ndarray = LOWER, classes: np.ndarray = CLASS
     Longer words, for which a sum modulo a power of two is weak, are hashed one by one. Blocks end
     between runs, so that memory does not grow with the text.
     """
+    forget("encoders")
     data, offsets = utf8(column)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets[(offsets >= offsets[0]) & (offsets <= offsets[-1])]] = True

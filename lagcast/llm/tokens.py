@@ -16,7 +16,7 @@ import numpy as np
 from lagcast.llm.common import BLOCK, LONG, SAME, digest64, mix, powers, utf8, worker_state
 
 #: Distinct chunks that a worker keeps; then it starts anew.
-KEPT, SLOT_BITS = 3_000_000, 23
+KEPT, SLOT_BITS = 1_500_000, 22
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
 LETTER = np.zeros(256, bool)
@@ -187,7 +187,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    held = worker_state()
+    held = worker_state().setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
