@@ -16,7 +16,7 @@ from lagcast.operators import distribution as D
 from lagcast.operators import stations as stations_op
 from lagcast.operators import transfer
 from lagcast.plans import backtest, connections, journeys, quality
-from lagcast.session import configure, materialize
+from lagcast.session import configure, materialize, stored_table
 from lagcast.sources import derived as S
 from lagcast.sources import incremental, raw_log, tables, tiers
 from lagcast.streaming import buckets, feeds, overlay, stateful
@@ -60,8 +60,8 @@ def _runs(spark, d) -> DataFrame:
 
 
 def _stored_runs(spark, d) -> DataFrame:
-    """The history as a stored table: forecasts read it many times."""
-    return materialize(_runs(spark, d))
+    """The history as a bucketed table, written once for all forecasts over the same events."""
+    return stored_table(spark, "runs", S.input_version(spark, d, "events", "nation"), lambda: _runs(spark, d), empirical.PLACE)
 
 
 def _network_runs(spark, d) -> DataFrame:
@@ -756,8 +756,9 @@ def _cards(cards: DataFrame) -> DataFrame:
 
 
 def _network(spark, d, live: bool = True) -> connections.Network:
-    runs = materialize(_network_runs(spark, d))
-    entries = materialize(boards.board_entries(S.network_events(spark, d)))
+    version = S.input_version(spark, d, "events", "nation")
+    runs = stored_table(spark, "network_runs", version, lambda: _network_runs(spark, d), empirical.PLACE)
+    entries = stored_table(spark, "entries", version, lambda: boards.board_entries(S.network_events(spark, d)), ["eva"])
     day = _day_after(runs)
     stops = materialize(S.live_stops(entries, history.planned_calls(runs), day)) if live else None
     return connections.Network(runs, entries, materialize(S.stations(spark, d)), stops)

@@ -29,6 +29,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def input_version(spark: SparkSession, folder: str, *names: str) -> str:
+    """A mark of the files of some tables, by names, sizes and times; no file is opened."""
+    marks = []
+    for name in names:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/{name}.parquet")
+        marks.append(files.agg(F.hex(F.xxhash64(F.array_sort(F.collect_list(F.xxhash64("path", "length", "modificationTime")))))).first()[0])
+    return "_".join(marks).lower()
+
+
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
 
