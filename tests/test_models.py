@@ -178,68 +178,81 @@ def test_histogram_covers_the_middle(spark):
 T0 = datetime(2026, 7, 2, 12, 0)
 
 
-def transfer(spark, points, candidates, joint, transfer_minutes=5):
-    """candidates: (id, minutes after T0, live, cancelled, rate); rides take 30 minutes."""
-    summary = spark.createDataFrame([], "query_id string, source string, df double, loc double, scale double")
-    made = forecast.Forecasts(summary, spark.createDataFrame([("q", float(v), float(w)) for v, w in points], "query_id string, value double, weight double"))
-    rows = spark.createDataFrame(
-        [("q", c, T0 + timedelta(minutes=m), T0 + timedelta(minutes=m + 30), live, gone, rate) for c, m, live, gone, rate in candidates],
-        "query_id string, cand_id string, dep_planned timestamp_ntz, arr_planned timestamp_ntz, dep_live double, dep_cancelled boolean, cancel_rate double",
-    )
-    cells = spark.createDataFrame([("q", *j, 1, 1.0) for j in joint], "query_id string, cand_id string, dep int, arr int, n int, weight double")
-    feeders = spark.createDataFrame([("q", T0, transfer_minutes)], "query_id string, feeder_planned timestamp_ntz, transfer_minutes int")
-    out = propagate_transfer(feeders, forecast.equal_mass_samples(made), Candidates(rows, cells))
-    board = {r.cand_id: round(r.board_probability, 9) for r in out.candidates.collect()}
-    pts = {round(r.value, 9): round(r.weight, 9) for r in out.points.collect()}
-    summary_row = out.summary.collect()
-    return board, pts, summary_row[0] if summary_row else None, out
-
-
-def on_time(c, n=10):
-    return [(c, 0, 0)] * n
-
-
-def test_catches_the_first(spark):
-    board, pts, s, _ = transfer(spark, [(0, 1)], [("a", 10, None, False, 0.0), ("b", 40, None, False, 0.0)], on_time("a") + on_time("b"))
-    assert board == {"a": 1.0, "b": 0.0} and pts == {0.0: 1.0} and s.miss_probability == pytest.approx(0)
-
-
-def test_falls_through_to_the_next(spark):
-    board, pts, _, _ = transfer(spark, [(20, 1)], [("a", 10, None, False, 0.0), ("b", 40, None, False, 0.0)], on_time("a") + on_time("b"))
-    assert board == {"a": 0.0, "b": 1.0} and pts == {30.0: 1.0}
-
-
-def test_delayed_earlier_train_helps(spark):
-    joint = [("a", 25, 25)] * 10 + on_time("a") + on_time("b")
-    board, _, _, _ = transfer(spark, [(20, 1)], [("a", 10, None, False, 0.0), ("b", 40, None, False, 0.0)], joint)
-    assert board == {"a": 0.5, "b": 0.5}
-
-
-def test_live_cancelled_is_skipped(spark):
-    board, _, s, out = transfer(spark, [(0, 1)], [("a", 10, None, True, 0.0), ("b", 40, None, False, 0.0)], on_time("a") + on_time("b"))
-    assert board == {"a": 0.0, "b": 1.0}
-    assert s.reference_arrival == T0 + timedelta(minutes=70)
-    assert headline_catch(out.candidates).collect()[0].catch_probability == pytest.approx(1.0)
-
-
-def test_live_delay_moves_the_arrival(spark):
-    board, pts, _, _ = transfer(spark, [(20, 1)], [("a", 10, 20.0, False, 0.0)], [("a", 0, 2)] * 10)
-    assert board == {"a": 1.0} and pts == {22.0: 1.0}
-
-
-def test_all_missed_gives_nothing(spark):
-    board, pts, s, _ = transfer(spark, [(120, 1)], [("a", 10, None, False, 0.0)], on_time("a"))
-    assert (board, pts, s) == ({}, {}, None)
-
-
-def test_feeder_mixture_and_cancel_rate(spark):
-    cands = [("a", 10, None, False, 0.0), ("b", 40, None, False, 0.0)]
-    board, _, _, _ = transfer(spark, [(0, 0.75), (30, 0.25)], cands, on_time("a") + on_time("b"))
-    assert board == {"a": 0.75, "b": 0.25}
-    cands = [("a", 10, None, False, 0.2), ("b", 40, None, False, 0.0)]
-    board, pts, s, _ = transfer(spark, [(0, 1)], cands, on_time("a") + on_time("b"))
-    assert board == {"a": 0.8, "b": 0.2}
-    assert sum(board.values()) + s.miss_probability == pytest.approx(1.0) == sum(pts.values())
+def random_transfer(rng):
+    """points (delay, weight) of the feeder; candidates (id, minutes after T0, ride, live, cancelled, rate); runs (id, dep, arr, weight)."""
+    points = [(float(v), rng.choice([1.0, 2.5, 4.0])) for v in rng.sample(range(-3, 70), rng.randrange(1, 7))]
+    candidates, runs = [], []
+    for c in range(rng.randrange(1, 6)):
+        live = rng.choice([None, None, None, 0.0, 13.0, 41.0])
+        candidates.append((f"c{c}", rng.randrange(0, 95), rng.choice([17, 26, 51]), live, rng.random() < 0.15, rng.choice([0.0, 0.0, 0.3])))
+        runs += [(f"c{c}", rng.randrange(0, 30), rng.randrange(-4, 35), rng.choice([1.0, 0.25])) for _ in range(rng.choice([0, 1, 4, 9]))]
+    return points, candidates, runs, rng.choice([2, 5, 11])
+
+
+def passenger(samples, candidates, runs, minutes):
+    """One passenger per sample takes the first train that is still there: board chances, points, miss, headline; None if nobody boards."""
+    own = {c: [r[1:] for r in runs if r[0] == c] for c, *_ in candidates}
+    listed = sorted((m, c, ride, live, gone, rate) for c, m, ride, live, gone, rate in candidates if gone or live is not None or own[c])
+    running = [x for x in listed if not x[4]]
+    if not running:
+        return None
+    reference = running[0][0] + running[0][2]
+    board, points, missed = {x[1]: 0.0 for x in listed}, {}, 0.0
+    for delay, mass in samples:
+        left = mass
+        for m, c, ride, live, gone, rate in listed:
+            ready, base, total = delay + minutes - m, m + ride - reference, sum(w for *_, w in own[c])
+            if gone:
+                continue
+            if live is not None:
+                p = float(live >= ready)
+                ends = [(base + live + a - d, w / total) for d, a, w in own[c]] or [(base + live, 1.0)]
+            else:
+                p = (1 - rate) * sum(w for d, _, w in own[c] if d >= ready) / total
+                ends = [(base + a, (1 - rate) * w / total) for d, a, w in own[c] if d >= ready]
+            for value, w in ends if p else ():
+                points[value] = points.get(value, 0.0) + left * w
+            board[c] += left * p
+            left *= 1 - p
+        missed += left
+    points = {v: w for v, w in points.items() if w > 0}
+    later = [x for x in running if x[0] >= 0] or running
+    return (board, points, missed, board[later[0][1]], reference) if points else None
+
+
+def test_transfers_equal_a_plain_walk(spark):
+    rng = random.Random(29)
+    cases = {f"q{i}": random_transfer(rng) for i in range(60)}
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    feeder = [(q, v, w) for q, (points, *_) in cases.items() for v, w in points]
+    made = forecast.Forecasts(table([], "query_id string, source string, df double, loc double, scale double"), table(feeder, "query_id string, value double, weight double"))
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [(q, c, at(m), at(m + ride), live, gone, rate) for q, (_, cands, _, _) in cases.items() for c, m, ride, live, gone, rate in cands]
+    rows = table(rows, "query_id string, cand_id string, dep_planned timestamp_ntz, arr_planned timestamp_ntz, dep_live double, dep_cancelled boolean, cancel_rate double")
+    joint = table([(q, c, d, a, 1, w) for q, (_, _, runs, _) in cases.items() for c, d, a, w in runs], "query_id string, cand_id string, dep int, arr int, n int, weight double")
+    feeders = table([(q, T0, minutes) for q, (*_, minutes) in cases.items()], "query_id string, feeder_planned timestamp_ntz, transfer_minutes int")
+    samples = forecast.equal_mass_samples(made)
+    out = propagate_transfer(feeders, samples, Candidates(rows, joint))
+    drawn, board, points = {}, {}, {}
+    for r in samples.collect():
+        drawn.setdefault(r.query_id, []).append((r.delay, r.mass))
+    for r in out.candidates.collect():
+        board.setdefault(r.query_id, {})[r.cand_id] = r.board_probability
+    for r in out.points.collect():
+        points.setdefault(r.query_id, {})[r.value] = r.weight
+    summary = {r.query_id: r for r in out.summary.collect()}
+    headline = {r.query_id: r.catch_probability for r in headline_catch(out.candidates).collect()}
+    boarded = 0
+    for q, (_, cands, runs, minutes) in cases.items():
+        expected = passenger(drawn[q], cands, runs, minutes)
+        if expected is None:
+            assert q not in summary and q not in board
+            continue
+        boarded += 1
+        assert board[q] == pytest.approx(expected[0]) and points[q] == pytest.approx(expected[1])
+        assert (summary[q].miss_probability, headline[q]) == pytest.approx(expected[2:4])
+        assert summary[q].reference_arrival == at(expected[4])
+    assert 20 < boarded < 60
 
 
 def walk(options):
