@@ -23,7 +23,7 @@ from lagcast.session import materialize
 
 WORDS, PERCENT = 5, 75
 #: Counters of the frequency sketch, entries of a bucket of lists, sets from which on a list is dealt over several tasks.
-SKETCH_BITS, BUCKET_ENTRIES, HOT_ENTRIES = 20, 400_000, 200_000
+SKETCH_BITS, BUCKET_ENTRIES, HOT_ENTRIES = 20, 800_000, 200_000
 #: Sets of a hub read beside one copy of the hub; sets in a block; width of a band of distances to the hub.
 HEAD_ROWS, BLOCK_ROWS, BAND = 1000, 512, 0.05
 #: Lists up to this length are read as one block; longer ones are cut into blocks by size and position of at most BLOCK_ROWS.
@@ -31,7 +31,7 @@ LIST_ROWS, HOT = 256, 1 << 40
 #: Bands of sizes per doubling, and of positions in a prefix.
 SIZE_BANDS, PLACE_BANDS = 6, 8
 #: Bits of the filter for documents that are needed again.
-FILTER_BITS = 25
+FILTER_BITS = 27
 
 
 def shingle_sets(column, words: int = WORDS) -> list[np.ndarray]:
@@ -90,9 +90,13 @@ def sketch(docs: DataFrame) -> np.ndarray:
             for tokens in shingle_sets(batch.column("text")):
                 total[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
         for i in range(0, size, part):
-            there = np.flatnonzero(total[i : i + part])
+            own = total[i : i + part]
+            there = np.flatnonzero(own)
             if len(there):
-                packed = [i, there.astype(np.uint16).tobytes(), total[i + there].tobytes()]
+                # Counters of a task are small numbers; few of them are sent with their places.
+                kind = np.min_scalar_type(int(own.max()))
+                few = 2 * len(there) < part
+                packed = [i, there.astype(np.uint16).tobytes() if few else b"", (own[there] if few else own).astype(kind).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in packed], ["at", "places", "counts"])
 
     def add(batches):
@@ -103,7 +107,8 @@ def sketch(docs: DataFrame) -> np.ndarray:
                     if at is not None:
                         yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
                     at, total = i, np.zeros(part, np.int64)
-                total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+                at_places = np.frombuffer(places, np.uint16) if places else np.arange(part)
+                total[at_places] += np.frombuffer(counts, f"u{len(counts) // len(at_places)}")
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], ["at", "counts"])
 
@@ -204,7 +209,7 @@ def inverted_lists(docs: DataFrame, seen_counts: np.ndarray, entries: int, hot_e
                 held["v"].append(v)
                 held["n"].append(n)
                 held["size"] += k
-                if held["size"] >= 150_000:
+                if held["size"] >= 300_000:
                     yield from flush()
                     held = fresh()
         if held["v"]:
@@ -279,7 +284,8 @@ def only_needed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Beyond the filter's largest size every document is moved, which changes the cost only.
     """
     many = wanted.select("row_key").distinct().count()
-    bits = max(16, min(FILTER_BITS, int(many).bit_length() + 3))
+    # A few bits in a thousand are set, so as few documents pass by chance.
+    bits = max(16, min(FILTER_BITS, int(many).bit_length() + 8))
     if many > 1 << FILTER_BITS:
         return docs
     # Bitmaps of Spark count places from 1; a bitmap has 2**15 bits.
@@ -287,7 +293,7 @@ def only_needed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     size = 4096
     filled = bytearray((1 << bits) // 8)
-    # At most 1024 rows, whatever the number of documents.
+    # At most 4096 rows, whatever the number of documents.
     for r in maps.collect():
         filled[(r["part"] - 1) * size : r["part"] * size] = r["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bytes(filled))
