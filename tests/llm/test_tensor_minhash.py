@@ -61,3 +61,33 @@ def test_regular_words_do_not_collide():
 
 def test_no_documents(no_documents):
     assert tensor_minhash.near_duplicates(no_documents).count() == 0
+
+
+def test_regular_chunks_get_their_own_ids():
+    """The same for chunks of the tokenizers."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lagcast.llm.tokens import Encoder
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "x " + word + " y"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        ids, stops = Encoder(public_tokenizers.path(name)).column(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(stops[:-1], stops[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_longer_than_a_block(monkeypatch):
+    from lagcast.llm import common
+
+    monkeypatch.setattr(common, "BLOCK", 64)
+    texts = ["x" * 300 + " ab cd", "", "  ", "ab", "cd" + "y" * 200, "z" * 64 + " " + "z" * 65, "ab" * 40, "cd ab"]
+    whole = [jaccard_join.word_hashes(pa.array([t]))[0].tolist() for t in texts]
+    hashes, begins = jaccard_join.word_hashes(pa.array(texts))
+    assert [hashes[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == whole
+    monkeypatch.setattr(common, "BLOCK", 1 << 19)
+    assert [jaccard_join.word_hashes(pa.array([t]))[0].tolist() for t in texts] == whole
+    assert [len(w) for w in whole] == [3, 0, 0, 1, 1, 2, 1, 2]
