@@ -1025,8 +1025,7 @@ def _resumed(spark, d, name: str, make, parts: int = 3, close: bool = False, mod
     folder = new_folder(spark, name)
     arrivals = S.event_days(spark, d, parts)
     if close:
-        # The folds end with the first row's watermark, the join behind them with the second's.
-        arrivals += [S.closing_events(S.table(spark, d, "events"), days) for days in (10, 20)]
+        arrivals.append(S.closing_events(S.table(spark, d, "events")))
     for part in arrivals:
         part.write.mode("append").parquet(f"{folder}/events")
         stateful.save_updates(make(S.event_stream(spark, f"{folder}/events", "*.parquet")), folder, mode=mode).awaitTermination()

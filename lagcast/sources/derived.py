@@ -70,7 +70,7 @@ def closing_events(events: DataFrame, days: int = 10) -> DataFrame:
     kinds = F.explode(F.array(*[F.lit(k) for k in LINES])).alias("event_type")
     return last.select(
         F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0).cast("long").alias("user_id"), kinds,
-        F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"),
+        F.lit(0.0).alias("value"), F.lit('{"k": 1}').alias("props"),
     ).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(EVENTS).fields])
 
 

@@ -123,7 +123,7 @@ def first_plans(plan: DataFrame, event_time: Column, lateness: str = LATENESS) -
     """First labelled plan row per stop and day of event time; the watermark ends a day's state, and rows after it are dropped and counted by the query's progress."""
     with_rocksdb(plan.sparkSession)
     fields = [c for c in plan.columns if c not in ("stop_id", "ord")]
-    rows = timed(plan, event_time, lateness).filter("labelled")
+    rows = timed(plan.filter("labelled"), event_time, lateness)
     folded = rows.groupBy(F.window("event_time", "1 day").alias("span"), "stop_id").agg(F.min_by(F.struct(*fields), "ord").alias("p"))
     return folded.select("span", "stop_id", "p.*")
 

@@ -75,7 +75,7 @@ def test_joined_streams_equal_the_daily_fold(spark, tmp_path, nation):
     day_files(spark, folder, [0, 1, 3])
     events = spark.read.parquet(str(folder))
     expected = condense.condense(condense.first_plan(derived.plan_feed(events, nation)), condense.fold_changes(derived.change_feed(events)))
-    for days in (0, 10, 20):
+    for days in (0, 10):
         if days:
             pq.write_table(derived.closing_events(events, days).toArrow(), f"{folder}/closing-{days}.parquet")
         feed = stream(spark, folder)
