@@ -14,8 +14,8 @@ def read_stop_events(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
-    """Tag rows with the file stem and the tier it belongs to."""
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1)
+    """Tag rows with the stem of their file, or of the folder of its parts, and the tier it belongs to."""
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet(?:/part-[^/]+)?$", 1)
     tagged = df.withColumn("source_file", stem)
     month = F.regexp_extract("source_file", r"^data-(\d{4}-\d{2})$", 1)
     recent = F.regexp_extract("source_file", r"^data-recent-(\d{4}-\d{2}-\d{2})$", 1)
