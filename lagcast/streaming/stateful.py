@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from lagcast.operators.condense import CHANGE_FIELDS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How far rows may lag behind the newest one, and how long a stop's state outlives its newest change.
 LATENESS, KEEP_DAYS = "2 days", 3
+#: Parts of the change fold's state; a checkpoint keeps the number it began with.
+BUCKETS = 1024
 
 
 def with_rocksdb(spark: SparkSession) -> SparkSession:
@@ -42,36 +45,68 @@ def order_text(schema: T.StructType, name: str = "ord") -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
 
 
+def newest_values(rows: pd.DataFrame, fields: list[str]) -> pd.DataFrame:
+    """Per stop the newest known value of every attribute, its order text, and the latest ``event_ms``."""
+    out = rows.groupby("stop_id")[["event_ms"]].max()
+    for f in fields:
+        known = rows.loc[rows[f].notna(), ["stop_id", f, f"{f}_ord"]]
+        last = known.sort_values(f"{f}_ord", kind="stable").drop_duplicates("stop_id", keep="last").set_index("stop_id")
+        out = out.join(last)
+    return out.reset_index()
+
+
+def packed(held: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(held, pa.schema([(c, pa.int64() if c == "event_ms" else pa.string()) for c in held]), preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_all().to_pandas()
+
+
 class ChangeFold(StatefulProcessor):
-    """Newest known value of every attribute of a stop; a timer of event time gives up stops without news."""
+    """Newest known value of every attribute of a stop; a timer of event time gives up stops without news.
+
+    Stops share the state of their bucket, which is read, folded and written as a whole: a
+    call of the state store serves many stops.  The timer of a bucket is its earliest stop's.
+    """
 
     def __init__(self, fields: list[str], keep_ms: int):
         self.fields, self.keep_ms = fields, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", ", ".join(f"{f} string, {f}_ord string" for f in self.fields))
+        self.stops = handle.getValueState("stops", "packed binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.newest.get() if self.newest.exists() else None
-        held = [None] * (2 * len(self.fields)) if held is None else list(held)
-        latest = 0
-        for batch in rows:
-            latest = max(latest, int(batch["event_ms"].max()))
-            for i, f in enumerate(self.fields):
-                known = batch[batch[f].notna()]
-                if len(known):
-                    last = known.loc[known["ord_text"].idxmax()] if len(known) > 1 else known.iloc[0]
-                    if held[2 * i + 1] is None or last["ord_text"] > held[2 * i + 1]:
-                        held[2 * i], held[2 * i + 1] = last[f], last["ord_text"]
-        self.newest.update(tuple(held))
+    def keep(self, held: pd.DataFrame, watermark: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(max(latest + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"stop_id": [key[0]], **{f: [held[2 * i]] for i, f in enumerate(self.fields)}})
+        if len(held):
+            self.stops.update((packed(held),))
+            self.handle.registerTimer(max(int(held["event_ms"].min()) + self.keep_ms, watermark + 1))
+        else:
+            self.stops.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows), ignore_index=True)
+        came = came.assign(**{f"{f}_ord": came["ord_text"] for f in self.fields})
+        touched = came["stop_id"].unique()
+        columns = ["stop_id", "event_ms", *[c for f in self.fields for c in (f, f"{f}_ord")]]
+        parts = [came[columns]]
+        if self.stops.exists():
+            parts.insert(0, unpacked(bytes(self.stops.get()[0])))
+        held = newest_values(pd.concat(parts, ignore_index=True), self.fields)
+        self.keep(held[columns], timerValues.getCurrentWatermarkInMs())
+        now = held.loc[held["stop_id"].isin(touched), ["stop_id", *self.fields]]
+        yield now.astype(object).where(now.notna(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.newest.clear()
+        if self.stops.exists():
+            held, watermark = unpacked(bytes(self.stops.get()[0])), timerValues.getCurrentWatermarkInMs()
+            self.keep(held[held["event_ms"] + self.keep_ms > watermark], watermark)
         return iter([])
 
     def close(self) -> None:
@@ -102,14 +137,14 @@ def timed(feed: DataFrame, event_time: Column, lateness: str = LATENESS) -> Data
 def change_states(changes: DataFrame, event_time: Column, lateness: str = LATENESS, keep_days: int = KEEP_DAYS) -> DataFrame:
     """Updates of the change fold, one row per stop that a micro-batch touches.
 
-    State is a row per stop, dropped ``keep_days`` after its newest change; rows later than ``lateness`` do not count.
+    State is a row per bucket of stops, which drops a stop ``keep_days`` after its newest change; rows later than ``lateness`` do not count.
     """
     with_rocksdb(changes.sparkSession)
     fields = [F.col(f).cast("string").alias(f) for f in CHANGE_FIELDS]
     rows = timed(changes, event_time, lateness).select(
         "stop_id", "event_time", F.unix_millis("event_time").alias("event_ms"), order_text(changes.schema).alias("ord_text"), *fields
     )
-    updates = rows.groupBy("stop_id").transformWithStateInPandas(
+    updates = rows.withColumn("bucket", F.pmod(F.xxhash64("stop_id"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(
         ChangeFold(CHANGE_FIELDS, keep_days * 86_400_000),
         outputStructType="stop_id string, " + ", ".join(f"{f} string" for f in CHANGE_FIELDS),
         outputMode="Update",
