@@ -20,6 +20,8 @@ def first_plan(plan: DataFrame) -> DataFrame:
     )
 
 
+#: What stop events take from a plan row besides its id.
+PLAN_FIELDS = ["station", "eva", "category", "number", "arr_line", "dep_line", "arr_planned", "dep_planned"]
 CHANGE_FIELDS = ["arr_changed", "arr_status", "dep_changed", "dep_status"]
 
 
