@@ -22,3 +22,7 @@ def test_prepared_events_do_not_parse_the_log(spark):
 def test_statistics_run_no_lag(spark):
     plan = optimized(registry._stats(configure(spark), FOLDER))
     assert "get_json_object" not in plan and "Window" not in plan
+
+
+def test_network_runs_do_not_parse_the_log(spark):
+    assert "get_json_object" not in optimized(registry._network_runs(configure(spark), FOLDER))
